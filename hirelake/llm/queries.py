@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hirelake.llm.bpe import encode_texts
 from hirelake.llm.common import table
+from hirelake.llm.pivots import near_links
 from hirelake.llm.simhash import simhash_components
+from hirelake.llm.tokencount import count_tokens
 from hirelake.llm.urlfilter import Rule, filter_urls
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 
 
@@ -19,7 +24,19 @@ def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_urlfilter)}
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_links(table(spark, sf_dir, "embeddings"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_urlfilter, op3_embeddings, op6_bpe, op9_tokencount)}
 
 ORACLES = {
     "op2_urlfilter": r"""

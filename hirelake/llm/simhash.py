@@ -168,7 +168,8 @@ def simhash_components(docs: DataFrame, radius: int = 3, width: int = 3, id_col:
     stars = cut(connected_components(links(distinct, radius)), "fingerprint-components")
     placed = distinct.join(stars, distinct.fp == stars.node).select("fp", "least", "component")
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "least", "component").join(ids, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    reached = placed.join(ids, "component").select("fp", "component_id")
+    known = distinct.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(known, "fp", "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )
