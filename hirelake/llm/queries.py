@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.llm.bpe import encode_texts
 from hirelake.llm.common import table
+from hirelake.llm.langid import identify
 from hirelake.llm.pivots import near_links
 from hirelake.llm.simhash import simhash_components
 from hirelake.llm.tokencount import count_tokens
+from hirelake.llm.toxicity import score_toxicity
 from hirelake.llm.urlfilter import Rule, filter_urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,15 +30,26 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(table(spark, sf_dir, "embeddings"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_urlfilter, op3_embeddings, op6_bpe, op9_tokencount)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op6_bpe, op7_langid, op9_tokencount)
+}
 
 ORACLES = {
     "op2_urlfilter": r"""
