@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hirelake.llm.bpe import encode_texts
 from hirelake.llm.common import table
 from hirelake.llm.langid import identify
+from hirelake.llm.pii import find_spans
 from hirelake.llm.pivots import near_links
 from hirelake.llm.simhash import simhash_components
 from hirelake.llm.tokencount import count_tokens
@@ -46,9 +47,13 @@ def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op6_bpe, op7_langid, op9_tokencount)
+    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op6_bpe, op7_langid, op9_tokencount, op10_pii)
 }
 
 ORACLES = {

@@ -8,7 +8,7 @@ import tiktoken
 from hirelake.llm.bpe import Codec, encode_piece, encode_texts
 from hirelake.llm.queries import op6_bpe, op9_tokencount
 from hirelake.llm.tokencount import LongestMatch, count_tokens
-from hirelake.llm.tokenizer import pattern_pieces, read_ranks, words_of
+from hirelake.llm.tokenizer import Pieces, read_ranks, words_of
 from tests.conftest import SMALL
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -39,7 +39,7 @@ def test_random_texts_equal_the_library():
 
 
 def test_words_join_to_the_text():
-    pieces = pattern_pieces(P.PATTERN)
+    pieces = Pieces(P.PATTERN)
     for text in HARD + random_texts():
         if text:
             assert "".join(words_of(text)) == text
@@ -82,7 +82,7 @@ def test_queries(spark):
     for r in op6_bpe(spark, SMALL).collect():
         ids = LIBRARY.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(b"".join(i.to_bytes(4, "little") for i in ids)), sha(texts[r.doc_id].encode()))
-    pieces = pattern_pieces(P.PATTERN)
+    pieces = Pieces(P.PATTERN)
     for r in op9_tokencount(spark, SMALL).limit(40).collect():
         words = pieces(texts[r.doc_id])
         assert (r.n_words, r.n_tokens) == (len(words), sum(slow_count(w, RANKS) for w in words))
