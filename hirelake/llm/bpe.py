@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.tokenizer import WordCache, pattern_pieces, read_ranks, words_of
+from hirelake.llm.tokenizer import Pieces, WordCache, read_ranks, words_of
 
 NONE = 1 << 60
 
@@ -28,30 +29,30 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n == 1:
         raise ValueError(f"the vocabulary lacks the byte {piece!r}")
-    size = 1 << (n - 1).bit_length()
-    bits = size.bit_length()
-    tree = [NONE] * (2 * size)
+    bits = (n - 2).bit_length()
+    size = 1 << bits
     get = ranks.get
-    for i in range(n - 1):
+    tree = [NONE] * (2 * size)
+    for i, k in enumerate(range(size, size + n - 1)):
         rank = get(piece[i : i + 2])
         if rank is not None:
-            tree[size + i] = rank << bits | i
+            tree[k] = rank << bits | i
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n))
-    low = (1 << bits) - 1
+    low = size - 1
 
-    def put(at: int, value: int) -> None:
-        k = at + size
-        tree[k] = value
-        while k > 1:
+    def put(k: int, value: int) -> None:
+        k += size
+        while tree[k] != value:
+            tree[k] = value
+            if k == 1:
+                return
             other = tree[k ^ 1]
+            if other < value:
+                value = other
             k >>= 1
-            least = value if value < other else other
-            if tree[k] == least:
-                return
-            tree[k] = value = least
 
     while (top := tree[1]) != NONE:
         i = top & low
@@ -77,14 +78,20 @@ class Codec:
     """Encodes texts to little-endian unsigned 32-bit ids and decodes them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pieces = ranks, pattern_pieces(pattern)
+        self.ranks, self.pieces = ranks, Pieces(pattern)
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.matches = WordCache(self._match)
         self.words = WordCache(self._word)
 
+    def _match(self, piece: bytes) -> bytes:
+        ids = encode_piece(piece, self.ranks)
+        return pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: str) -> bytes:
-        return np.array([i for piece in self.pieces(word) for i in encode_piece(piece, self.ranks)], "<u4").tobytes()
+        pieces = self.pieces(word)
+        return self._match(pieces[0]) if len(pieces) == 1 else b"".join(self.matches.all(pieces))
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.words.all(words_of(text))) if text else b""
@@ -102,20 +109,21 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     a word's ids are remembered, within a bound. Null ids and repeated rows stay; other columns are
     ignored. The vocabulary is read on the driver and broadcast: its size is that of the file.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    # A worker keeps the codec, and the words that it remembers, from task to task.
+    codec = docs.sparkSession.sparkContext.broadcast(Codec(read_ranks(ranks_path), pattern))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        encode, decode = codec.value.encode, codec.value.decode
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
+                ids = [encode(t) for t in part.column(1).to_pylist()]
                 found = [
                     part.column(0),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(decode(x)).hexdigest() for x in ids], pa.string()),
                 ]
                 if with_ids:
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)

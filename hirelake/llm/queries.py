@@ -12,6 +12,7 @@ from hirelake.llm.pii import find_spans
 from hirelake.llm.pivots import near_links
 from hirelake.llm.simhash import simhash_components
 from hirelake.llm.tokencount import count_tokens
+from hirelake.llm.suffixes import remove_repeats
 from hirelake.llm.toxicity import score_toxicity
 from hirelake.llm.urlfilter import Rule, filter_urls
 
@@ -35,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, with_ids=False)
 
@@ -53,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op6_bpe, op7_langid, op9_tokencount, op10_pii)
+    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op5_suffixes, op6_bpe, op7_langid, op9_tokencount, op10_pii)
 }
 
 ORACLES = {

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.tokenizer import WordCache, pattern_pieces, read_ranks, words_of
+from hirelake.llm.tokenizer import Pieces, WordCache, read_ranks, words_of
 
 
 class LongestMatch:
@@ -78,6 +78,23 @@ class LongestMatch:
         return found
 
 
+class Counter:
+    """Counts the words and tokens of texts."""
+
+    def __init__(self, vocabulary: list[bytes], pattern: str, mark: bytes = b"") -> None:
+        self.automaton, self.pieces = LongestMatch(vocabulary, mark), Pieces(pattern)
+        self.words = WordCache(self._word)
+
+    def _word(self, word: str) -> tuple[int, int]:
+        matches = self.pieces(word)
+        return len(matches), sum(map(self.automaton.count, matches))
+
+    def __call__(self, text: str | None) -> tuple[int, int, int]:
+        """(bytes, words, tokens)."""
+        found = self.words.all(words_of(text)) if text else []
+        return len((text or "").encode("utf-8", "surrogatepass")), sum([f[0] for f in found]), sum([f[1] for f in found])
+
+
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_words, n_tokens) of every row of ``docs``.
 
@@ -85,21 +102,11 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     vocabulary file. A null text counts as empty, with zeros. Texts are counted whole; a word's count is
     remembered, within a bound. Null ids and repeated rows stay; other columns are ignored.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(list(read_ranks(ranks_path)))
+    counter = docs.sparkSession.sparkContext.broadcast(Counter(list(read_ranks(ranks_path)), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, pieces = LongestMatch(vocabulary.value), pattern_pieces(pattern)
-
-        def measure(word: str) -> tuple[int, int]:
-            matches = pieces(word)
-            return len(matches), sum(map(automaton.count, matches))
-
-        cache = WordCache(measure)
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for text in batch.column(1).to_pylist():
-                found = cache.all(words_of(text)) if text else []
-                out.append((len((text or "").encode("utf-8", "surrogatepass")), sum([f[0] for f in found]), sum([f[1] for f in found])))
+            out = list(map(counter.value, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], ["id", "n_bytes", "n_words", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_bytes long, n_words long, n_tokens long").withColumnRenamed("id", id_col)

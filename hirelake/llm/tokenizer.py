@@ -9,7 +9,7 @@ from collections.abc import Callable
 import regex
 
 #: Words in each of a cache's two generations.
-GENERATION = 200_000
+GENERATION = 500_000
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)")
 _SPACE_RUN = re.compile(r" (?:\s|$)")
 
@@ -23,12 +23,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class WordCache:
     """Remembers what ``make`` gives for a word in two generations, of which the older is forgotten."""
 
-    def __init__(self, make: Callable[[str], object], size: int = GENERATION) -> None:
+    def __init__(self, make: Callable, size: int = GENERATION) -> None:
         self.make, self.size = make, size
-        self.young: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+        self.young: dict[str | bytes, object] = {}
+        self.old: dict[str | bytes, object] = {}
 
-    def __call__(self, word: str):
+    def __call__(self, word: str | bytes):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
@@ -38,7 +38,7 @@ class WordCache:
             self.young[word] = value
         return value
 
-    def all(self, words: list[str]) -> list:
+    def all(self, words: list) -> list:
         found = list(map(self.young.get, words))
         if None in found:
             young = self.young
@@ -61,7 +61,11 @@ def words_of(text: str) -> list[str]:
     return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
 
 
-def pattern_pieces(pattern: str) -> Callable[[str], list[bytes]]:
-    """A function that gives the UTF-8 bytes of each match of the pattern in a word."""
-    found = regex.compile(pattern)
-    return lambda word: [m.encode("utf-8", "surrogatepass") for m in found.findall(word)]
+class Pieces:
+    """Gives the UTF-8 bytes of each match of a pattern in a word."""
+
+    def __init__(self, pattern: str) -> None:
+        self.found = regex.compile(pattern)
+
+    def __call__(self, word: str) -> list[bytes]:
+        return [m.encode("utf-8", "surrogatepass") for m in self.found.findall(word)]
