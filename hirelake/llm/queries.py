@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.llm.bpe import encode_texts
 from hirelake.llm.common import table
+from hirelake.llm.decontaminate import find_contaminated
 from hirelake.llm.langid import identify
 from hirelake.llm.pii import find_spans
 from hirelake.llm.pivots import near_links
@@ -48,6 +49,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -58,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op5_suffixes, op6_bpe, op7_langid, op9_tokencount, op10_pii)
+    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op5_suffixes, op6_bpe, op7_langid, op8_decontaminate, op9_tokencount, op10_pii)
 }
 
 ORACLES = {
