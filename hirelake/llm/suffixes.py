@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,6 +66,16 @@ class Windows:
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Differences of the values, stored byte by byte, as runs of zeros that compression removes."""
+    steps = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def dealt(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, fps: np.ndarray, buckets: int, short: bool) -> pa.RecordBatch:
     """A row for each bucket with the batch's strings of that bucket, each string once.
 
@@ -80,9 +91,12 @@ def dealt(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, fps: np.ndarray, b
     again = np.diff(np.append(first, len(fps))) > 1
     known = np.repeat(again, np.diff(np.append(first, len(fps))))
     bucket = ((fps[first] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    # Within a bucket by place: neighbours' differences are small.
+    place = np.lexsort((at[first], rows[first], bucket))
+    first, again, bucket = first[place], again[place], bucket[place]
     bounds = np.searchsorted(bucket, np.arange(buckets + 1))
     krows, kat = rows[known], at[known]
-    korder = np.argsort(krows % buckets, kind="stable")
+    korder = np.lexsort((kat, krows, krows % buckets))
     krows, kat = krows[korder], kat[korder]
     kbounds = np.searchsorted(krows % buckets, np.arange(buckets + 1))
     out: list[list] = [[] for _ in _FIELDS]
@@ -90,12 +104,11 @@ def dealt(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, fps: np.ndarray, b
         mine, k = first[bounds[b] : bounds[b + 1]], slice(kbounds[b], kbounds[b + 1])
         if len(mine) or k.stop > k.start:
             used, where = np.unique(np.concatenate([rows[mine], krows[k]]), return_inverse=True)
-            where = where.astype(np.uint16)
             prints = fps[mine]
             # Within a bucket, 32 more bits find recurring cover strings; one found by chance costs a little work.
-            values = (b, keys[used], prints.astype(np.uint32) if short else prints, again[bounds[b] : bounds[b + 1]], where[: len(mine)], at[mine], where[len(mine) :], kat[k])
+            values = (b, keys[used], prints.astype(np.uint32) if short else prints, again[bounds[b] : bounds[b + 1]], _planes(where[: len(mine)]), _planes(at[mine]), _planes(where[len(mine) :]), _planes(kat[k]))
             for column, value in zip(out, values, strict=True):
-                column.append(value if isinstance(value, int) else value.tobytes())
+                column.append(value.tobytes() if isinstance(value, np.ndarray) else value)
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], _FIELDS)
 
 
@@ -108,8 +121,9 @@ def gathered(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.Reco
     for blobs in by_bucket.values():
         get = lambda f, kind: np.concatenate([np.frombuffer(b[f], kind) for b in blobs])  # noqa: B023, E731
         starts = np.cumsum([0, *(len(b["keys"]) // 8 for b in blobs)])
-        moved = lambda f: np.concatenate([np.frombuffer(b[f], np.uint16) + s for b, s in zip(blobs, starts, strict=False)])  # noqa: B023, E731
-        keys, fps, more, at = get("keys", np.int64), get("fps", np.uint32 if short else np.uint64), get("more", bool), get("at", np.uint32)
+        places = lambda f: np.concatenate([_unplaned(b[f]) for b in blobs])  # noqa: B023, E731
+        moved = lambda f: np.concatenate([_unplaned(b[f]) + s for b, s in zip(blobs, starts, strict=False)])  # noqa: B023, E731
+        keys, fps, more, at = get("keys", np.int64), get("fps", np.uint32 if short else np.uint64), get("more", bool), places("at")
         rows = moved("rows")
         order = np.argsort(fps, kind="stable")
         sorted_fps = fps[order]
@@ -120,7 +134,7 @@ def gathered(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.Reco
         hit = order[recurs]
         hit = hit[~more[hit]]
         key = np.concatenate([keys[rows[hit]], keys[moved("known_rows")]])
-        place = np.concatenate([at[hit], get("known_at", np.uint32)])
+        place = np.concatenate([at[hit], places("known_at")])
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
         first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, int)
@@ -155,8 +169,10 @@ def _recurring(texts: DataFrame, strings: Callable[[dict], tuple[np.ndarray, np.
 
 def _release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -186,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     name = f"suffix_texts_{uuid.uuid4().hex}"
     # Texts that are equal are kept once; bucketed by their key, the later joins move no text.
     distinct = rows.where(F.col("n_bytes") >= length).groupBy("key", "sha").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    distinct.write.bucketBy(parts, "key").option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+    distinct.write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
     _release(spark)
     stored = spark.table(name)
 
