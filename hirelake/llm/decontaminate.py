@@ -117,8 +117,11 @@ class Index:
                 item, begin = int(items[k]), int(w) * STRIDE
                 part = tokens[max(0, begin - STRIDE) : begin + (size + 1) * STRIDE]
                 part = part[part > 0].tolist()
-                length = len(self.texts[item])
-                share = common_length(self.masks[item], length, part) / length
+                length, mask = len(self.texts[item]), self.masks[item]
+                # No common subsequence is longer than the item's places whose word is in the window.
+                if sum([mask[t].bit_count() for t in mask.keys() & set(part)]) < LIKELY * length:
+                    continue
+                share = common_length(mask, length, part) / length
                 if share < LIKELY or share < SURE and len(self.answers[item].intersection(part)) < ANSWER * len(self.answers[item]):
                     continue
                 if share > best.get(item, (0.0,))[0]:

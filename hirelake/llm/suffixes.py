@@ -201,7 +201,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     buckets = max(parts, -(-total // BUCKET_BYTES))
     name = f"suffix_texts_{uuid.uuid4().hex}"
     # Texts that are equal are kept once; bucketed by their key, the later joins move no text.
-    distinct = rows.where(F.col("n_bytes") >= length).groupBy("key", "sha").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    distinct = rows.where(F.col("n_bytes") >= length).groupBy("key").agg(F.first("sha").alias("sha"), F.first("text").alias("text"), F.count("*").alias("copies"))
     distinct.write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
     _release(spark)
     stored = spark.table(name)
