@@ -44,7 +44,7 @@ _PRODUCT = f"(({' OR '.join(f'contains({_LOW}, {p!r})' for _, p in PRODUCT_ROLES
 _MANAGER = f"({_PRODUCT} AND CASE {' '.join(f'WHEN contains({_LOW}, {p!r}) THEN {c!r}' for c, p in PRODUCT_ROLES)} END = 'product_manager')"
 _SALARY = "CAST(wage_rate_of_pay_from * CASE wage_unit_of_pay WHEN 'Year' THEN 1 WHEN 'Month' THEN 12 WHEN 'Bi-Weekly' THEN 26 WHEN 'Week' THEN 52 WHEN 'Hour' THEN 2080 END AS decimal(14,2))"
 _SOC = r"CASE WHEN regexp_matches(soc_code, '^\s*\d{2}-\d{4}') THEN regexp_extract(soc_code, '^\s*(\d{2})-', 1) || regexp_extract(soc_code, '^\s*\d{2}-(\d{4})', 1) || lpad(regexp_extract(soc_code, '^\s*\d{2}-\d{4}(\.(\d{1,2}))?', 2), 2, '0') END"
-_SCOPE = rf"CASE WHEN location = '' THEN 'unknown' WHEN regexp_matches(lower(location), '{COUNTRY}') OR regexp_matches(location, '\bUS-[A-Z]{{2}}\b') OR regexp_matches(lower(location), '{NAMED}') OR regexp_matches(location, '{CODED}') THEN 'US' WHEN regexp_matches(lower(location), '{OUTSIDE}') THEN 'non-US' ELSE 'unknown' END"
+SCOPE = rf"CASE WHEN location = '' THEN 'unknown' WHEN regexp_matches(lower(location), '{COUNTRY}') OR regexp_matches(location, '\bUS-[A-Z]{{2}}\b') OR regexp_matches(lower(location), '{NAMED}') OR regexp_matches(location, '{CODED}') THEN 'US' WHEN regexp_matches(lower(location), '{OUTSIDE}') THEN 'non-US' ELSE 'unknown' END"
 _REASON = f"CASE {' '.join(f'WHEN {" OR ".join(f"contains(lower(last_error), {t!r})" for t in found)} THEN {reason!r}' for reason, found in FAILURES)} WHEN last_error = '' THEN 'unknown' ELSE 'other' END"
 
 ORACLES = {
@@ -71,7 +71,7 @@ SELECT *, round(CASE WHEN runs > 0 THEN CAST(successes AS double) / runs END, 4)
 WITH sites AS ({SITES}), g AS (SELECT source_type, {_REASON} AS failure_reason, count(*) AS failed_sites FROM sites GROUP BY ALL)
 SELECT *, CAST(round(failed_sites * 100.0 / sum(failed_sites) OVER (), 2) AS double) AS pct_all_failed FROM g""",
     "snapshot_diff": f"""
-WITH old AS (SELECT *, {_SCOPE} AS scope FROM ({SEEN.format("<")}) WHERE latest = 1), stage AS (SELECT *, {_SCOPE} AS scope FROM ({SEEN.format(">=")}) WHERE latest = 1),
+WITH old AS (SELECT *, {SCOPE} AS scope FROM ({SEEN.format("<")}) WHERE latest = 1), stage AS (SELECT *, {SCOPE} AS scope FROM ({SEEN.format(">=")}) WHERE latest = 1),
 seen AS (SELECT site_id, external_job_id FROM stage WHERE scope = 'US'),
 j AS (SELECT coalesce(o.site_id, s.site_id) AS site_id, o.site_id IS NOT NULL AS known, s.site_id IS NOT NULL AS present, o.active, o.scope
       FROM old o FULL JOIN seen s ON o.site_id = s.site_id AND o.external_job_id = s.external_job_id)
