@@ -29,11 +29,14 @@ LENGTH, PERIOD = 400, 273
 COVER_273 = (0, 1, 3, 7, 15, 31, 63, 90, 116, 127, 136, 181, 194, 204, 233, 238, 255)
 #: Bytes of text for each bucket, in one batch of a task, and hashed at once.
 BUCKET_BYTES, BATCH_BYTES, HASHED_AT_ONCE = 16 << 20, 32 << 20, 1 << 20
+#: Texts in one batch of places.
+TEXTS_AT_ONCE = 256
 _RNG = np.random.default_rng(20)
 _BYTE_VALUES = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOB = "bucket int, keys binary, fps binary, more binary, rows binary, at binary, known_rows binary, known_at binary"
-_FIELDS = [f.split()[0] for f in _BLOB.split(", ")]
+_FOUND = "part int, keys binary, counts binary, places binary"
+_FIELDS, _FOUND_FIELDS = ([f.split()[0] for f in kinds.split(", ")] for kinds in (_BLOB, _FOUND))
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -112,8 +115,8 @@ def dealt(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, fps: np.ndarray, b
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], _FIELDS)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.RecordBatch]:
-    """Sorts one bucket and gives the places of its recurring strings, by text."""
+def gathered(batches: Iterator[pa.RecordBatch], buckets: int, short: bool) -> Iterator[pa.RecordBatch]:
+    """Sorts one bucket and gives the places of its recurring strings: a row for each part of the texts."""
     by_bucket: dict[int, list[dict]] = {}
     for batch in batches:
         for row in batch.to_pylist():
@@ -135,10 +138,40 @@ def gathered(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.Reco
         hit = hit[~more[hit]]
         key = np.concatenate([keys[rows[hit]], keys[moved("known_rows")]])
         place = np.concatenate([at[hit], places("known_at")])
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], place[order]
-        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, int)
-        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([p.tobytes() for p in np.split(place, first[1:])][: len(first)], pa.binary())], ["key", "places"])
+        if not len(key):
+            continue
+        part = key % buckets
+        order = np.lexsort((place, key, part))
+        part, key, place = part[order], key[order], place[order]
+        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        counts = np.diff(np.append(first, len(key))).astype(np.uint32)
+        parts, begins = np.unique(part[first], return_index=True)
+        ends = np.append(begins[1:], len(first))
+        stops = np.append(first, len(key))
+        columns = [parts.astype(np.int32)]
+        columns.append([key[first[b:e]].tobytes() for b, e in zip(begins, ends, strict=True)])
+        columns.append([counts[b:e].tobytes() for b, e in zip(begins, ends, strict=True)])
+        columns.append([_planes(place[stops[b] : stops[e]]) for b, e in zip(begins, ends, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], _FOUND_FIELDS)
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text with all its places, from the blobs that the buckets sent for a part of the texts."""
+    by_part: dict[int, list[dict]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            by_part.setdefault(row["part"], []).append(row)
+    for blobs in by_part.values():
+        keys = np.concatenate([np.frombuffer(b["keys"], np.int64) for b in blobs])
+        counts = np.concatenate([np.frombuffer(b["counts"], np.uint32) for b in blobs])
+        place = np.concatenate([_unplaned(b["places"]) for b in blobs])
+        used, where = np.unique(keys, return_inverse=True)
+        owner = np.repeat(where.astype(np.int32), counts)
+        order = np.lexsort((place, owner))
+        place, stops = place[order], np.cumsum(np.bincount(owner, minlength=len(used)))
+        for lo in range(0, len(used), TEXTS_AT_ONCE):
+            some = range(lo, min(lo + TEXTS_AT_ONCE, len(used)))
+            yield pa.RecordBatch.from_arrays([pa.array(used[some.start : some.stop]), pa.array([_planes(place[stops[k - 1] if k else 0 : stops[k]]) for k in some], pa.binary())], ["key", "places"])
 
 
 def _recurring(texts: DataFrame, strings: Callable[[dict], tuple[np.ndarray, np.ndarray]], buckets: int, short: bool) -> DataFrame:
@@ -164,7 +197,7 @@ def _recurring(texts: DataFrame, strings: Callable[[dict], tuple[np.ndarray, np.
         if keys:
             yield dealt(np.array(keys, np.int64), np.concatenate(rows), np.concatenate(at), np.concatenate(fps), buckets, short)
 
-    return texts.mapInArrow(deal, _BLOB).repartitionById(buckets, F.col("bucket")).mapInArrow(lambda batches: gathered(batches, short), "key long, places binary")
+    return texts.mapInArrow(deal, _BLOB).repartitionById(buckets, F.col("bucket")).mapInArrow(lambda batches: gathered(batches, buckets, short), _FOUND).repartitionById(buckets, F.col("part")).mapInArrow(merged, "key long, places binary")
 
 
 def _release(spark: SparkSession) -> None:
@@ -218,16 +251,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     def tied_suffixes(row: dict) -> tuple[np.ndarray, np.ndarray]:
         data = _bytes(row["text"])
         edge = np.zeros(len(data) + 1, np.int32)
-        for places in row["places"]:
-            at = np.frombuffer(places, np.uint32).astype(np.int64)
-            np.add.at(edge, np.maximum(at - period + 1, 0), 1)
-            np.add.at(edge, at + 1, -1)
+        at = _unplaned(row["places"]).astype(np.int64)
+        np.add.at(edge, np.maximum(at - period + 1, 0), 1)
+        np.add.at(edge, at + 1, -1)
         places = np.nonzero(np.cumsum(edge)[: len(data) - length + 1])[0]
         return places, windows(data)[places] if len(places) else np.zeros(0, np.uint64)
 
     ranks = cut(_recurring(stored.select("key", "text"), cover_strings, buckets, True), "cover-ranks")
     _release(spark)
-    tied = stored.select("key", "text").join(ranks.groupBy("key").agg(F.collect_list("places").alias("places")), "key")
+    tied = stored.select("key", "text").join(ranks, "key")
     repeats = cut(_recurring(tied, tied_suffixes, buckets, False), "repeated-suffixes")
     _release(spark)
 
@@ -238,10 +270,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
                 row = batch.slice(k, 1).to_pylist()[0]
                 data = _bytes(row["text"])
                 edge = np.zeros(len(data) + 1, np.int32)
-                for places in row["places"]:
-                    at = np.frombuffer(places, np.uint32).astype(np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + length, -1)
+                at = _unplaned(row["places"]).astype(np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 kept = data[~gone].tobytes()
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
@@ -249,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["key", "sha", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    single = stored.where("copies = 1").select("key", "sha", "text").join(repeats.groupBy("key").agg(F.collect_list("places").alias("places")), "key")
+    single = stored.where("copies = 1").select("key", "sha", "text").join(repeats, "key")
     stripped = single.mapInArrow(strip, "key long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary")
     copied = stored.where("copies > 1").select("key", "sha", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.when(F.lit(with_text), F.lit(b"")).alias("kept"))
     found = base.join(stripped.unionByName(copied), ["key", "sha"], "left")
