@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from hirelake.plans import catalog, companies
+from hirelake.plans import catalog, companies, titles
 
 
 def main() -> None:
@@ -14,7 +14,7 @@ def main() -> None:
     spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
-    for name, query in (catalog.QUERIES | companies.QUERIES).items():
+    for name, query in (catalog.QUERIES | companies.QUERIES | titles.QUERIES).items():
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         began = time.perf_counter()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()

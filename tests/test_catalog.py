@@ -10,10 +10,10 @@ from hirelake.functions.market import market_scope
 from hirelake.functions.money import annual_salary, is_chicago_area
 from hirelake.functions.titles import employer_match_key, is_executive, normalize_soc_code, product_role_category
 from hirelake.operators.postings import apply_snapshot
-from hirelake.plans import catalog, companies
+from hirelake.plans import catalog, companies, titles
 from hirelake.sources.tables import merge_upsert
 
-QUERIES, ORACLES = catalog.QUERIES | companies.QUERIES, catalog.ORACLES | companies.ORACLES
+QUERIES, ORACLES = catalog.QUERIES | companies.QUERIES | titles.QUERIES, catalog.ORACLES | companies.ORACLES | titles.ORACLES
 BASE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
