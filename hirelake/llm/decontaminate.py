@@ -4,12 +4,15 @@ Passages of all documents are TF-IDF rows over the benchmark's words. A distribu
 the row space that carries most of them: every task multiplies its passages with a random matrix and the
 result with the passages again (a range finder with one power step), the products are summed, and their
 orthonormal basis gives each word its latent vector. The items themselves are passages of the matrix. Windows of documents whose latent vectors are close
-to an item's by cosine are its candidates. A candidate counts when the longest common subsequence of
-words holds most of the item, or a good part of it together with the item's rarest words, its answer.
+to an item's by cosine are its candidates, and so are those that hold enough of an item's rarer words,
+whatever their cosine: no window that could count is lost. A candidate counts when the longest common
+subsequence of words holds most of the item, or a good part of it together with the item's rarest words,
+its answer.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -74,20 +77,60 @@ class Index:
     def finish(self, basis: np.ndarray) -> None:
         """Takes the words' latent basis and places the items."""
         self.terms = (self.idf[:, None] * basis).astype(np.float32)
-        self.masks = []
+        self.masks, self.rare, self.least = [], [], []
         for k, tokens in enumerate(self.texts):
             mask: dict[int, int] = {}
             for place, t in enumerate(tokens):
                 mask[t] = mask.get(t, 0) | 1 << place
             self.masks.append(mask)
+            rare = sorted(set(tokens), key=lambda t: (-self.idf[t], t))
             if not self.answers[k]:
-                rare = sorted(set(tokens), key=lambda t: (-self.idf[t], t))
                 self.answers[k] = set(rare[: max(3, len(rare) // 5)])
+            self._hold(k, rare)
+        self._post()
         vectors = np.array([self.terms[t].sum(0) for t in self.texts])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         blocks = np.array([-(-(len(t) + STRIDE - 1) // STRIDE) for t in self.texts])
         self.sizes = [(int(b), np.nonzero(blocks == b)[0], vectors[blocks == b].T.copy()) for b in np.unique(blocks)]
 
+    def _hold(self, k: int, rare: list[int]) -> None:
+        """Notes the rarer words of item ``k`` and how many of their places a window that counts covers.
+
+        A window that counts leaves at most ``spare`` places of the item uncovered, so of words that take
+        more places than that it has some, and of a fifth of the item more it has a fifth at least.
+        """
+        length, mask = len(self.texts[k]), self.masks[k]
+        spare = length - math.ceil(LIKELY * length - 1e-9)
+        places = np.cumsum([mask[t].bit_count() for t in rare])
+        end = int(np.searchsorted(places, min(length, spare + max(1, length // 5)))) + 1
+        self.rare.append((np.array(rare[:end]), np.diff(places[:end], prepend=0)))
+        self.least.append(int(places[end - 1]) - spare)
+
+    def _post(self) -> None:
+        """Lists for each word the items that have it among their rarer words, with its places there."""
+        held = np.concatenate([w for w, _ in self.rare])
+        order = np.argsort(held, kind="stable")
+        self.first = np.searchsorted(held[order], np.arange(len(self.idf) + 1))
+        self.of = np.repeat(np.arange(len(self.rare)), [len(w) for w, _ in self.rare])[order]
+        self.places = np.concatenate([p for _, p in self.rare])[order]
+        self.least = np.array(self.least)
+
+    def _possible(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether each item can count somewhere in a text that has these words."""
+        distinct = np.unique(tokens)
+        first, count = self.first[distinct], self.first[distinct + 1] - self.first[distinct]
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(self.of[at], self.places[at], len(self.least)) >= self.least
+
+    def _covers(self, k: int, tokens: np.ndarray, n: int, windows: int, size: int) -> np.ndarray:
+        """Whether each window, with a block on either side, has enough of the item's rarer words."""
+        places = np.zeros(len(self.idf), np.int64)
+        places[self.rare[k][0]] = self.rare[k][1]
+        sums = np.zeros(n + 1, np.int64)
+        np.cumsum(np.add.reduceat(places[tokens], np.arange(0, len(tokens), STRIDE)), out=sums[1:])
+        begin = np.arange(windows)
+        return sums[np.minimum(begin + size + 1, n)] - sums[np.maximum(begin - 1, 0)] >= self.least[k]
+
     def matches(self, tokens: np.ndarray) -> list[tuple[int, float, float, int]]:
         """(item id, share in common, cosine, first word of the window) of each item that a text holds."""
         if not len(tokens) or not self.ids:
@@ -101,7 +144,7 @@ class Index:
 
     def _match(self, tokens: np.ndarray, offset: int, best: dict[int, tuple[float, float, int]]) -> None:
         inside = np.nonzero(tokens)[0]
-        if not len(inside):
+        if not len(inside) or not (possible := self._possible(tokens[inside])).any():
             return
         n = -(-len(tokens) // STRIDE)
         block = inside // STRIDE
@@ -110,10 +153,15 @@ class Index:
         sums[block[first] + 1] = np.add.reduceat(self.terms[tokens[inside]], first, axis=0)
         np.cumsum(sums, axis=0, out=sums)
         for size, items, vectors in self.sizes:
+            live = np.nonzero(possible[items])[0]
+            if not len(live):
+                continue
+            items, vectors = items[live], vectors[:, live]
             ends = np.minimum(np.arange(n) + size, n)[: max(1, n - size + 1)]
             window = (sums[ends] - sums[: len(ends)]).astype(np.float32)
             cos = (window @ vectors) / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            for w, k in zip(*np.nonzero(cos >= COSINE), strict=True):
+            held = np.stack([self._covers(int(k), tokens, n, len(ends), size) for k in items], 1)
+            for w, k in zip(*np.nonzero((cos >= COSINE) | held), strict=True):
                 item, begin = int(items[k]), int(w) * STRIDE
                 part = tokens[max(0, begin - STRIDE) : begin + (size + 1) * STRIDE]
                 part = part[part > 0].tolist()
@@ -145,7 +193,8 @@ def build(coded: DataFrame, index: Index) -> Index:
     seen = np.zeros(size)
     for r in rows:
         seen[r.term] = r.n
-    index.idf = np.log((count + 1) / (seen + 1)).astype(np.float32)
+    # A word that every document has keeps a weight, or a frequent item's words would all have none.
+    index.idf = np.log(1 + (count + 1) / (seen + 1)).astype(np.float32)
     index.idf[0] = 0
     idf = spark.broadcast(index.idf)
 

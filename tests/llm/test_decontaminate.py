@@ -67,3 +67,31 @@ def test_paraphrases_and_edge_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [*range(100), 202, 300, 301, 302]
     for docs, items in ((df.limit(0), bench), (df, bench.limit(0)), (df, bench.where("item_id > 89"))):
         assert find_contaminated(docs, items).count() == 0 and keep_clean(docs, items).count() == docs.count()
+
+
+def lines(seed, count, size):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    return [[rng.choice(vocabulary) for _ in range(size)] for _ in range(count)]
+
+
+def test_frequent_items_are_found(spark):
+    items = lines(5, 30, 40)
+    items[0] = items[0][:15]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for share in (3, 1):
+        docs = []
+        for k, w in enumerate(lines(6, 300, 120)):
+            docs.append((k, " ".join(w[: k % 100] + items[0] * (k % share == 0) + w[k % 100 :])))
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        found = {r.doc_id for r in find_contaminated(df, bench).where("item_id = 0 and overlap = 1").collect()}
+        assert found == set(range(0, 300, share))
+        assert {r.doc_id for r in keep_clean(df, bench).collect()}.isdisjoint(found)
+
+
+def test_table_of_one_document(spark):
+    items = lines(7, 3, 20)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(["so", *items[0], *items[2][:4]]))], "doc_id long, text string")
+    assert [(r.item_id, r.overlap) for r in find_contaminated(df, bench).collect()] == [(0, 1.0)]
+    assert keep_clean(df, bench).count() == 0
