@@ -180,14 +180,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, ...) whose language is identified, with all columns.
 
-    Rejected are texts without a language: null ones and those without a letter.
+    Rejected are texts without a language: null ones and those without a letter. Where no language could
+    be learned (no labelled row outside the held-out fold) nothing else is rejected either.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(train(rows, order, train_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [model.value.predict(t)[0] != UNKNOWN for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(kept))
+            texts = batch.column("text").to_pylist()
+            if model.value.languages:
+                kept = [model.value.predict(t)[0] != UNKNOWN for t in texts]
+            else:
+                kept = [bool(t and _LETTER.search(t)) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -73,3 +73,9 @@ def test_edge_rows(spark):
     assert sorted(r.doc_id or 0 for r in keep_identified(df).collect()) == [0, 1, 6] and keep_identified(df).columns == df.columns
     assert identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(df.withColumn("lang", df.lang.substr(1, 0)).where("false").unionByName(df.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "score"))).collect()} == {"und"}
+
+
+def test_a_table_without_lang_keeps_what_has_a_letter(spark):
+    rows = [(1, "some words", None), (2, None, None), (3, "", None), (4, "12 34", None), (5, "weitere Worte", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in keep_identified(df).collect()) == [1, 5]
