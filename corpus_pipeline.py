@@ -11,7 +11,7 @@ from hirelake.llm.decontaminate import keep_clean
 from hirelake.llm.langid import keep_identified
 from hirelake.llm.pii import redact
 from hirelake.llm.queries import VOCABULARY
-from hirelake.llm.simhash import keep_one
+from hirelake.llm.simhash import keep_single
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
-    return keep_one(docs)
+    return keep_single(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hirelake.llm.common import cut
 from hirelake.llm.components import connected_components
@@ -183,3 +184,33 @@ def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     found = simhash_components(docs, radius, width)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def keep_single(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """One row of each component of ``docs``: ``keep_one`` without the repeats of a kept doc_id.
+
+    Of several rows that carry the least doc_id of their component the least one stays, by all columns in
+    their order. All columns are kept. Rows with a null doc_id belong to no component and all stay; this is
+    a choice, as nothing names them.
+    """
+    named = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("gone_id")).agg(F.count("*").alias("n"))
+    repeated = cut(named.where("n > 1").select("gone_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return keep_one(docs, radius, width)
+    found = cut(simhash_components(docs, radius, width), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).unionByName(repeated).distinct()
+    once = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    # An id may carry several texts, so its rows are judged by their own fingerprints.
+    names, at = docs.columns, docs.columns.index("text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.array([fingerprint(x, width) for x in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks.view(np.int64))], [*names, "own_fp"])
+
+    schema = StructType([*docs.schema.fields, StructField("own_fp", LongType())])
+    many = docs.join(repeated, docs["doc_id"] == repeated["gone_id"], "left_semi").mapInArrow(mark, schema)
+    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("head_id"), F.col("fingerprint").alias("head_fp")).distinct()
+    heirs = many.join(heads, (F.col("doc_id") == F.col("head_id")) & (F.lower(F.lpad(F.hex("own_fp"), 16, "0")) == F.col("head_fp")), "left_semi")
+    first = heirs.groupBy(F.col("doc_id").alias("of_id")).agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return once.unionByName(first)

@@ -3,7 +3,7 @@ import xxhash
 
 from hirelake.llm.components import connected_components
 from hirelake.llm.queries import op1_simhash
-from hirelake.llm.simhash import BKTree, fingerprint, keep_one, links, simhash_components
+from hirelake.llm.simhash import BKTree, fingerprint, keep_one, keep_single, links, simhash_components
 
 MASK = (1 << 64) - 1
 
@@ -93,3 +93,13 @@ def test_edge_rows(spark):
     assert found == [(0, None), (1, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
     assert sorted((r.doc_id or 0) for r in keep_one(df).collect()) == [0, 1, 3, 3]
     assert simhash_components(df.limit(0)).count() == 0
+
+
+def test_a_table_appended_twice_keeps_one_of_each(spark):
+    rows = [(1, "the first of some texts", "b"), (2, "the FIRST of some texts", "a"), (3, "wholly different words in here", "x"), (None, "a row without id", "x")]
+    df = spark.createDataFrame(rows + rows + [(1, "the first of some texts", "a")], "doc_id long, text string, fp string")
+    # Id 9 carries a text of component 1 and one of its own, which must not go with the other.
+    df = df.unionByName(spark.createDataFrame([(9, "the first of some texts", "x"), (9, "nobody else has this one", "y")], df.schema))
+    found = sorted(((r.doc_id or 0), r.fp) for r in keep_single(df).collect())
+    assert found == [(0, "x"), (0, "x"), (1, "a"), (3, "x"), (9, "y")] and keep_single(df).columns == df.columns
+    assert keep_single(df.limit(0)).count() == 0
