@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a session of one machine; a cluster must name one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-cut-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -54,12 +59,9 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3))
 
 
-def texts(batch: pa.RecordBatch | pa.Table, name: str = "text"):
-    """The column's texts as Python strings, null as the empty text."""
-    for value in batch.column(name).to_pylist():
-        yield value or ""
-
-
-def shuffle_parts(spark: SparkSession, rows: int, per_part: int) -> int:
-    """Partitions for so many rows, at least those that the session asks for."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
