@@ -22,9 +22,9 @@ from hirelake.llm.common import fold
 ORDER = 3
 #: Training documents of each language, on average; the sample is chosen by a hash of the id.
 TRAIN_DOCS = 2000
-#: The model is broadcast: so many languages at most.
-MAX_LANGUAGES = 512
 UNKNOWN = "und"
+#: The least score of an identified document: the best language is likelier than all others together.
+LEAST_SCORE = 0.5
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,11 +128,12 @@ class Model:
 
 
 def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> Model:
-    """The model of documents (id, text, lang) that are not held out: about ``train_docs`` of each language."""
+    """The model of documents (id, text, lang) that are not held out: about ``train_docs`` of each language.
+
+    Its size follows the number of languages, a closed set of labels, and not the number of documents.
+    """
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").where(fold(F.col("id")) != 1)
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     number = {x: k for k, x in enumerate(languages)}
     if not languages:
@@ -177,22 +178,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return scored.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def keep_identified(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, ...) whose language is identified, with all columns.
 
-    Rejected are texts without a language: null ones and those without a letter. Where no language could
-    be learned (no labelled row outside the held-out fold) nothing else is rejected either.
+    Rejected are texts without a language (null ones and those without a letter), and texts whose best
+    language has a score below ``least_score``. A kept row without lang gets the predicted one. Where no
+    language could be learned (no labelled row outside the held-out fold) only texts without a letter go.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(train(rows, order, train_docs))
+    at = docs.columns.index("lang")
+    kind = docs.schema["lang"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            found = [model.value.predict(t) for t in batch.column("text").to_pylist()]
             if model.value.languages:
-                kept = [model.value.predict(t)[0] != UNKNOWN for t in texts]
+                kept = [lang != UNKNOWN and score >= least_score for lang, score in found]
             else:
-                kept = [bool(t and _LETTER.search(t)) for t in texts]
+                kept = [bool(t and _LETTER.search(t)) for t in batch.column("text").to_pylist()]
+            if kind == "string" and model.value.languages:
+                langs = [old if old is not None else new[0] for old, new in zip(batch.column("lang").to_pylist(), found, strict=True)]
+                batch = batch.set_column(at, batch.schema.field(at).name, pa.array(langs, pa.string()))
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -71,6 +71,8 @@ def test_edge_rows(spark):
     found = sorted((r.doc_id or 0, r.lang_pred) for r in identify(df).collect())
     assert found == [(0, "en"), (1, "en"), (2, "und"), (3, "und"), (3, "und"), (4, "und"), (6, "en")]
     assert sorted(r.doc_id or 0 for r in keep_identified(df).collect()) == [0, 1, 6] and keep_identified(df).columns == df.columns
+    assert {r.doc_id: r.lang for r in keep_identified(df).collect()}[6] == "en"
+    assert keep_identified(df, least_score=1.1).count() == 0
     assert identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(df.withColumn("lang", df.lang.substr(1, 0)).where("false").unionByName(df.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "score"))).collect()} == {"und"}
 
