@@ -1,20 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of all documents are TF-IDF rows over the benchmark's words. A distributed randomised SVD finds
-the row space that carries most of them: every task multiplies its passages with a random matrix and the
-result with the passages again (a range finder with one power step), the products are summed, and their
-orthonormal basis gives each word its latent vector. The items themselves are passages of the matrix. Windows of documents whose latent vectors are close
-to an item's by cosine are its candidates, and so are those that hold enough of an item's rarer words,
-whatever their cosine: no window that could count is lost. A candidate counts when the longest common
-subsequence of words holds most of the item, or a good part of it together with the item's rarest words,
-its answer.
+Passages of all documents, and the benchmark's items, are TF-IDF rows over the benchmark's words. A
+distributed randomised SVD finds their leading right singular vectors: every task multiplies its passages
+with a random matrix and the result with the passages again, the products are summed, and an orthonormal
+basis Q of their range, some columns wider than wanted, is cut from them. A second pass sums the small
+matrix (AQ)'(AQ), whose eigenvectors turn Q into the singular vectors and whose eigenvalues are the
+squared singular values; the weakest columns are cut off. Windows of documents whose latent vectors are
+close to an item's by cosine are its candidates, and so are those that hold enough of an item's rarer
+words, whatever their cosine. A candidate counts when the longest common subsequence of words holds most
+of the item, or a good part of it together with the item's rarest words, its answer. A stretch of text
+that lacks the item's rarer words can't count and isn't looked at again.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -25,18 +27,27 @@ from pyspark.sql import functions as F
 
 from hirelake.llm.common import cut
 
-#: Latent dimensions; words of a passage; words between window starts; the cosine of a candidate.
-DIMENSIONS, PASSAGE, STRIDE, COSINE = 64, 64, 16, 0.5
+#: Latent dimensions, and columns of the random matrix beyond them; words of a passage.
+DIMENSIONS, OVERSAMPLE, PASSAGE = 32, 8, 64
+#: Words between window starts; window starts of a stretch that is judged at once; the cosine of a candidate.
+STRIDE, STRETCH, COSINE = 16, 8, 0.5
 #: Shares of an item's words in common: enough alone, and enough together with the answer's share.
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8
-#: Items with fewer words match nothing; items indexed (and broadcast) at once.
-LEAST_WORDS, ITEMS_AT_ONCE = 5, 1000
-_WORD = re.compile(r"\w+")
+#: Items with fewer words match only as a whole, word after word.
+WHOLE_WORDS = 5
+#: Bytes of item texts that are indexed (and broadcast) at once; more items take another pass over the corpus.
+BYTES_AT_ONCE = 16 << 20
+#: Cells of the table of stretches and items that are judged at once.
+CELLS = 1 << 22
+#: Scripts that write without spaces: each of their characters is a word.
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SPACELESS, _MIXED, _WORD = re.compile(f"[{SPACELESS}]"), re.compile(rf"[{SPACELESS}]|[^\W{SPACELESS}]+"), re.compile(r"\w+")
 _PARTS = 16
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return (_WORD if low.isascii() or not _SPACELESS.search(low) else _MIXED).findall(low)
 
 
 def common_length(item: dict[int, int], size: int, tokens: list[int]) -> int:
@@ -58,7 +69,7 @@ class Index:
         """items: (id, text, answer or None)."""
         self.ids, texts, answers = [], [], []
         for item, text, answer in items:
-            if len(tokens := words(text)) >= LEAST_WORDS:
+            if tokens := words(text):
                 self.ids.append(item)
                 texts.append(tokens)
                 answers.append(words(answer))
@@ -67,7 +78,7 @@ class Index:
         self.texts = [[self.number[w] for w in t] for t in texts]
         self.answers = [{self.number[w] for w in a} for a in answers]
         self.idf = np.zeros(len(names) + 1, np.float32)
-        self.terms = np.zeros((len(names) + 1, DIMENSIONS), np.float32)
+        self.singular = np.zeros(0)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The numbers of a text's words, 0 for words that no item has."""
@@ -87,11 +98,22 @@ class Index:
             if not self.answers[k]:
                 self.answers[k] = set(rare[: max(3, len(rare) // 5)])
             self._hold(k, rare)
-        self._post()
+        held = np.concatenate([w for w, _ in self.rare])
+        order = np.argsort(held, kind="stable")
+        #: For each word, the items that have it among their rarer words, with its places there.
+        self.first = np.searchsorted(held[order], np.arange(len(self.idf) + 1))
+        self.of = np.repeat(np.arange(len(self.rare)), [len(w) for w, _ in self.rare])[order]
+        self.places = np.concatenate([p for _, p in self.rare])[order]
+        self.least = np.array(self.least)
         vectors = np.array([self.terms[t].sum(0) for t in self.texts])
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        blocks = np.array([-(-(len(t) + STRIDE - 1) // STRIDE) for t in self.texts])
-        self.sizes = [(int(b), np.nonzero(blocks == b)[0], vectors[blocks == b].T.copy()) for b in np.unique(blocks)]
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        #: Blocks of a window that holds the item wherever it begins.
+        self.sizes = np.array([-(-(len(t) + STRIDE - 1) // STRIDE) for t in self.texts])
+
+    def _needed(self, k: int) -> int:
+        """The words of the item that a match has in common with it at least."""
+        length = len(self.texts[k])
+        return length if length < WHOLE_WORDS else math.ceil(LIKELY * length - 1e-9)
 
     def _hold(self, k: int, rare: list[int]) -> None:
         """Notes the rarer words of item ``k`` and how many of their places a window that counts covers.
@@ -100,159 +122,225 @@ class Index:
         more places than that it has some, and of a fifth of the item more it has a fifth at least.
         """
         length, mask = len(self.texts[k]), self.masks[k]
-        spare = length - math.ceil(LIKELY * length - 1e-9)
+        spare = length - self._needed(k)
         places = np.cumsum([mask[t].bit_count() for t in rare])
         end = int(np.searchsorted(places, min(length, spare + max(1, length // 5)))) + 1
-        self.rare.append((np.array(rare[:end]), np.diff(places[:end], prepend=0)))
+        chosen, weights = np.array(rare[:end], np.int32), np.diff(places[:end], prepend=0)
+        order = np.argsort(chosen)
+        self.rare.append((chosen[order], weights[order]))
         self.least.append(int(places[end - 1]) - spare)
 
-    def _post(self) -> None:
-        """Lists for each word the items that have it among their rarer words, with its places there."""
-        held = np.concatenate([w for w, _ in self.rare])
-        order = np.argsort(held, kind="stable")
-        self.first = np.searchsorted(held[order], np.arange(len(self.idf) + 1))
-        self.of = np.repeat(np.arange(len(self.rare)), [len(w) for w, _ in self.rare])[order]
-        self.places = np.concatenate([p for _, p in self.rare])[order]
-        self.least = np.array(self.least)
+    def matches(self, tokens: np.ndarray, ends: np.ndarray) -> dict[int, list[tuple[int, float, float, int]]]:
+        """By text number, (item id, share in common, cosine, first word of the window) of the items that it holds.
 
-    def _possible(self, tokens: np.ndarray) -> np.ndarray:
-        """Whether each item can count somewhere in a text that has these words."""
-        distinct = np.unique(tokens)
-        first, count = self.first[distinct], self.first[distinct + 1] - self.first[distinct]
-        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.bincount(self.of[at], self.places[at], len(self.least)) >= self.least
-
-    def _covers(self, k: int, tokens: np.ndarray, n: int, windows: int, size: int) -> np.ndarray:
-        """Whether each window, with a block on either side, has enough of the item's rarer words."""
-        places = np.zeros(len(self.idf), np.int64)
-        places[self.rare[k][0]] = self.rare[k][1]
-        sums = np.zeros(n + 1, np.int64)
-        np.cumsum(np.add.reduceat(places[tokens], np.arange(0, len(tokens), STRIDE)), out=sums[1:])
-        begin = np.arange(windows)
-        return sums[np.minimum(begin + size + 1, n)] - sums[np.maximum(begin - 1, 0)] >= self.least[k]
-
-    def matches(self, tokens: np.ndarray) -> list[tuple[int, float, float, int]]:
-        """(item id, share in common, cosine, first word of the window) of each item that a text holds."""
-        if not len(tokens) or not self.ids:
-            return []
-        best: dict[int, tuple[float, float, int]] = {}
-        reach = max(b for b, _, _ in self.sizes) * STRIDE
-        step = 1 << 16
-        for lo in range(0, len(tokens), step):
-            self._match(tokens[lo : lo + step + reach], lo, best)
-        return [(self.ids[k], *v) for k, v in sorted(best.items())]
-
-    def _match(self, tokens: np.ndarray, offset: int, best: dict[int, tuple[float, float, int]]) -> None:
-        inside = np.nonzero(tokens)[0]
-        if not len(inside) or not (possible := self._possible(tokens[inside])).any():
+        ``tokens`` has the texts' words one text after another, ``ends`` where each text ends.
+        """
+        best: dict[tuple[int, int], tuple[float, float, int]] = {}
+        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        if self.ids and len(tokens):
+            reach = int(self.sizes.max()) + 1
+            # Stretches of a text overlap by the longest window, so that each window lies in one of them.
+            counts = np.maximum(1, -(-(ends - begins) // (STRETCH * STRIDE)))
+            text = np.repeat(np.arange(len(ends)), counts)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+            lo = begins[text] + place * STRETCH * STRIDE
+            hi = np.minimum(lo + (STRETCH + reach) * STRIDE, ends[text])
+            step = max(1, CELLS // max(len(self.ids), 1))
+            for k in range(0, len(lo), step):
+                for stretch, item in self._possible(tokens, np.maximum(lo[k : k + step] - STRIDE, begins[text[k : k + step]]), hi[k : k + step]):
+                    self._search(tokens, int(begins[text[k + stretch]]), int(ends[text[k + stretch]]), int(lo[k + stretch]), item, best, int(text[k + stretch]))
+        out: dict[int, list] = {}
+        for (number, item), found in sorted(best.items()):
+            out.setdefault(number, []).append((self.ids[item], *found))
+        return out
+
+    def _possible(self, tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The (stretch, item) pairs in which the item can count, by its rarer words."""
+        length = hi - lo
+        of = np.repeat(np.arange(len(lo)), length)
+        words_ = tokens[np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(lo, length)]
+        # Words that no item has among its rarer ones say nothing.
+        useful = self.first[words_ + 1] > self.first[words_] if len(words_) else np.zeros(0, bool)
+        pair = np.sort(of[useful] * np.int64(len(self.idf)) + words_[useful])
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
+        of, words_ = pair // len(self.idf), pair % len(self.idf)
+        count = self.first[words_ + 1] - self.first[words_]
+        at = np.repeat(self.first[words_] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        sums = np.bincount(np.repeat(of, count) * len(self.ids) + self.of[at], self.places[at], len(lo) * len(self.ids))
+        return zip(*np.nonzero(sums.reshape(len(lo), -1) >= self.least), strict=True)
+
+    def _search(self, tokens: np.ndarray, begin: int, end: int, lo: int, item: int, best: dict, number: int) -> None:
+        """Looks for the item in the windows that begin in one stretch of a text."""
+        size, length, mask = int(self.sizes[item]), len(self.texts[item]), self.masks[item]
+        # A block before the stretch and the windows' blocks after it.
+        first, last = max(begin, lo - STRIDE), min(end, lo + (STRETCH + size + 1) * STRIDE)
+        part = tokens[first:last]
+        if self._common(mask, part) < self._needed(item):
             return
-        n = -(-len(tokens) // STRIDE)
-        block = inside // STRIDE
-        first = np.nonzero(np.concatenate([[True], block[1:] != block[:-1]]))[0]
-        sums = np.zeros((n + 1, DIMENSIONS), np.float64)
-        sums[block[first] + 1] = np.add.reduceat(self.terms[tokens[inside]], first, axis=0)
-        np.cumsum(sums, axis=0, out=sums)
-        for size, items, vectors in self.sizes:
-            live = np.nonzero(possible[items])[0]
-            if not len(live):
-                continue
-            items, vectors = items[live], vectors[:, live]
-            ends = np.minimum(np.arange(n) + size, n)[: max(1, n - size + 1)]
-            window = (sums[ends] - sums[: len(ends)]).astype(np.float32)
-            cos = (window @ vectors) / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            held = np.stack([self._covers(int(k), tokens, n, len(ends), size) for k in items], 1)
-            for w, k in zip(*np.nonzero((cos >= COSINE) | held), strict=True):
-                item, begin = int(items[k]), int(w) * STRIDE
-                part = tokens[max(0, begin - STRIDE) : begin + (size + 1) * STRIDE]
-                part = part[part > 0].tolist()
-                length, mask = len(self.texts[item]), self.masks[item]
-                # No common subsequence is longer than the item's places whose word is in the window.
-                if sum([mask[t].bit_count() for t in mask.keys() & set(part)]) < LIKELY * length:
-                    continue
-                share = common_length(mask, length, part) / length
-                if share < LIKELY or share < SURE and len(self.answers[item].intersection(part)) < ANSWER * len(self.answers[item]):
-                    continue
-                if share > best.get(item, (0.0,))[0]:
-                    best[item] = (share, float(cos[w, k]), offset + begin)
+        starts = np.arange(lo, min(lo + STRETCH * STRIDE, max(end, lo + 1)), STRIDE)
+        blocks = np.zeros((-(-len(part) // STRIDE), STRIDE), np.int32)
+        blocks.ravel()[: len(part)] = part
+        rare, weights = self.rare[item]
+        where = np.minimum(np.searchsorted(rare, blocks), len(rare) - 1)
+        places = np.concatenate([[0], np.cumsum(np.where(rare[where] == blocks, weights[where], 0).sum(1))])
+        begin_block = (starts - first) // STRIDE
+        end_block = np.minimum(begin_block + size, len(blocks))
+        held = places[np.minimum(end_block + 1, len(blocks))] - places[np.maximum(begin_block - 1, 0)] >= self.least[item]
+        sums = np.zeros((len(blocks) + 1, DIMENSIONS))
+        np.cumsum(self.terms[blocks].sum(1), axis=0, out=sums[1:])
+        window = sums[end_block] - sums[begin_block]
+        cos = window @ self.vectors[item] / np.maximum(np.sqrt((window * window).sum(1)), 1e-9)
+        for w in np.nonzero((cos >= COSINE) | held)[0]:
+            at = int(starts[w])
+            inside = tokens[max(begin, at - STRIDE) : min(end, at + (size + 1) * STRIDE)]
+            share = self._share(item, inside, length, mask)
+            if share > best.get((number, item), (0.0,))[0]:
+                best[number, item] = (share, float(cos[w]), at - begin)
+
+    @staticmethod
+    def _common(mask: dict[int, int], part: np.ndarray) -> int:
+        """The item's places whose word is in the part: no common subsequence is longer."""
+        return sum([mask[t].bit_count() for t in mask.keys() & set(part.tolist())])
+
+    def _share(self, item: int, inside: np.ndarray, length: int, mask: dict[int, int]) -> float:
+        """The share of the item's words that the window has in common with it; 0 when it doesn't count."""
+        if length < WHOLE_WORDS:
+            whole = np.array(self.texts[item], np.int32).tobytes()
+            data, at = inside.tobytes(), -1
+            while (at := data.find(whole, at + 1)) >= 0:
+                if at % 4 == 0:
+                    return 1.0
+            return 0.0
+        if self._common(mask, inside) < self._needed(item):
+            return 0.0
+        part = inside[inside > 0].tolist()
+        share = common_length(mask, length, part) / length
+        if share < LIKELY or share < SURE and len(self.answers[item].intersection(part)) < ANSWER * len(self.answers[item]):
+            return 0.0
+        return share
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words of the items, number of their passage) of some thousand passages at a time."""
+    held, kept, passages = [], [], 0
+    for batch in batches:
+        for value in batch.column(0):
+            tokens = np.frombuffer(value.as_buffer(), np.int32)
+            inside = np.nonzero(tokens)[0]
+            held.append(tokens[inside])
+            kept.append(inside // PASSAGE + passages)
+            passages += len(tokens) // PASSAGE + 1
+            if passages >= 4096:
+                if sum(map(len, held)):
+                    yield np.concatenate(held), np.concatenate(kept)
+                held, kept, passages = [], [], 0
+    if sum(map(len, held)):
+        yield np.concatenate(held), np.concatenate(kept)
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.nonzero(np.concatenate([[True], values[1:] != values[:-1]]))[0]
+
+
+def summed(coded: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.ndarray], rows: int, columns: int) -> np.ndarray:
+    """The sum over all tasks of the matrix that each makes of its texts, added up in parts by rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = work(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([total[p::_PARTS].tobytes() for p in range(_PARTS)], pa.binary())], ["part", "sums"])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(s.as_buffer()) for s in table.column("sums"))
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    total = np.zeros((rows, columns))
+    for r in coded.mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add_up, "part int, sums binary").collect():
+        total[r.part :: _PARTS] = np.frombuffer(r.sums).reshape(-1, columns)
+    return total
 
 
 def build(coded: DataFrame, index: Index) -> Index:
     """Finishes the index from the corpus: (tokens binary) rows of every document's word numbers."""
-    spark, size = coded.sparkSession.sparkContext, len(index.idf)
+    spark, size, wide = coded.sparkSession.sparkContext, len(index.idf), DIMENSIONS + OVERSAMPLE
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, np.int64)
+        seen, texts = np.zeros(size, np.int64), 0
         for batch in batches:
             for tokens in batch.column(0):
                 seen[np.unique(np.frombuffer(tokens.as_buffer(), np.int32))] += 1
+            texts += batch.num_rows
+        # Word 0 is none of the items'; its row counts the texts.
+        seen[0] = texts
         term = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(seen[term])], ["term", "n"])
 
-    count = coded.count()
-    rows = coded.mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(size)
-    for r in rows:
+    for r in coded.mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         seen[r.term] = r.n
     # A word that every document has keeps a weight, or a frequent item's words would all have none.
-    index.idf = np.log(1 + (count + 1) / (seen + 1)).astype(np.float32)
+    index.idf = np.log(1 + (seen[0] + 1) / (seen + 1)).astype(np.float32)
     index.idf[0] = 0
     idf = spark.broadcast(index.idf)
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(11).normal(size=(size, DIMENSIONS)).astype(np.float32) * idf.value[:, None]
-        total = np.zeros((size, DIMENSIONS))
+    def rows_of(tokens: np.ndarray, passage: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = _firsts(passage)
+        return np.add.reduceat(matrix[tokens], first, axis=0), first
 
-        def add(tokens: np.ndarray, passage: np.ndarray) -> None:
-            first = np.nonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))[0]
-            rows = np.add.reduceat(random[tokens], first, axis=0)
+    def products(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """A'(A random), and below it the squares of A random, whose mean tells the size of A."""
+        matrix = np.random.default_rng(11).normal(size=(size, wide)).astype(np.float32) * idf.value[:, None]
+        total = np.zeros((size + 1, wide))
+        for tokens, passage in _passages(batches):
+            rows, first = rows_of(tokens, passage, matrix)
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(passage))))
             order = np.argsort(tokens, kind="stable")
-            terms = tokens[order]
-            start = np.nonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))[0]
-            total[terms[start]] += np.add.reduceat(rows[of[order]], start, axis=0)
-
-        held, kept, passages = [], [], 0
-        for batch in batches:
-            for value in batch.column(0):
-                tokens = np.frombuffer(value.as_buffer(), np.int32)
-                inside = np.nonzero(tokens)[0]
-                held.append(tokens[inside])
-                kept.append(inside // PASSAGE + passages)
-                passages += len(tokens) // PASSAGE + 1
-                if passages >= 4096:
-                    if sum(map(len, held)):
-                        add(np.concatenate(held), np.concatenate(kept))
-                    held, kept, passages = [], [], 0
-        if sum(map(len, held)):
-            add(np.concatenate(held), np.concatenate(kept))
-        parts = [total[p::_PARTS].tobytes() for p in range(_PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
-
-    def add_up(table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(s.as_buffer()) for s in table.column("sums"))
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+            start = _firsts(tokens[order])
+            total[tokens[order][start]] += np.add.reduceat(rows[of[order]], start, axis=0)
+            total[size] += (rows.astype(np.float64) ** 2).sum(0)
+        return total
 
-    total = np.zeros((size, DIMENSIONS))
-    for r in coded.mapInArrow(products, "part int, sums binary").groupBy("part").applyInArrow(add_up, "part int, sums binary").collect():
-        total[r.part :: _PARTS] = np.frombuffer(r.sums).reshape(-1, DIMENSIONS)
-    total *= index.idf[:, None]
+    total = summed(coded, products, size + 1, wide)
     # The items are passages too. Both parts weigh the same, lest frequent words of the corpus leave no
     # room for an item's own words in the basis.
-    random = np.random.default_rng(12).normal(size=(size, DIMENSIONS)) * index.idf[:, None]
-    own = np.zeros((size, DIMENSIONS))
-    for tokens in index.texts:
-        row = random[tokens].sum(0)
-        np.add.at(own, tokens, row / max(1e-12, float((index.idf[tokens] ** 2).sum())))
-    own *= index.idf[:, None]
-    total = total / max(1e-12, np.linalg.norm(total)) + own / max(1e-12, np.linalg.norm(own))
-    basis, _ = np.linalg.qr(np.pad(total, ((0, max(0, DIMENSIONS - size)), (0, 0))))
-    index.finish(basis[:size])
+    weight = index.idf.astype(np.float64)
+
+    def own(matrix: np.ndarray) -> np.ndarray:
+        return np.array([(weight[t, None] * matrix[t]).sum(0) / max(1e-12, math.sqrt(float((weight[t] ** 2).sum()))) for t in index.texts])
+
+    random = np.random.default_rng(11).normal(size=(size, wide))
+    drawn, mine = own(random), np.zeros((size, wide))
+    for t, row in zip(index.texts, drawn, strict=True):
+        np.add.at(mine, t, weight[t, None] * row / max(1e-12, math.sqrt(float((weight[t] ** 2).sum()))))
+    corpus_scale, item_scale = max(1e-12, float(total[size].mean())), max(1e-12, float((drawn**2).sum(0).mean()))
+    ranged = weight[:, None] * total[:size] / corpus_scale + mine / item_scale
+    basis, _ = np.linalg.qr(np.pad(ranged, ((0, max(0, wide - size)), (0, 0))))
+    shared = spark.broadcast((weight[:, None] * basis[:size]).astype(np.float32))
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """(AQ)'(AQ)."""
+        small = np.zeros((wide, wide))
+        for tokens, passage in _passages(batches):
+            rows, _ = rows_of(tokens, passage, shared.value)
+            small += rows.astype(np.float64).T @ rows
+        return small
+
+    placed = own(basis[:size])
+    values, vectors = np.linalg.eigh(summed(coded, squares, wide, wide) / corpus_scale + placed.T @ placed / item_scale)
+    strongest = np.argsort(-values)[:DIMENSIONS]
+    index.singular = np.sqrt(np.maximum(values[strongest], 0))
+    index.finish(basis[:size] @ vectors[:, strongest])
+    idf.destroy()
     return index
 
 
 def _indexes(docs: DataFrame, items: DataFrame, text_col: str) -> Iterator[tuple[Index, DataFrame]]:
-    """A finished index of each block of items, with the documents' word numbers (id, tokens)."""
-    blocks = -(-items.count() // ITEMS_AT_ONCE)
+    """A finished index of the items, with the documents' word numbers (id, tokens).
+
+    A benchmark of more than BYTES_AT_ONCE bytes comes in blocks of about that size.
+    """
+    total = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()[0] or 0
+    blocks = -(-total // BYTES_AT_ONCE)
     for k in range(blocks):
         index = Index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()])
         if not index.ids:
@@ -265,9 +353,14 @@ def _indexes(docs: DataFrame, items: DataFrame, text_col: str) -> Iterator[tuple
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["id", "tokens"])
 
         coded = cut(docs.select("id", F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "id long, tokens binary"), "word-numbers")
+        shared.destroy()
         yield build(coded.select("tokens"), index), coded
 
 
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *texts]), np.cumsum([len(t) for t in texts])
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
@@ -278,9 +371,11 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Documents without any are not in the result. ``overlap`` is the share of the item's words in the
     longest common subsequence with the best window. The benchmark may have an ``answer`` column; else an
-    item's rarest words stand for it. Items of fewer than five words, null texts and empty ones match
-    nothing; a null id stays null; repeated rows repeat their matches; other columns are ignored. Texts
-    are searched whole, and word statistics cover all documents. Empty tables give an empty result.
+    item's rarest words stand for it. Items of fewer than five words match where all of their words stand
+    in a row. In scripts without spaces each character is a word. Items without a word, null texts and
+    empty ones match nothing; a null id stays null; repeated rows repeat their matches; other columns are
+    ignored. Texts are searched whole, and word statistics cover all documents. Empty tables give an
+    empty result.
     """
     schema = "id long, item_id long, overlap double, cosine double, start_word long"
     found = []
@@ -289,7 +384,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in shared.value.matches(np.frombuffer(t.as_buffer(), np.int32))]
+                ids = batch.column(0).to_pylist()
+                found = shared.value.matches(*_joined([np.frombuffer(t.as_buffer(), np.int32) for t in batch.column(1)]))
+                out = [(ids[k], *m) for k, ms in found.items() for m in ms]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], ["id", "item_id", "overlap", "cosine", "start_word"])
 
@@ -307,8 +404,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not shared.value.matches(shared.value.encode(t)) for t in batch.column("text").to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                found = shared.value.matches(*_joined([shared.value.encode(t) for t in batch.column("text").to_pylist()]))
+                yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept

@@ -1,6 +1,10 @@
+import math
 import random
 
-from hirelake.llm.decontaminate import common_length, find_contaminated, keep_clean, words
+import numpy as np
+
+from hirelake.llm.common import cut
+from hirelake.llm.decontaminate import DIMENSIONS, LIKELY, SURE, Index, build, common_length, find_contaminated, keep_clean, words
 from hirelake.llm.queries import op8_decontaminate
 
 
@@ -56,7 +60,7 @@ def corpus(spark):
     docs += [(200, " ".join(line(70) + items[0] + line(50)), 1), (201, " ".join(line(90) + changed + line(10)), 1), (202, " ".join(line(50) + half + line(50)), 1)]
     docs += [(300, None, 1), (301, "", 1), (302, "one", 1), (None, " ".join(items[1]).upper(), 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, ""), (92, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, ""), (92, "too short"), (93, "...")], "item_id long, text string")
     return df, bench
 
 
@@ -95,3 +99,82 @@ def test_table_of_one_document(spark):
     df = spark.createDataFrame([(1, " ".join(["so", *items[0], *items[2][:4]]))], "doc_id long, text string")
     assert [(r.item_id, r.overlap) for r in find_contaminated(df, bench).collect()] == [(0, 1.0)]
     assert keep_clean(df, bench).count() == 0
+
+
+def test_basis_holds_the_leading_singular_vectors(spark):
+    """The latent space carries nearly as much of the TF-IDF rows as that of an exact decomposition."""
+    rng = np.random.default_rng(3)
+    topics = rng.dirichlet(np.full(120, 0.05), 40)
+    names = [f"w{k}" for k in range(120)]
+    docs = [" ".join(rng.choice(names, 60, p=topics[rng.integers(40)])) for _ in range(400)]
+    index = Index([(k, " ".join(names[k * 6 : k * 6 + 6]), None) for k in range(20)])
+    coded = [index.encode(d) for d in docs]
+    build(cut(spark.createDataFrame([(c.tobytes(),) for c in coded], "tokens binary"), "test-words"), index)
+    rows = np.zeros((len(docs), len(index.idf)))
+    for k, c in enumerate(coded):
+        np.add.at(rows[k], c, index.idf[c].astype(float))
+    items = np.zeros((len(index.texts), len(index.idf)))
+    for k, t in enumerate(index.texts):
+        np.add.at(items[k], t, index.idf[t].astype(float) / np.sqrt((index.idf[t].astype(float) ** 2).sum()))
+    basis = np.divide(index.terms, index.idf[:, None], out=np.zeros_like(index.terms), where=index.idf[:, None] > 0).astype(float)
+    both = np.concatenate([rows / np.linalg.norm(rows), items / np.linalg.norm(items)])
+    best = (np.linalg.svd(both, compute_uv=False)[:DIMENSIONS] ** 2).sum()
+    assert np.allclose(basis.T @ basis, np.eye(DIMENSIONS), atol=1e-4)
+    assert ((both @ basis) ** 2).sum() > 0.95 * best and (np.diff(index.singular) <= 1e-9).all()
+
+
+def slow_matches(items, tokens):
+    """Items that some window holds, by the longest common subsequence with every window of the text."""
+    found = set()
+    for k, w in items.items():
+        if len(w) < 5:
+            found |= {k} if any(tokens[i : i + len(w)] == w for i in range(len(tokens))) else set()
+            continue
+        mask = {}
+        for place, t in enumerate(w):
+            mask[t] = mask.get(t, 0) | 1 << place
+        if any(common_length(mask, len(w), tokens[i : i + len(w) + 16]) >= SURE * len(w) for i in range(max(1, len(tokens)))):
+            found.add(k)
+    return found
+
+
+def test_recall_of_edited_items_against_all_windows(spark):
+    """Items with words replaced, dropped, added and moved; what every-window search finds by its share alone is found."""
+    rng = random.Random(11)
+    base = "/root/testdata/sf0.01"
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()}
+    texts = [words(r.text) for r in spark.read.parquet(f"{base}/documents.parquet").limit(120).collect()]
+    docs = []
+    for k, text in enumerate(texts):
+        w = list(items[rng.choice([*items])])
+        for _ in range(len(w) * (k % 6) // 10):
+            at, how = rng.randrange(len(w)), rng.randrange(4)
+            if how == 0:
+                w[at] = "changed"
+            elif how == 1:
+                w.insert(at, "added")
+            elif how == 2 and len(w) > 8:
+                del w[at]
+            elif at + 1 < len(w):
+                w[at], w[at + 1] = w[at + 1], w[at]
+        at = rng.randrange(len(text) + 1)
+        docs.append((k, " ".join(text[:at] + w + text[at:])))
+    want = {(i, k) for i, t in docs for k in slow_matches(items, words(t))}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.overlap for r in find_contaminated(df, spark.read.parquet(f"{base}/benchmark.parquet")).collect()}
+    assert len(want) > 70 and want <= set(found), want - set(found)
+    for i, k in set(found) - want:
+        # The rest hold most of an item with its answer in a slightly wider window.
+        mask = {}
+        for place, t in enumerate(items[k]):
+            mask[t] = mask.get(t, 0) | 1 << place
+        tokens = words(docs[i][1])
+        assert max(common_length(mask, len(items[k]), tokens[j : j + len(items[k]) + 64]) for j in range(len(tokens))) >= math.ceil(LIKELY * len(items[k]) - 1e-9)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    bench = spark.createDataFrame([(1, "nine red birds"), (2, "日本語の長い文章はここにあります"), (3, "?"), (4, None)], "item_id long, text string")
+    docs = [(1, "saw Nine red birds there"), (2, "nine birds red"), (3, "前に日本語の長い文章はここにあります後"), (4, "日本の文"), (5, None), (6, "w " * 70_000 + "nine red birds"), (7, "nine red"), (8, "red birds nine red birds")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_contaminated(df, bench).collect()} == {(1, 1), (3, 2), (6, 1), (8, 1)}
+    assert {r.doc_id for r in keep_clean(df, bench).collect()} == {2, 4, 5, 7}
