@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +26,29 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, a finished query's shuffle files are deleted at once instead of some time later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Cut:
     """A table written to the shared folder: it cuts lineage and outlives lost executors."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_root(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with freed_shuffles(self.spark):
+            df.write.parquet(self.path)
         self.schema = df.schema
 
     def read(self) -> DataFrame:
