@@ -24,6 +24,8 @@ from hirelake.llm.components import connected_components
 SEED = 42
 #: Fingerprints in one tree at most, on average.
 TREE_SIZE = 2048
+#: A fingerprint with more than one of so many parts of all rows is hot.
+HOT = 1000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -165,15 +167,20 @@ def simhash_components(docs: DataFrame, radius: int = 3, width: int = 3, id_col:
     table gives an empty result.
     """
     marked = cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = cut(marked.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    distinct = cut(marked.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
     stars = cut(connected_components(links(distinct, radius)), "fingerprint-components")
     placed = distinct.join(stars, distinct.fp == stars.node).select("fp", "least", "component")
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     reached = placed.join(ids, "component").select("fp", "component_id")
-    known = distinct.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(known, "fp", "left").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    known = distinct.join(reached, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    # At most HOT fingerprints have that share of the rows; their rows find their component without a shuffle.
+    hot = F.broadcast(cut(known.where(F.col("n") * HOT > total), "hot-fingerprints").drop("n"))
+    named = marked.where("id IS NOT NULL")
+    cold = named.join(hot.select("fp"), "fp", "left_anti").join(known.where(F.col("n") * HOT <= total).drop("n"), "fp")
+    nameless = marked.where("id IS NULL").withColumn("component_id", F.lit(None).cast("long"))
+    found = cold.unionByName(named.join(hot, "fp")).unionByName(nameless)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
