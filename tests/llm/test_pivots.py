@@ -1,6 +1,6 @@
 import numpy as np
 
-from hirelake.llm.pivots import near_links
+from hirelake.llm.pivots import near_links, shared_counts
 from hirelake.llm.queries import op3_embeddings
 from tests.llm.test_simhash import components
 
@@ -31,6 +31,39 @@ def test_recall_and_precision(spark, tmp_path):
     assert np.mean([found[i].component_id == least[i] for i in found]) > 0.95
 
 
+def test_recall_of_copies_planted_in_the_given_table(spark, tmp_path):
+    given = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    rng, rows, dim = np.random.default_rng(7), list(given), len(given[0][1])
+    for k, (i, v) in enumerate(given):
+        # Copies at cosines from the threshold up.
+        v = np.array(v, np.float64) / np.linalg.norm(v)
+        for j, cos in enumerate((0.9501, 0.96, 0.98, 0.999)[: k % 5]):
+            side = rng.normal(size=dim)
+            side -= side @ v * v
+            rows.append((1_000_000 + 10 * i + j, (v * cos + side / np.linalg.norm(side) * np.sqrt(1 - cos * cos)).tolist()))
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()]
+    pairs = brute(rows)
+    found = {r.vec_id: r.n_links for r in op3_embeddings(spark, str(tmp_path)).collect()}
+    want = {i: sum(1 for a, b in pairs if a == i and b != i) for i, _ in rows}
+    assert all(found[i] <= want[i] for i in want)
+    recall = sum(found.values()) / sum(want.values())
+    print(f"recall {recall:.4f} of {sum(want.values()) // 2} links")
+    assert recall >= 0.9
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 0.999e200]), (3, [1e-200, 1e-200]), (4, [1.0, 0.2]), (5, [1e-300, 0.2e-300])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(1)
+    a, b = (np.array([rng.permutation(20)[:8] for _ in range(n)]) for n in (5, 7))
+    assert (shared_counts(a, b) == [[len(set(x) & set(y)) for y in b.tolist()] for x in a.tolist()]).all()
+
+
 def test_hot_lists_are_whole(spark, monkeypatch):
     monkeypatch.setattr("hirelake.llm.pivots.CHUNK", 16)
     rng = np.random.default_rng(4)
