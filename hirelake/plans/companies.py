@@ -13,7 +13,7 @@ from hirelake.operators.scoring import score_companies, score_consolidated
 from hirelake.operators.sites import CRAWLED, INTERVALS, REVIEWED, STRUCTURED, TRUSTED, review_precision, schedule_queue, site_alerts, site_selection_scores
 from hirelake.plans.catalog import ORACLES as BASE
 from hirelake.plans.catalog import SCOPE, filing_stats
-from hirelake.plans.fixtures import AS_OF, FILINGS, RUNS, SEEN, SOURCES, SPLIT, TITLES, pick, view
+from hirelake.plans.fixtures import AS_OF, FILINGS, RUNS, SEEN_EVER, SOURCES, SPLIT, TITLES, pick, view
 
 BRANDS = (
     "Amazon.com Services LLC", "Amazonia Foods Inc", "Apple Inc.", "EY LLP", "Ernst & Young U.S. LLP", "Sage Software Inc.", "Sage Therapeutics", "AT&T Services",
@@ -48,8 +48,8 @@ NAME = f"concat({pick(BRANDS, 'c_custkey')}, CASE WHEN c_custkey < 16 THEN '' EL
 COMPANIES = f"""
 SELECT {FEIN.format('c_custkey')} AS fein, {NAME} AS name, {pick(CITIES, 'c_nationkey')} AS city, {pick(STATES, 'c_nationkey')} AS state, coalesce(n, 0) AS lca_count, coalesce(certified, 0) AS certified_count
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS certified FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey) f ON c_custkey = o_custkey"""
-ALIASES = f"SELECT {FEIN.format('c_custkey')} AS fein, {pick(BRANDS, 'c_custkey')} AS alias_name FROM customer WHERE c_custkey % 3 = 0"
-SEARCH_KEYS = f"SELECT {FEIN.format('c_custkey')} AS fein, replace(lower({pick(BRANDS, 'c_custkey + 1')}), ' ', '-') AS search_key FROM customer WHERE c_custkey % 2 = 0"
+ALIASES = f"SELECT {FEIN.format('c_custkey')} AS fein, CASE WHEN c_custkey % 3 = 0 THEN {pick(BRANDS, 'c_custkey')} END AS alias_name FROM customer"
+SEARCH_KEYS = f"SELECT {FEIN.format('c_custkey')} AS fein, CASE WHEN c_custkey % 2 = 0 THEN replace(lower({pick(BRANDS, 'c_custkey + 1')}), ' ', '-') END AS search_key FROM customer"
 TARGETS = f"SELECT {FEIN.format('c_custkey')} AS consolidation_key, c_name AS canonical_name, {pick(('P0', 'P1', 'P2', 'P3'), 'c_custkey')} AS priority_tier, CAST(c_custkey % 23 AS integer) AS priority_score, c_custkey % 11 <> 0 AS enabled FROM customer"
 STATUS = ("unverified", "verified", "verified", "verified", "rejected")
 SITE_ROWS = f"""
@@ -57,8 +57,8 @@ SELECT page_id AS site_id, {FEIN.format('page_id % 60')} AS consolidation_key, {
        {pick(STATUS, 'page_id')} AS verification_status, page_id % 5 <> 1 AS crawl_enabled, {pick(('US', 'US', 'CA'), 'page_id')} AS target_country_code, {pick(('url', 'text', 'unknown', 'url'), 'page_id')} AS scope_method,
        CAST({pick((AS_OF, None), 'page_id')} AS timestamp) AS last_success_at, CAST({pick((None, '2024-01-28 00:00:00', '2024-01-31 12:00:00', '2024-02-03 00:00:00'), 'page_id')} AS timestamp) AS next_crawl_at,
        {pick(('succeeded', 'failed', 'pending'), 'page_id')} AS crawl_status, CAST(page_id % 6 AS integer) AS consecutive_failures, CAST({pick((AS_OF, AS_OF, None), 'page_id')} AS timestamp) AS reviewed_at FROM pages"""
-HISTORY = f"SELECT *, lower(title) AS normalized_title, CASE WHEN active THEN NULL ELSE ts + INTERVAL '1' DAY END AS closed_at, ts AS first_seen_at FROM ({SEEN.format('<')}) seen WHERE latest = 1"
-ACTIONS = f"SELECT site_id, external_job_id FROM ({SEEN.format('<')}) seen WHERE latest = 1 AND event_id % 7 = 0"
+HISTORY = f"SELECT *, lower(title) AS normalized_title, CASE WHEN active THEN NULL ELSE ts + INTERVAL '1' DAY END AS closed_at, ts AS first_seen_at FROM ({SEEN_EVER}) seen WHERE latest = 1"
+ACTIONS = f"SELECT site_id, CASE WHEN event_id % 7 = 0 THEN external_job_id END AS external_job_id FROM ({SEEN_EVER}) seen WHERE latest = 1"
 
 
 def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def site_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule_queue(view(spark, sf_dir, SITE_ROWS, "pages"), view(spark, sf_dir, TARGETS, "customer"), AS_OF).drop("next_crawl_at")
+    return schedule_queue(view(spark, sf_dir, SITE_ROWS, "pages"), view(spark, sf_dir, TARGETS, "customer"), AS_OF)
 
 
 def crawl_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +195,7 @@ SELECT site_id, consolidation_key, source_type, candidate_rank,
             WHEN source_type IN {REVIEWED!r} AND candidate_rank = 1 THEN 'supported_but_needs_specific_review' WHEN source_type = 'icims' THEN 'needs_icims_us_scope_review'
             WHEN source_type = 'generic_html' THEN 'manual_or_later_generic_html' ELSE 'review_candidate' END AS selection_decision
 FROM sites JOIN ({TARGETS}) USING (consolidation_key) WHERE enabled""",
-    "crawl_schedule": f"WITH {_QUEUE} SELECT * EXCLUDE (next_crawl_at) FROM queue",
+    "crawl_schedule": f"WITH {_QUEUE} SELECT * FROM queue",
     "crawl_alerts": f"""
 WITH {_POSTINGS}, {_QUEUE}, a AS (SELECT *, CASE WHEN consecutive_failures >= 3 THEN 'repeated_failure' WHEN crawl_status = 'succeeded' AND site_id NOT IN (SELECT site_id FROM postings WHERE active) THEN 'zero_active_jobs'
       WHEN next_crawl_at < TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR THEN 'overdue' END AS alert_type FROM queue)

@@ -39,6 +39,8 @@ SEEN = f"""
 SELECT user_id % 20 AS site_id, concat(event_type, '-', regexp_extract(props, '([0-9]+)', 1)) AS external_job_id, {pick(TITLES, 'event_id')} AS title, {pick(LOCATIONS, 'event_id')} AS location,
        value < 30 AS active, ts, event_id, row_number() OVER (PARTITION BY user_id % 20, concat(event_type, '-', regexp_extract(props, '([0-9]+)', 1)) ORDER BY ts DESC, event_id DESC) AS latest
 FROM events WHERE ts {{}} TIMESTAMP '{SPLIT}'"""
+#: The same over the whole table.
+SEEN_EVER = SEEN.split(" WHERE ts ")[0]
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

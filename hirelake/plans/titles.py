@@ -12,14 +12,14 @@ from hirelake.plans.companies import FEIN, HISTORY, LABELS, SITE_ROWS, TARGETS,
 from hirelake.plans.fixtures import SOURCES, TARGET_SOC, TITLES, pick, view
 
 CODES = ("15125200", "11101100", "15129908", "29114100", "15205100", "41903100", "13111100")
-MAPPINGS = f"SELECT concat(' ', {pick(TITLES, 'p_partkey')}) AS normalized_job_title, {pick(CODES, 'p_partkey % 24 % 7 + CASE WHEN p_partkey % 24 < 8 THEN p_size % 2 ELSE 0 END')} AS normalized_soc_code FROM part WHERE p_partkey % 24 < 20"
+MAPPINGS = f"SELECT concat(' ', CASE WHEN p_partkey % 24 < 20 THEN '' ELSE 'unseen ' END, {pick(TITLES, 'p_partkey')}) AS normalized_job_title, {pick(CODES, 'p_partkey % 24 % 7 + CASE WHEN p_partkey % 24 < 8 THEN p_size % 2 ELSE 0 END')} AS normalized_soc_code FROM part"
 RULES = rows_sql(
     "rule_type, canonical_role, term, regex_pattern, decision_reason, priority",
     ("non_target", None, "senior", "(^|[^a-z])senior([^a-z]|$)", titles.SENIOR_RULE, 10), ("non_target", None, "intern", "(^|[^a-z])intern([^a-z]|$)", "avoid_intern", 20), ("non_target", None, "nurse", "nurse", "avoid_field", 50),
     ("non_target", None, "warehouse", "warehouse|driver", "avoid_field", 50), ("target", "product", "product manager", "product manager", "for_product", 10), ("target", "data", "data", "data (analyst|engineer)", "for_data", 20),
     ("target", "program", "program manager", "program manager", "for_program", 10), ("target", "engineer", "engineer", "engineer", "for_engineer", 20), ("target", "systems", "systems engineer", "systems engineer", "for_systems", 20),
 )
-SUGGESTIONS = f"SELECT lower({pick(TITLES, 'event_id')}) AS normalized_title, CAST((event_id % 97) * 0.01 AS decimal(6,5)) AS ml_confidence, ts AS created_at, event_id AS suggestion_id FROM events WHERE event_id % 24 < 18"
+SUGGESTIONS = f"SELECT concat(CASE WHEN event_id % 24 < 18 THEN '' ELSE 'unseen ' END, lower({pick(TITLES, 'event_id')})) AS normalized_title, CAST((event_id % 97) * 0.01 AS decimal(6,5)) AS ml_confidence, ts AS created_at, event_id AS suggestion_id FROM events"
 ELIGIBLE = f"SELECT {FEIN.format('c_custkey')} AS consolidation_key, {pick(('P1', 'P2'), 'c_custkey')} AS priority_tier, CAST(c_custkey % 23 AS integer) AS priority_score, CASE WHEN c_nationkey % 4 = 0 THEN 1 ELSE 0 END AS chicago_score, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS linkedin_top_employer_score, c_custkey % 200 AS lca_count FROM customer"
 #: Fewer companies, so that some have several sites of one kind.
 DENSE = SITE_ROWS.replace("page_id % 60", "page_id % 12")

@@ -10,10 +10,11 @@ from hirelake.functions.market import market_scope
 from hirelake.functions.money import annual_salary, is_chicago_area
 from hirelake.functions.titles import employer_match_key, is_executive, normalize_soc_code, product_role_category
 from hirelake.operators.postings import apply_snapshot
-from hirelake.plans import catalog, companies, streams, titles
+from hirelake.plans import catalog, companies, jobs, reports, streams, titles
 from hirelake.sources.tables import merge_upsert
 
-QUERIES, ORACLES = catalog.QUERIES | companies.QUERIES | titles.QUERIES | streams.QUERIES, catalog.ORACLES | companies.ORACLES | titles.ORACLES | streams.ORACLES
+PLANS = (catalog, companies, titles, reports, jobs, streams)
+QUERIES, ORACLES = ({k: v for plan in PLANS for k, v in getattr(plan, name).items()} for name in ("QUERIES", "ORACLES"))
 BASE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
