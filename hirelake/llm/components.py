@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from hirelake.llm.common import Cut
 
-MAX_ROUNDS = 100
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Ties each larger neighbour of a node to the least node near it."""
@@ -36,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     now = Cut(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         following = Cut(_small_star(_large_star(now.read())), "edges")
         state = following.read().agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         now.drop()
@@ -44,7 +42,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")
     stars = now.read()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

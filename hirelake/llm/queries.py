@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hirelake.llm import oracles
 from hirelake.llm.bpe import encode_texts
 from hirelake.llm.common import table
 from hirelake.llm.decontaminate import find_contaminated
@@ -67,6 +68,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_simhash": oracles.OP1,
+    "op3_embeddings": oracles.OP3,
+    "op5_suffixes": oracles.OP5,
     "op2_urlfilter": r"""
 WITH rest AS (
   SELECT page_id, regexp_extract(coalesce(url, ''), '^.*?://(.*)$', 1, 's') AS r FROM pages),
