@@ -1,15 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of all documents, and the benchmark's items, are TF-IDF rows over the benchmark's words. A
-distributed randomised SVD finds their leading right singular vectors: every task multiplies its passages
-with a random matrix and the result with the passages again, the products are summed, and an orthonormal
-basis Q of their range, some columns wider than wanted, is cut from them. A second pass sums the small
-matrix (AQ)'(AQ), whose eigenvectors turn Q into the singular vectors and whose eigenvalues are the
-squared singular values; the weakest columns are cut off. Windows of documents whose latent vectors are
-close to an item's by cosine are its candidates, and so are those that hold enough of an item's rarer
-words, whatever their cosine. A candidate counts when the longest common subsequence of words holds most
-of the item, or a good part of it together with the item's rarest words, its answer. A stretch of text
-that lacks the item's rarer words can't count and isn't looked at again.
+Passages of all documents, and the benchmark's items, are TF-IDF rows A over the benchmark's words. A
+distributed randomised singular value decomposition finds their leading right singular vectors: every
+task multiplies its passages with a random matrix, some columns wider than wanted, and the result with
+the passages again; the products are summed to A'A times the random matrix, and from these two alone a
+small decomposition gives singular vectors and values, of which the weakest are cut off. Windows of
+documents whose latent vectors are close to an item's by cosine are its candidates, and so are those that
+hold enough of an item's rarer words, whatever their cosine. A candidate counts when the longest common
+subsequence of words holds most of the item, or a good part of it together with the item's rarest words,
+its answer. A stretch of text that lacks the item's rarer words can't count and isn't looked at again.
 """
 
 from __future__ import annotations
@@ -26,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import cut
+from hirelake.llm.langid import Index as Positions
 
 #: Latent dimensions, and columns of the random matrix beyond them; words of a passage.
-DIMENSIONS, OVERSAMPLE, PASSAGE = 32, 8, 64
+DIMENSIONS, OVERSAMPLE, PASSAGE = 32, 16, 64
 #: Words between window starts; window starts of a stretch that is judged at once; the cosine of a candidate.
 STRIDE, STRETCH, COSINE = 16, 8, 0.5
 #: Shares of an item's words in common: enough alone, and enough together with the answer's share.
@@ -37,11 +37,16 @@ SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8
 WHOLE_WORDS = 5
 #: Bytes of item texts that are indexed (and broadcast) at once; more items take another pass over the corpus.
 BYTES_AT_ONCE = 16 << 20
-#: Cells of the table of stretches and items that are judged at once.
-CELLS = 1 << 22
+#: Cells of the table of stretches and items that are judged at once, and characters or words of texts at once.
+CELLS, AT_ONCE = 1 << 20, 1 << 19
 #: Scripts that write without spaces: each of their characters is a word.
 SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _SPACELESS, _MIXED, _WORD = re.compile(f"[{SPACELESS}]"), re.compile(rf"[{SPACELESS}]|[^\W{SPACELESS}]+"), re.compile(r"\w+")
+#: Beyond ASCII, what is no part of a word or is a word alone.
+_ODD = re.compile(rf"[^\x00-\x7f\w]|[{SPACELESS}]")
+_IN_WORD = np.array([chr(b).isalnum() or b == 95 or b > 127 for b in range(256)])
+#: Bytes of the longest word that is found by its hash.
+_LONGEST = 255
 _PARTS = 16
 
 
@@ -62,6 +67,28 @@ def common_length(item: dict[int, int], size: int, tokens: list[int]) -> int:
     return size - row.bit_count()
 
 
+def grouped(sizes: list[int]) -> Iterator[range]:
+    """Ranges of the sizes' places, each of AT_ONCE in sum or of one place."""
+    begin, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > begin and total + size > AT_ONCE:
+            yield range(begin, k)
+            begin, total = k, 0
+        total += size
+    if begin < len(sizes):
+        yield range(begin, len(sizes))
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about AT_ONCE characters, each but the last up to a space."""
+    lo = 0
+    while lo < len(text):
+        hi = text.find(" ", lo + AT_ONCE)
+        hi = len(text) if hi < 0 else hi + 1
+        yield text[lo:hi]
+        lo = hi
+
+
 class Index:
     """The benchmark's items in the latent space, and what verifies a candidate."""
 
@@ -85,6 +112,55 @@ class Index:
         found = words(text)
         return np.fromiter(map(self.number.get, found, repeat(0)), np.int32, len(found))
 
+    def _hashes(self) -> tuple[np.ndarray, np.ndarray, Positions, np.ndarray] | None:
+        """Values of bytes and places, and the words' numbers by their hashes; nothing where a word is too long.
+
+        The values are drawn until the words' own hashes differ. That of another word is one of theirs with
+        a chance of their number in 2**64.
+        """
+        if not hasattr(self, "_found"):
+            names = [w.encode("utf-8", "surrogatepass") for w in self.number]
+            self._found = None
+            for seed in range(9):
+                draw = np.random.default_rng(seed).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+                keys = np.array([(draw[0][np.frombuffer(w, np.uint8)] * draw[1][: len(w)]).sum(dtype=np.uint64) for w in names if len(w) <= _LONGEST], np.uint64)
+                if len(keys) == len(names) and len(np.unique(keys)) == len(keys):
+                    order = np.argsort(keys)
+                    self._found = (draw[0], draw[1], Positions(keys[order]), np.append(order + 1, 0).astype(np.int32))
+                    break
+        return self._found
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """``encode`` of each text; long ones in pieces that end at a space."""
+        out = []
+        for group in grouped([len(t or "") for t in texts]):
+            some = texts[group.start : group.stop]
+            if len(some) == 1 and len(some[0] or "") > 2 * AT_ONCE:
+                out.append(np.concatenate([self._encode_some([piece])[0] for piece in pieces(some[0])]))
+            else:
+                out += self._encode_some(some)
+        return out
+
+    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
+        """``encode`` of each text, those of plain words all at once by the words' hashes."""
+        found = self._hashes()
+        low = [(t or "").lower() for t in texts]
+        plain = [found is not None and (t.isascii() or not _ODD.search(t)) for t in low]
+        data = "\n".join([t for t, p in zip(low, plain, strict=True) if p])
+        data = np.frombuffer((data + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+        inside = _IN_WORD[data]
+        edges = np.nonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))[0]
+        starts, ends = edges[::2], edges[1::2]
+        codes = np.zeros(0, np.int32)
+        if len(starts):
+            size = ends - starts
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            hashes = np.add.reduceat(found[0][data[inside]] * found[1][np.minimum(place, _LONGEST)], np.cumsum(size) - size)
+            codes = found[3][found[2].find(hashes)]
+        sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t, p in zip(low, plain, strict=True) if p]
+        parts = iter(np.split(codes, np.searchsorted(starts, np.cumsum([s + 1 for s in sizes])[:-1])) if sizes else [])
+        return [next(parts) if p else self.encode(t) for t, p in zip(texts, plain, strict=True)]
+
     def finish(self, basis: np.ndarray) -> None:
         """Takes the words' latent basis and places the items."""
         self.terms = (self.idf[:, None] * basis).astype(np.float32)
@@ -283,18 +359,16 @@ def build(coded: DataFrame, index: Index) -> Index:
     index.idf[0] = 0
     idf = spark.broadcast(index.idf)
 
-    def rows_of(tokens: np.ndarray, passage: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = _firsts(passage)
-        return np.add.reduceat(matrix[tokens], first, axis=0), first
-
     def products(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         """A'(A random), and below it the squares of A random, whose mean tells the size of A."""
         matrix = np.random.default_rng(11).normal(size=(size, wide)).astype(np.float32) * idf.value[:, None]
         total = np.zeros((size + 1, wide))
         for tokens, passage in _passages(batches):
-            rows, first = rows_of(tokens, passage, matrix)
+            first = _firsts(passage)
+            rows = np.add.reduceat(matrix[tokens], first, axis=0)
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(passage))))
-            order = np.argsort(tokens, kind="stable")
+            # Numbers of 16 bits are sorted by radix.
+            order = np.argsort(tokens.astype(np.uint16) if size <= 1 << 16 else tokens, kind="stable")
             start = _firsts(tokens[order])
             total[tokens[order][start]] += np.add.reduceat(rows[of[order]], start, axis=0)
             total[size] += (rows.astype(np.float64) ** 2).sum(0)
@@ -313,27 +387,27 @@ def build(coded: DataFrame, index: Index) -> Index:
     for t, row in zip(index.texts, drawn, strict=True):
         np.add.at(mine, t, weight[t, None] * row / max(1e-12, math.sqrt(float((weight[t] ** 2).sum()))))
     corpus_scale, item_scale = max(1e-12, float(total[size].mean())), max(1e-12, float((drawn**2).sum(0).mean()))
-    ranged = weight[:, None] * total[:size] / corpus_scale + mine / item_scale
-    basis, _ = np.linalg.qr(np.pad(ranged, ((0, max(0, wide - size)), (0, 0))))
-    shared = spark.broadcast((weight[:, None] * basis[:size]).astype(np.float32))
-
-    def squares(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        """(AQ)'(AQ)."""
-        small = np.zeros((wide, wide))
-        for tokens, passage in _passages(batches):
-            rows, _ = rows_of(tokens, passage, shared.value)
-            small += rows.astype(np.float64).T @ rows
-        return small
-
-    placed = own(basis[:size])
-    values, vectors = np.linalg.eigh(summed(coded, squares, wide, wide) / corpus_scale + placed.T @ placed / item_scale)
-    strongest = np.argsort(-values)[:DIMENSIONS]
-    index.singular = np.sqrt(np.maximum(values[strongest], 0))
-    index.finish(basis[:size] @ vectors[:, strongest])
+    basis, index.singular = decomposed(weight[:, None] * total[:size] / corpus_scale + mine / item_scale, random)
+    index.finish(basis)
     idf.destroy()
     return index
 
 
+def decomposed(product: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors and singular values of A, from A'A ``random``.
+
+    The small matrix random'(A'A)random is inverted on its range, which gives a factor of A'A as wide as
+    ``random``; its singular value decomposition is cut off after DIMENSIONS columns. Missing ones are zero.
+    """
+    values, vectors = np.linalg.eigh((random.T @ product + product.T @ random) / 2)
+    good = values > 1e-10 * max(1e-300, float(values.max()))
+    factor = product @ (vectors[:, good] / np.sqrt(values[good]))
+    left, singular, _ = np.linalg.svd(factor, full_matrices=False)
+    left, singular = left[:, :DIMENSIONS], singular[:DIMENSIONS]
+    missing = DIMENSIONS - len(singular)
+    return np.pad(left, ((0, 0), (0, missing))), np.pad(singular, (0, missing))
+
+
 def _indexes(docs: DataFrame, items: DataFrame, text_col: str) -> Iterator[tuple[Index, DataFrame]]:
     """A finished index of the items, with the documents' word numbers (id, tokens).
 
@@ -349,7 +423,7 @@ def _indexes(docs: DataFrame, items: DataFrame, text_col: str) -> Iterator[tuple
 
         def encode(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                coded = [shared.value.encode(t).tobytes() for t in batch.column(1).to_pylist()]
+                coded = [c.tobytes() for c in shared.value.encode_all(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary())], ["id", "tokens"])
 
         coded = cut(docs.select("id", F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "id long, tokens binary"), "word-numbers")
@@ -384,9 +458,10 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                found = shared.value.matches(*_joined([np.frombuffer(t.as_buffer(), np.int32) for t in batch.column(1)]))
-                out = [(ids[k], *m) for k, ms in found.items() for m in ms]
+                ids, texts, out = batch.column(0).to_pylist(), [np.frombuffer(t.as_buffer(), np.int32) for t in batch.column(1)], []
+                for group in grouped([len(t) for t in texts]):
+                    found = shared.value.matches(*_joined(texts[group.start : group.stop]))
+                    out += [(ids[group.start + k], *m) for k, ms in found.items() for m in ms]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], ["id", "item_id", "overlap", "cosine", "start_word"])
 
@@ -404,8 +479,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = shared.value.matches(*_joined([shared.value.encode(t) for t in batch.column("text").to_pylist()]))
-                yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))
+                texts, dirty = batch.column("text").to_pylist(), set()
+                for group in grouped([len(t or "") for t in texts]):
+                    found = shared.value.matches(*_joined(shared.value.encode_all(texts[group.start : group.stop])))
+                    dirty.update(group.start + k for k in found)
+                yield batch.filter(pa.array([k not in dirty for k in range(batch.num_rows)], pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept

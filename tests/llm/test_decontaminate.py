@@ -120,6 +120,8 @@ def test_basis_holds_the_leading_singular_vectors(spark):
     both = np.concatenate([rows / np.linalg.norm(rows), items / np.linalg.norm(items)])
     best = (np.linalg.svd(both, compute_uv=False)[:DIMENSIONS] ** 2).sum()
     assert np.allclose(basis.T @ basis, np.eye(DIMENSIONS), atol=1e-4)
+    exact = np.linalg.svd(both, compute_uv=False)
+    assert np.allclose(index.singular[:3], exact[:3], rtol=0.1), (index.singular[:3], exact[:3])
     assert ((both @ basis) ** 2).sum() > 0.95 * best and (np.diff(index.singular) <= 1e-9).all()
 
 
@@ -178,3 +180,12 @@ def test_short_items_and_scripts_without_spaces(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in find_contaminated(df, bench).collect()} == {(1, 1), (3, 2), (6, 1), (8, 1)}
     assert {r.doc_id for r in keep_clean(df, bench).collect()} == {2, 4, 5, 7}
+
+
+def test_batches_are_encoded_like_single_texts(monkeypatch):
+    items = [(1, "the small house by the sea", None), (2, "ein grünes haus am see", None), (3, "日本の家", "家")]
+    texts = ["The SMALL house, by: the_sea", "«Ein» grünes Haus!", "日本の家です", None, "", "\n\nsea", "x" * 400 + " house", "A_b é", "¿sea"]
+    for more in ([], [(4, "y" * 300 + " long word", None)]):
+        index = Index(items + more)
+        monkeypatch.setattr("hirelake.llm.decontaminate.AT_ONCE", 1 << 19 if more else 12)
+        assert all(np.array_equal(index.encode(t), c) for t, c in zip(texts, index.encode_all(texts), strict=True))
