@@ -13,6 +13,7 @@ from hirelake.llm.langid import identify
 from hirelake.llm.pii import find_spans
 from hirelake.llm.pivots import near_links
 from hirelake.llm.simhash import simhash_components
+from hirelake.llm.topk import exact_topk
 from hirelake.llm.tokencount import count_tokens
 from hirelake.llm.suffixes import remove_repeats
 from hirelake.llm.toxicity import score_toxicity
@@ -62,15 +63,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(table(spark, sf_dir, "documents"))
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op5_suffixes, op6_bpe, op7_langid, op8_decontaminate, op9_tokencount, op10_pii)
+    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op5_suffixes, op6_bpe, op7_langid, op8_decontaminate, op9_tokencount, op10_pii, op13_topk)
 }
 
 ORACLES = {
     "op1_simhash": oracles.OP1,
     "op3_embeddings": oracles.OP3,
     "op5_suffixes": oracles.OP5,
+    "op13_topk": oracles.OP13,
     "op2_urlfilter": r"""
 WITH rest AS (
   SELECT page_id, regexp_extract(coalesce(url, ''), '^.*?://(.*)$', 1, 's') AS r FROM pages),
