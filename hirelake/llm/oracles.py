@@ -107,6 +107,32 @@ r AS (SELECT k, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER
 SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN r USING (k)
 """
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces),
+placed AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded),
+spans AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS p, m FROM placed, (VALUES (1), (2), (3), (4)) AS sizes(m) WHERE i + m - 1 <= len(ws)),
+f AS MATERIALIZED (SELECT lang, p, m, count(*) AS f FROM spans GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM worded GROUP BY lang),
+found AS (SELECT lang, p, m, string_split(p, ' ') AS ws, f AS a FROM f WHERE m >= 2),
+ways AS (SELECT lang, p, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM found)),
+cuts AS (
+  SELECT w.lang, w.p, w.a, k, g.f AS l, h.f AS r, CAST(CAST(2000000 AS HUGEINT) * w.a // (CAST(g.f AS HUGEINT) + h.f) AS BIGINT) AS score
+  FROM ways w JOIN f g ON g.lang = w.lang AND g.p = w.x JOIN f h ON h.lang = w.lang AND h.p = w.y),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+starts AS (SELECT *, unnest(range(1, m + 1)) AS i FROM found),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + z - 1], ' ') AS p, max(a) AS cover
+  FROM starts, (VALUES (2), (3)) AS sizes(z) WHERE z < m AND i + z - 1 <= m GROUP BY ALL),
+ranked AS (
+  SELECT s.*, s.p AS phrase, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.p) AS rank
+  FROM scored s LEFT JOIN inside ON inside.lang = s.lang AND inside.p = s.p
+  WHERE cover IS NULL OR CAST(100 AS HUGEINT) * cover < CAST(80 AS HUGEINT) * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 OP13 = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

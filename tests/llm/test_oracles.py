@@ -8,7 +8,7 @@ from tests.conftest import SMALL
 @pytest.mark.parametrize("name", ORACLES)
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = QUERIES[name](spark, SMALL)
     columns = sorted(got.columns)
