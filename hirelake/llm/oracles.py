@@ -133,6 +133,65 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+def _edit(e: str, cost: int | str, initial: str) -> str:
+    """An edit before what costs and reads ``e``: nine digits of cost, then the audit."""
+    return f"printf('%09d', CAST(e{e}[1:9] AS BIGINT) + {cost}) || '{initial}' || e{e}[10:]"
+
+
+def _own(state: int, keeps: dict[str, int], due: int) -> str:
+    """The least (cost, audit) of a row's own edits in a state of the grammar."""
+    kept = " ".join(f"WHEN initial = '{r}' THEN {_edit(str(to), 'extra', 'K')}" for r, to in keeps.items())
+    stays = f"least({_edit(str(due), '3 + extra', 'R')}, CASE {kept} ELSE 'none' END)"
+    return f"least({_edit(str(state), 4, 'D')}, CASE WHEN fault IN ('blank', 'duplicate') THEN 'none' ELSE {stays} END)"
+
+
+_STEP = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+OP12 = rf"""
+WITH RECURSIVE spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                            lambda c, b: list_reduce(range(0, 8), lambda x, k: {_STEP}, xor(c, b)), 4294967295), 4294967295) % 20 AS d FROM spaced),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM summed WHERE d <> 0),
+numbered AS (
+  SELECT *, CASE WHEN role = '' THEN ' ' ELSE role[1:1] END AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN regexp_matches(text, '[^ 	-.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+given AS MATERIALIZED (SELECT conv_id, i, initial, role, text, fault, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM faulty),
+figures AS MATERIALIZED (
+  SELECT conv_id, count(*) AS rows, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id),
+solved AS (
+  SELECT conv_id, rows AS i, '000000000' AS e0, '000000006II' AS e1, '000000003I' AS e2, '000000000' AS e3 FROM figures
+  UNION ALL
+  SELECT conv_id, i, least(b0, printf('%09d', CAST(n2[1:9] AS BIGINT) + 3) || 'I' || n2[10:]), least(b1, printf('%09d', CAST(n2[1:9] AS BIGINT) + 3) || 'I' || n2[10:]), n2, n3 FROM (
+    SELECT *, least(b2, printf('%09d', CAST(b3[1:9] AS BIGINT) + 3) || 'I' || b3[10:]) AS n2, least(b3, printf('%09d', CAST(b2[1:9] AS BIGINT) + 3) || 'I' || b2[10:]) AS n3 FROM (
+      SELECT s.conv_id, s.i - 1 AS i, {_own(0, {"s": 1, "u": 2}, 2)} AS b0, {_own(1, {"u": 2}, 2)} AS b1, {_own(2, {"a": 3}, 3)} AS b2, {_own(3, {"u": 2}, 2)} AS b3
+      FROM solved s JOIN given g ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.i))),
+audits AS (SELECT conv_id, CAST(e0[1:9] AS BIGINT) AS cost, e0[10:] AS audit FROM solved WHERE i = 0),
+edits AS (SELECT conv_id, generate_subscripts(string_split(audit, ''), 1) AS j, unnest(string_split(audit, '')) AS e FROM audits WHERE audit <> ''),
+met AS (SELECT *, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS i, sum(CASE WHEN e = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS p FROM edits),
+lines AS (
+  SELECT m.conv_id, j, e, p, g.role, CASE WHEN e = 'I' THEN '' ELSE g.text END AS text,
+         max(CASE WHEN p = 1 AND e = 'K' AND g.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id) AS headed
+  FROM met m LEFT JOIN given g ON g.conv_id IS NOT DISTINCT FROM m.conv_id AND g.i = m.i WHERE e <> 'D'),
+repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (p - headed) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS digest FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 OP13 = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

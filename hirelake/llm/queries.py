@@ -9,6 +9,7 @@ from hirelake.llm import oracles
 from hirelake.llm.bpe import encode_texts
 from hirelake.llm.collocations import mine_collocations
 from hirelake.llm.common import table
+from hirelake.llm.conversations import repair_conversations
 from hirelake.llm.decontaminate import find_contaminated
 from hirelake.llm.langid import identify
 from hirelake.llm.pii import find_spans
@@ -68,13 +69,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op5_suffixes, op6_bpe, op7_langid, op8_decontaminate, op9_tokencount, op10_pii, op11_collocations, op13_topk)
+    for f in (op1_simhash, op2_urlfilter, op3_embeddings, op4_toxicity, op5_suffixes, op6_bpe, op7_langid, op8_decontaminate, op9_tokencount, op10_pii, op11_collocations, op12_conversations, op13_topk)
 }
 
 ORACLES = {
@@ -82,6 +87,7 @@ ORACLES = {
     "op3_embeddings": oracles.OP3,
     "op5_suffixes": oracles.OP5,
     "op11_collocations": oracles.OP11,
+    "op12_conversations": oracles.OP12,
     "op13_topk": oracles.OP13,
     "op2_urlfilter": r"""
 WITH rest AS (
