@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hirelake.llm.common import cut
+from hirelake.llm.common import cut, freed_shuffles
 
 #: Words of the longest phrase.
 LONGEST = 4
 PIECE_ENDS = r"[.,;:!?\n-\r]"
 SPACES = r"[ \t]+"
-#: Hashed pairs and words are counted in so many buckets; their bitmap, of 32 MB at most, is all that is broadcast.
+#: Hashed words, pairs and triples are counted in so many buckets; two bitmaps of 32 MB are all that is broadcast.
 BUCKETS = 1 << 28
 #: Spark's bitmaps hold so many bits each.
 BITS = 1 << 15
 #: Texts are taken together up to so many bytes, so that memory follows the longest text and not the batch.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,8 +60,12 @@ def _word_bucket(h: np.ndarray) -> np.ndarray:
     return _bucket(h * _ODD)
 
 
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first * np.uint64(0xD1B54A32D192ED03) + second
+
+
 def _pair_bucket(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _bucket(first * np.uint64(0xD1B54A32D192ED03) + second)
+    return _bucket(_mixed(first, second))
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
@@ -75,34 +79,78 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
                 yield lang, Words(texts)
 
 
-def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(buckets: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(counts.astype(np.int64))], ["bucket", "n"])
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each bucket is met by the words and the pairs of a chunk."""
     for lang, words in chunks(batches):
-        hashes, has_next = words.hashes(lang), words.pairs()
+        hashes, at, size = words.hashes(lang), np.flatnonzero(words.pairs()), max(1, len(words.vocabulary))
         counts = np.bincount(words.codes, minlength=len(words.vocabulary))
-        pair, times = np.unique(words.codes[:-1][has_next[:-1]] * len(words.vocabulary) + words.codes[1:][has_next[:-1]], return_counts=True)
-        first, second = np.divmod(pair, max(1, len(words.vocabulary)))
-        buckets = np.concatenate((_word_bucket(hashes), _pair_bucket(hashes[first], hashes[second])))
-        yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.concatenate((counts, times)).astype(np.int64))], ["bucket", "n"])
+        pair, times = np.unique(words.codes[at] * size + words.codes[at + 1], return_counts=True)
+        first, second = np.divmod(pair, size)
+        yield _counted(np.concatenate((_word_bucket(hashes), _pair_bucket(hashes[first], hashes[second]))), np.concatenate((counts, times)))
+
+
+class Frequent:
+    """Which words, pairs and triples may be frequent: bitmaps of buckets."""
+
+    def __init__(self, pairs: np.ndarray, triples: np.ndarray | None = None) -> None:
+        self.maps = (pairs, triples)
+
+    def _has(self, level: int, buckets: np.ndarray) -> np.ndarray:
+        return (self.maps[level][buckets >> 3] >> (buckets & 7)) & 1 > 0
+
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        return self._has(0, _word_bucket(hashes))
+
+    def links(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """Whether each word and the next one are a pair that may be frequent."""
+        linked = words.pairs()
+        at = np.flatnonzero(linked)
+        linked[at] = self._has(0, _pair_bucket(hashes[words.codes[at]], hashes[words.codes[at + 1]]))
+        return linked
+
+    def triples(self, words: Words, hashes: np.ndarray, linked: np.ndarray) -> np.ndarray:
+        """Whether each word and the next two are a triple that may be frequent."""
+        at = _twice(linked)
+        found = np.zeros(len(linked), bool)
+        found[at] = self._has(1, _triple_bucket(words.codes, hashes, at))
+        return found
+
+
+def _twice(linked: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(linked[:-1] & linked[1:])
+
+
+def _triple_bucket(codes: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _pair_bucket(_mixed(hashes[codes[at]], hashes[codes[at + 1]]), hashes[codes[at + 2]])
+
+
+def count_triples(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    """How often each bucket is met by the triples of a chunk, both of whose pairs may be frequent."""
+    for lang, words in chunks(batches):
+        hashes = words.hashes(lang)
+        buckets, times = np.unique(_triple_bucket(words.codes, hashes, _twice(frequent.links(words, hashes))), return_counts=True)
+        yield _counted(buckets, times)
 
 
-def windows_of(words: Words, lang: str, frequent: np.ndarray) -> pa.RecordBatch:
-    """The counted windows of a chunk: each word with up to three next ones, as far as all pairs may be frequent.
+def windows_of(words: Words, lang: str, frequent: Frequent) -> pa.RecordBatch:
+    """The counted windows of a chunk: each word with up to three next ones, as far as all pairs and triples may be frequent.
 
     A word that can't be frequent is no word of any counted phrase: it counts as a window without words.
     """
-    bit = lambda b: (frequent[b >> 3] >> (b & 7)) & 1 > 0
     codes, hashes, size = words.codes, words.hashes(lang), len(words.vocabulary)
-    linked = words.pairs()
-    at = np.flatnonzero(linked)
-    linked[at] = bit(_pair_bucket(hashes[codes[at]], hashes[codes[at + 1]]))
+    linked = frequent.links(words, hashes)
+    longer = np.append(frequent.triples(words, hashes, linked), [False] * LONGEST)
     alone = np.bincount(codes[~linked], minlength=size)
-    known = bit(_word_bucket(hashes)) if size else np.zeros(0, bool)
+    known = frequent.words(hashes)
     # Windows of two words and more: code + 1 of each, 0 for none.
     starts = np.flatnonzero(linked)
     columns, open_ = [codes[starts] + 1, codes[starts + 1] + 1], np.ones(len(starts), bool)
     for k in range(2, LONGEST):
-        open_ = open_ & np.append(linked, [False] * LONGEST)[starts + k - 1]
+        open_ = open_ & longer[starts + k - 2]
         columns.append(np.where(open_, np.append(codes, [0] * LONGEST)[starts + k] + 1, 0))
     number = columns[0]
     for column in columns[1:]:
@@ -117,14 +165,15 @@ def windows_of(words: Words, lang: str, frequent: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), *strings, pa.array(counts)], ["lang", *WORDS, "n"])
 
 
-def frequent_buckets(texts: DataFrame, least: int) -> np.ndarray:
-    """A bitmap of the buckets that words and pairs meet ``least`` times or more; of a fixed size."""
-    counted = texts.mapInArrow(count_buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    maps = counted.groupBy(F.floor(F.col("bucket") / BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("bucket") % BITS).alias("bits"))
+def bitmap(counted: DataFrame, least: int) -> np.ndarray:
+    """The buckets that are met ``least`` times or more, as a bitmap of a fixed size; shuffle files are freed at once."""
+    sums = counted.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    maps = sums.groupBy(F.floor(F.col("bucket") / BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("bucket") % BITS).alias("bits"))
     found = np.zeros(BUCKETS // 8, np.uint8)
-    # At most BUCKETS / BITS rows of 4 KB.
-    for row in maps.toLocalIterator():
-        found[row.part * (BITS // 8) : (row.part + 1) * (BITS // 8)] = np.frombuffer(bytes(row.bits), np.uint8)
+    with freed_shuffles(counted.sparkSession):
+        # At most BUCKETS / BITS rows of 4 KB.
+        for row in maps.collect():
+            found[row.part * (BITS // 8) : (row.part + 1) * (BITS // 8)] = np.frombuffer(bytes(row.bits), np.uint8)
     return found
 
 
@@ -136,15 +185,19 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
     """(lang, words, f): how often each phrase of one to four words occurs, if ``least`` times or more, and n of each lang.
 
     The row with no words has the count of all words of its lang. Longest windows are counted once; ROLLUP
-    sums them to their prefixes. Words and pairs whose bucket isn't met often enough are certainly rare,
-    and end a window: no phrase that counts holds one.
+    sums them to their prefixes. Words, pairs and triples whose bucket isn't met often enough are certainly
+    rare, and end a window: no phrase that counts holds one. Where so many words meet that all buckets
+    fill, no window ends early: the counts are the same, and more of them are shuffled.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_buckets(texts, least))
+    context, counts = docs.sparkSession.sparkContext, "bucket long, n long"
+    some = context.broadcast(Frequent(bitmap(texts.mapInArrow(count_pairs, counts), least)))
+    triples = bitmap(texts.mapInArrow(lambda batches: count_triples(batches, some.value), counts), least)
+    all_ = context.broadcast(Frequent(some.value.maps[0], triples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in chunks(batches):
-            yield windows_of(words, lang, bits.value)
+            yield windows_of(words, lang, all_.value)
 
     schema = ", ".join(["lang string", *(f"{w} string" for w in WORDS), "n long"])
     windows = texts.mapInArrow(run, schema).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
