@@ -93,9 +93,28 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(F.lower(url), "^[a-z]+://", ""), "^[^/?#]*([^?#]*)", 1)
 
 
+#: Services by the end of a host, the words of a career page's path, and the patterns of paths.
+MISSED = (
+    ("%myworkdayjobs.com", "workday"), ("%greenhouse.io", "greenhouse"), ("%lever.co", "lever"), ("%ashbyhq.com", "ashby"), ("%smartrecruiters.com", "smartrecruiters"),
+    ("%icims.com", "icims"), ("%successfactors.%", "successfactors"), ("%oraclecloud.com%", "oracle_cloud"),
+)
+CAREER_PATH = "(career|careers|job|jobs|openings|opportunities)"
+PATH_PATTERNS = (
+    ("^/?$", "/"), ("^/(en-us|en|us)/(career|careers|jobs)(/|$)", "/locale/careers"), ("^/(career|careers)(/|$)", "/careers"), ("^/(job|jobs)(/|$)", "/jobs"),
+    ("^/(join-us|join|work-with-us)(/|$)", "/join"), ("^/(about|company)(/|$)", "/about"),
+)
+
+
+def template_family(host: Column, path: Column) -> Column:
+    """The kind of page behind a plain site: a service that was missed, a career page, or another."""
+    missed = (F.when(host.like(p), f"{name}_domain_missed") for p, name in MISSED)
+    return F.coalesce(*missed, F.when(path.rlike(CAREER_PATH), "corporate_careers_page"), F.lit("generic_or_corporate_page"))
+
+
 def path_pattern(path: Column) -> Column:
-    """The path with ``:id`` for each segment of digits."""
-    return F.regexp_replace(path, r"/[0-9]+(?=/|$)", "/:id")
+    """The first pattern that the path has, else the path with ``:id`` for digits after a slash."""
+    known = (F.when(path.rlike(p), name) for p, name in PATH_PATTERNS)
+    return F.coalesce(*known, F.regexp_replace(path, "/[0-9]+", "/:id"))
 
 
 def host_suffixes(host: Column) -> Column:

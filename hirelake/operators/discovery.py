@@ -113,18 +113,6 @@ def site_hygiene(sites: DataFrame, excluded: DataFrame) -> DataFrame:
     return sites.join(out, "site_id", "left").select("site_id", action.alias("action")).where("action IS NOT NULL")
 
 
-def discovery_features(targets: DataFrame, sites: DataFrame) -> DataFrame:
-    """Per target: its candidates by kind, what they reached, their services, and the best one's columns."""
-    order = F.struct(F.coalesce("candidate_rank", F.lit(2**31 - 1)), "site_id")
-    verified = F.col("verification_status") == "verified"
-    g = sites.groupBy("consolidation_key").agg(
-        F.count("*").alias("retained_candidates"), F.count_if(F.col("source_type") != "generic_html").alias("structured_candidates"), F.count_if(verified).alias("verified_candidates"),
-        F.bool_or(F.col("last_success_at").isNotNull()).alias("has_successful_crawl"), F.array_join(F.sort_array(F.collect_set("source_type")), ",").alias("candidate_source_types"),
-        F.min_by(F.struct("site_id", "source_type"), order).alias("first"),
-    )
-    rows = targets.select("consolidation_key").join(g, "consolidation_key", "left")
-    return rows.select("consolidation_key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("retained_candidates", "structured_candidates", "verified_candidates")), "has_successful_crawl", "candidate_source_types", F.col("first.site_id").alias("rank1_site_id"), F.col("first.source_type").alias("rank1_source_type"))
-
 
 def review_workbench(targets: DataFrame, candidates: DataFrame, verified: DataFrame) -> DataFrame:
     """One row for each company with something to review, in the order of review.

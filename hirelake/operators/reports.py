@@ -74,65 +74,11 @@ def product_titles(filings: DataFrame, places: int = 3) -> DataFrame:
     return titles.withColumn("place", F.row_number().over(order)).where(F.col("place") <= places)
 
 
-def product_share(filings: DataFrame) -> DataFrame:
-    """Companies by the share of product roles among their filings, in order of the share."""
-    share = F.floor(10 * F.col("product") / F.col("n")).cast("int")
-    companies = filings.groupBy("employer_fein").agg(F.count("*").alias("n"), F.count_if(is_product_role(F.col("job_title"))).alias("product"), F.count_distinct(F.when(is_product_role(F.col("job_title")), F.lower("job_title"))).alias("titles"))
-    return companies.groupBy(F.least(share, F.lit(9)).alias("tenth")).agg(F.count("*").alias("companies"), F.sum("product").alias("product_filings"), F.max("titles").alias("most_product_titles"))
-
-
-def below_salary(filings: DataFrame, limit: int = 90_000, years: int = 3) -> DataFrame:
-    """By title, the filings under the salary in the last years of the data set, and the lowest of them."""
-    newest = filings.agg(F.max("decision_date").alias("newest"))
-    rows = filings.select("job_title", "decision_date", _salary().alias("salary")).where(F.col("salary") < limit)
-    recent = rows.crossJoin(F.broadcast(newest)).where(F.col("decision_date") >= F.add_months("newest", -12 * years))
-    return recent.groupBy("job_title").agg(F.count("*").alias("filings_below"), F.min("salary").alias("lowest_salary"), F.max("decision_date").alias("last_decision_date"))
-
 
 def filings_by_year_and_place(filings: DataFrame) -> DataFrame:
     return filings.groupBy(F.year("received_date").alias("received_year"), "worksite_city", "worksite_state").agg(F.count("*").alias("filings"), F.count_if(F.col("case_status") == "Certified").alias("certified"))
 
 
-def evidence_without(filings: DataFrame, target_soc: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with executive filings and none of a target occupation, with their senior titles (the stricter pattern)."""
-    codes = target_soc.where("active").select(F.col("normalized_soc_code").alias("code")).distinct()
-    rows = filings.select(*keys, "job_title", normalize_soc_code(F.col("soc_code")).alias("code"))
-    executive = rows.where(is_executive(F.col("job_title"))).groupBy(*keys).agg(F.count("*").alias("executive_filings"), F.count_if(is_high_seniority(F.col("job_title"))).alias("high_seniority_filings"))
-    return executive.join(rows.join(F.broadcast(codes), "code", "left_semi").select(*keys).distinct(), keys, "left_anti")
-
-
-def score_histogram(scores: DataFrame, score: str = "priority_score") -> DataFrame:
-    """Companies by band of score, in the order of the lowest score of a band."""
-    value = F.col(score)
-    band = F.when(value == 0, "0").when(value <= 1, "0-1").when(value <= 2, "1-2").when(value <= 3, "2-3").otherwise("over 3")
-    return scores.where(value.isNotNull()).groupBy(band.alias("band")).agg(F.count("*").alias("companies"), F.min(score).cast("double").alias("lowest")).orderBy("lowest")
-
-
-def component_patterns(scores: DataFrame, components: list[str]) -> DataFrame:
-    """Companies by which component scores they have."""
-    return scores.groupBy(*((F.col(c) > 0).alias(c) for c in components)).agg(F.count("*").alias("companies"))
-
-
-def pool_breakdown(companies: DataFrame, targets: DataFrame) -> DataFrame:
-    """Companies in the pool of targets and outside it, with the first reason for being outside."""
-    known = targets.select(F.col("consolidation_key").alias("fein"), "enabled", "priority_tier")
-    reason = F.when(F.col("enabled").isNull(), "no_target").when(~F.col("enabled"), "disabled").when(F.col("priority_tier").isNull(), "no_tier").when(F.col("lca_count") <= 1, "single_filing").otherwise("in_pool")
-    return companies.join(known, "fein", "left").groupBy(reason.alias("pool")).agg(F.count("*").alias("companies"), F.coalesce(F.sum("lca_count"), F.lit(0)).cast("long").alias("filings"))
-
-
-def posting_mix(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """By role status: postings, active and closed ones, distinct titles and companies."""
-    rows = postings.join(labels.select("normalized_title", "classification_status"), "normalized_title", "left").withColumn("role_status", F.coalesce("classification_status", F.lit("review")))
-    return rows.groupBy("role_status").agg(F.count("*").alias("jobs"), F.count_if("active").alias("active_jobs"), F.count_if(~F.col("active")).alias("closed_jobs"), F.count_distinct("normalized_title").alias("titles"), F.count_distinct("consolidation_key").alias("companies"))
-
-
-def calendar_counts(postings: DataFrame) -> DataFrame:
-    """Postings by each local day on which they were first seen, last seen or closed; once a day each."""
-    days = F.array_distinct(F.array(*(local_date(F.col(c)) for c in ("first_seen_at", "last_seen_at", "closed_at"))))
-    rows = postings.select(F.explode(F.filter(days, lambda d: d.isNotNull())).alias("day"), "active")
-    return rows.groupBy("day").agg(F.count("*").alias("postings"), F.count_if("active").alias("active_postings"))
-
-
 def label_log(changes: DataFrame) -> DataFrame:
     """Label changes by local day, source and status."""
     return changes.groupBy(local_date(F.col("changed_at")).alias("day"), F.coalesce("source", F.lit("unknown")).alias("source"), "classification_status").agg(F.count("*").alias("changes"), F.avg("confidence").alias("avg_confidence"))
@@ -145,40 +91,8 @@ def repeat_runs(sites: DataFrame, runs: DataFrame) -> DataFrame:
     return sites.select("site_id", "source_type").join(counted, "site_id", "left").na.fill(0, ["runs", "successes"])
 
 
-def attempt_summary(attempts: DataFrame) -> DataFrame:
-    """By run and cohort: attempts, successes, kinds of error, and the quality of the run."""
-    error = F.lower(F.coalesce("error_message", F.lit("")))
-    g = attempts.groupBy("run_id", "cohort").agg(
-        F.count("*").alias("attempts"), F.count_if("search_succeeded").alias("succeeded"), F.sum("candidate_count").alias("candidates"),
-        F.count_if(error.startswith("http")).alias("http_errors"), F.count_if(error.startswith("timed out")).alias("timeouts"),
-    )
-    share = F.col("succeeded") / F.col("attempts")
-    return g.withColumn("run_quality", F.when(share == 1, "clean").when(share >= 0.8, "usable").otherwise("poor"))
-
-
-def credits_by_day(attempts: DataFrame) -> DataFrame:
-    """Searches by local day and cohort."""
-    return attempts.groupBy(local_date(F.col("attempted_at")).alias("day"), "cohort").agg(F.count("*").alias("credits"), F.count_distinct("run_id").alias("runs"))
 
 
-def crawl_funnel(targets: DataFrame, sites: DataFrame, postings: DataFrame) -> DataFrame:
-    """One row: how many companies, sites and postings get to each step. Each table is read once."""
-    verified = F.col("verification_status") == "verified"
-    a = targets.agg(F.count("*").alias("targets"), F.count_if("enabled").alias("enabled_targets"), *(F.count_if(F.col("enabled") & (F.col("priority_tier") == t)).alias(f"{t.lower()}_targets") for t in TIERS))
-    b = sites.agg(F.count("*").alias("sites"), F.count_distinct("consolidation_key").alias("companies_with_site"), F.count_if(verified).alias("verified_sites"), F.count_if(verified & F.col("crawl_enabled")).alias("crawlable_sites"), F.count_distinct(F.when(verified, F.col("consolidation_key"))).alias("companies_verified"))
-    c = postings.agg(F.count("*").alias("postings"), F.count_if("active").alias("active_postings"), F.count_if(F.col("active") & (F.col("market_scope") == "US")).alias("active_us_postings"))
-    return a.crossJoin(b).crossJoin(c)
-
-
-def coverage_by_tier(targets: DataFrame, sites: DataFrame, as_of: str) -> DataFrame:
-    """By tier of enabled targets: companies, those with a candidate, with a site verified by a person or by rule, and due ones."""
-    verified = F.col("verification_status") == "verified"
-    due = verified & F.col("crawl_enabled") & (F.coalesce("next_crawl_at", F.lit(as_of).cast("timestamp")) <= F.lit(as_of).cast("timestamp"))
-    rollup = sites.groupBy("consolidation_key").agg(F.count("*").alias("candidates"), F.bool_or(verified & F.col("reviewed_at").isNotNull()).alias("human"), F.bool_or(verified & F.col("reviewed_at").isNull()).alias("auto"), F.count_if(due).alias("due"))
-    rows = targets.where("enabled").join(rollup, "consolidation_key", "left")
-    yes = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
-    return rows.groupBy("priority_tier").agg(F.count("*").alias("companies"), F.count("candidates").alias("with_candidate"), yes("human").alias("verified_by_hand"), yes("auto").alias("verified_by_rule"), F.coalesce(F.sum("due"), F.lit(0)).alias("due_sites"))
-
 
 def rank_in_tier(targets: DataFrame, places: int) -> DataFrame:
     """The first companies of each tier, and how many their tier has."""
@@ -233,12 +147,6 @@ def title_examples(postings: DataFrame, places: int = 3) -> DataFrame:
     return ranked.groupBy("normalized_title").agg(F.array_join(F.transform(first, lambda x: x["consolidation_key"]), ", ").alias("example_companies"), F.count("*").alias("company_count"))
 
 
-def today_progress(runs: DataFrame, sites: DataFrame, targets: DataFrame, now: str) -> DataFrame:
-    """By tier, the runs since local midnight: started, succeeded, failed, and the sites touched."""
-    rows = runs.where(local_date(F.col("started_at")) == local_date(F.lit(now).cast("timestamp"))).join(sites.select("site_id", "consolidation_key"), "site_id").join(targets.select("consolidation_key", "priority_tier"), "consolidation_key")
-    return rows.groupBy("priority_tier").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_distinct("site_id").alias("sites"))
-
-
 def action_mix(actions: DataFrame) -> DataFrame:
     """Users' actions by status, with the share of all."""
     counted = actions.groupBy("action_status").agg(F.count("*").alias("jobs"))

@@ -41,14 +41,14 @@ def site_selection_scores(sites: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def schedule_queue(sites: DataFrame, targets: DataFrame, as_of: str) -> DataFrame:
-    """The verified sites of enabled, tiered targets that may be crawled, and whether they are due."""
+    """The verified sites of enabled, tiered targets that may be crawled, whether they are due, and their last crawl if ``sites`` has it."""
     ready = sites.where((F.col("verification_status") == "verified") & F.col("crawl_enabled") & (F.col("target_country_code") == "US") & (F.col("scope_method") != "unknown") & F.col("source_type").isin(*CRAWLED))
     wanted = targets.where(F.col("enabled") & F.col("priority_tier").isin(*INTERVALS)).select("consolidation_key", "canonical_name", "priority_tier", "priority_score")
     hours = F.coalesce(*(F.when(F.col("priority_tier") == t, F.lit(h)) for t, h in INTERVALS.items()))
     now = F.lit(as_of).cast("timestamp")
     return ready.join(wanted, "consolidation_key").select(
         "site_id", "consolidation_key", "canonical_name", "priority_tier", "priority_score", "source_type", hours.alias("recommended_interval_hours"),
-        "next_crawl_at", (F.coalesce("next_crawl_at", now) <= now).alias("is_due"), "consecutive_failures", "crawl_status",
+        "next_crawl_at", (F.coalesce("next_crawl_at", now) <= now).alias("is_due"), "consecutive_failures", "crawl_status", *(c for c in sites.columns if c == "last_crawled_at"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import roles, titles as T
 from hirelake.functions.market import market_scope
 from hirelake.functions.money import annual_salary
-from hirelake.functions.urls import classify_url, path_pattern, posting_id, url_host, url_parts, url_path
+from hirelake.functions.urls import PATH_PATTERNS, classify_url, path_pattern, posting_id, url_host, url_parts, url_path
 from hirelake.operators import dashboard, discovery, labels, pages, postings, queues, repair, reports, title_model
 from hirelake.operators.activity import ZONE, posting_is_current_year
 from hirelake.operators.titles import soc_match_candidates, title_catalog
@@ -211,9 +211,6 @@ def site_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.site_hygiene(sites, spark.sql(EXCLUDED))
 
 
-def discovery_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.discovery_features(_targets(spark, sf_dir), view(spark, sf_dir, SITE_ROWS, "pages"))
-
 
 def review_workbench(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = view(spark, sf_dir, SITE_ROWS, "pages")
@@ -280,7 +277,7 @@ QUERIES = {
     for f in (
         current_postings, dashboard_jobs, dashboard_buckets, job_search, job_mix, hiring_summary, title_review_queue, local_day_postings, job_actions, snapshot_apply, snapshot_titles, snapshot_run_counts,
         manual_labels, manual_label_history, model_labels, soc_labels, wage_repair, wage_repair_backup, wage_repair_guards, wage_repair_rescore, staged_repairs, merged_targets, inserted_targets, synced_targets,
-        auto_trusted, reviewed_sites, discovery_status, priority_overrides, site_hygiene, discovery_features, review_workbench, ranked_results, finalized_discovery, rekeyed_sites, classified_urls, url_templates,
+        auto_trusted, reviewed_sites, discovery_status, priority_overrides, site_hygiene, review_workbench, ranked_results, finalized_discovery, rekeyed_sites, classified_urls, url_templates,
         declared_jobs, payload_jobs, resolved_links, title_folds, title_thresholds,
     )
 }
@@ -294,6 +291,9 @@ _D = f"""{_J}, d AS (SELECT j.site_id, j.external_job_id, consolidation_key, t.c
   FROM j JOIN ({TARGETS}) t USING (consolidation_key) LEFT JOIN ({LABEL_ROWS}) l USING (normalized_title) LEFT JOIN ({ACTION_ROWS}) a ON a.site_id = j.site_id AND a.external_job_id = j.external_job_id WHERE active AND market_scope = 'US' AND {_CURRENT})"""
 
 
+_PATTERN = f"CASE {' '.join(f'WHEN regexp_matches(path, {p!r}) THEN {n!r}' for p, n in PATH_PATTERNS)} ELSE regexp_replace(path, '/[0-9]+', '/:id', 'g') END"
+
+
 def _any(column: str, patterns: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"{column} LIKE '%{p}%'" for p in patterns) + ")" if patterns else "false"
 
@@ -408,10 +408,6 @@ SELECT consolidation_key, CASE WHEN v THEN 'found' WHEN u THEN 'review_pending'
 WITH s AS (SELECT *, regexp_replace(normalized_domain, '^www\\.', '') AS h, lower(coalesce(last_error, '')) AS e FROM ({FULL_SITES})),
 a AS (SELECT site_id, CASE WHEN {_OUT} THEN 'reject_domain' WHEN source_type = 'workday' AND regexp_matches(site_url, '(?i)myworkdayjobs\\.com/.*/job/') THEN 'reject_job_url' WHEN contains(e, '404') AND consecutive_failures >= 2 THEN 'reject_persistent_404' WHEN contains(e, '404') THEN 'demote_404'
   WHEN contains(e, '429') OR contains(e, 'timed out') OR contains(e, 'timeout') THEN 'requeue_transient' END AS action FROM s) SELECT * FROM a WHERE action IS NOT NULL""",
-    "discovery_features": f"""
-WITH s AS (SELECT *, row_number() OVER (PARTITION BY consolidation_key ORDER BY candidate_rank NULLS LAST, site_id) AS k FROM ({SITE_ROWS})),
-g AS (SELECT consolidation_key, count(*) AS a, count(*) FILTER (source_type <> 'generic_html') AS b, count(*) FILTER (verification_status = 'verified') AS c, bool_or(last_success_at IS NOT NULL) AS has_successful_crawl, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS candidate_source_types, max(site_id) FILTER (k = 1) AS rank1_site_id, max(source_type) FILTER (k = 1) AS rank1_source_type FROM s GROUP BY 1)
-SELECT consolidation_key, coalesce(a, 0) AS retained_candidates, coalesce(b, 0) AS structured_candidates, coalesce(c, 0) AS verified_candidates, has_successful_crawl, candidate_source_types, rank1_site_id, rank1_source_type FROM ({TARGETS}) LEFT JOIN g USING (consolidation_key)""",
     "review_workbench": f"""
 WITH c AS (SELECT consolidation_key, arg_min(site_id, (coalesce(candidate_rank, 99), site_id)) AS site_1 FROM ({SITE_ROWS}) WHERE verification_status = 'unverified' GROUP BY 1), v AS (SELECT consolidation_key, min(site_id) AS verified_site FROM ({SITE_ROWS}) WHERE verification_status = 'verified' GROUP BY 1),
 b AS (SELECT t.*, site_1, verified_site, CASE WHEN verified_site IS NULL THEN 'REVIEW_CANDIDATES' ELSE 'VERIFIED' END AS action_status FROM ({TARGETS}) t LEFT JOIN c USING (consolidation_key) LEFT JOIN v USING (consolidation_key) WHERE site_1 IS NOT NULL OR verified_site IS NOT NULL)
@@ -427,8 +423,8 @@ FROM ({QUEUED}) q JOIN ({OUTCOMES}) o USING (consolidation_key)""",
     "rekeyed_sites": f"SELECT site_id, coalesce(new_key, consolidation_key) AS consolidation_key FROM ({SITE_ROWS}) s LEFT JOIN ({MERGES}) m ON s.consolidation_key = m.old_key",
     "classified_urls": f"WITH {_classes(LINKS)} SELECT page_id, canonical_url, host, site_kind, source_type, source_key FROM m",
     "url_templates": f"""
-WITH r AS (SELECT {_HOST} AS host, regexp_replace(regexp_replace(regexp_extract(url, '^https://[^/?#]*([^?#]*)', 1), '/[0-9]+/', '/:id/', 'g'), '/[0-9]+$', '/:id') AS pattern, left(sha1(concat(url, '|t|l')), 24) AS id FROM ({LINKS}))
-SELECT host, pattern, count(*) AS urls, min(id) AS first_id FROM r GROUP BY ALL""",
+WITH r AS (SELECT {_HOST} AS host, lower(regexp_extract(url, '^https://[^/?#]*([^?#]*)', 1)) AS path, left(sha1(concat(url, '|t|l')), 24) AS id FROM ({LINKS}))
+SELECT host, {_PATTERN} AS pattern, count(*) AS urls, min(id) AS first_id FROM r GROUP BY ALL""",
     "declared_jobs": f"""
 WITH c AS (SELECT page_id AS site_id, concat({pick(TITLES, 'page_id')}, ' & Co') AS title, {pick(('Chicago, IL', 'London', 'Austin, TX'), 'page_id')} AS location, concat('/jobs/', page_id) AS link, concat('2024-01-0', page_id % 9 + 1) AS posted_text FROM pages)
 SELECT site_id, left(sha1(concat(link, '|', title, '|', location)), 24) AS external_job_id, title, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9_+#./-]+', ' ', 'g'), ' +', ' ', 'g')) AS normalized_title, location, '' AS category, concat('https://jobs.example.org', link) AS job_url, 'Good work' AS description_snippet,

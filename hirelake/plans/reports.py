@@ -74,45 +74,21 @@ def product_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.product_titles(_filings(spark, sf_dir), 2)
 
 
-def product_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.product_share(_filings(spark, sf_dir))
-
-
-def below_salary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.below_salary(_filings(spark, sf_dir))
 
 
 def filings_by_year_and_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.filings_by_year_and_place(_filings(spark, sf_dir))
 
 
-def evidence_without(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.evidence_without(_filings(spark, sf_dir), _soc(spark), ["employer_fein", "received_date"])
-
 
 def product_v1_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filings(spark, sf_dir).where(is_product_role_v1(F.col("job_title"))).groupBy("job_title").agg(F.count("*").alias("filings"))
 
 
-def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.score_histogram(_company_scores(spark, sf_dir))
-
-
-def component_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.component_patterns(_company_scores(spark, sf_dir), COMPONENTS)
-
-
-def pool_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.pool_breakdown(_companies(spark, sf_dir), _targets(spark, sf_dir))
 
 
-def posting_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.posting_mix(_postings(spark, sf_dir), spark.sql(LABELS))
 
 
-def calendar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.calendar_counts(_postings(spark, sf_dir))
-
 
 def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.label_log(view(spark, sf_dir, CHANGES, "events"))
@@ -122,20 +98,8 @@ def repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.repeat_runs(_sites(spark, sf_dir), view(spark, sf_dir, RUNS, "events"))
 
 
-def attempt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.attempt_summary(view(spark, sf_dir, ATTEMPTS, "events"))
-
-
-def credits_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.credits_by_day(view(spark, sf_dir, ATTEMPTS, "events"))
 
 
-def crawl_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.crawl_funnel(_targets(spark, sf_dir), _sites(spark, sf_dir), _postings(spark, sf_dir))
-
-
-def coverage_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.coverage_by_tier(_targets(spark, sf_dir), _sites(spark, sf_dir), AS_OF)
 
 
 def rank_in_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +134,6 @@ def title_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.title_examples(_postings(spark, sf_dir))
 
 
-def today_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.today_progress(view(spark, sf_dir, RUNS, "events"), _sites(spark, sf_dir), _targets(spark, sf_dir), NOW)
-
 
 def action_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.action_mix(view(spark, sf_dir, ACTION_ROWS, "events"))
@@ -202,9 +163,9 @@ def failure_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        salary_report, soc_review_summary, role_profile, product_titles, product_share, below_salary, filings_by_year_and_place, evidence_without, product_v1_filings, score_histogram, component_patterns,
-        pool_breakdown, posting_mix, calendar_counts, label_log, repeat_runs, attempt_summary, credits_by_day, crawl_funnel, coverage_by_tier, rank_in_tier, page_of_targets, company_lookup, never_searched,
-        scope_readiness, review_details, capped_sample, title_examples, today_progress, action_mix, ranked_appearances, employer_numbers, identity_search, due_queue, failure_actions,
+        salary_report, soc_review_summary, role_profile, product_titles, filings_by_year_and_place, product_v1_filings,
+        label_log, repeat_runs, rank_in_tier, page_of_targets, company_lookup, never_searched,
+        scope_readiness, review_details, capped_sample, title_examples, action_mix, ranked_appearances, employer_numbers, identity_search, due_queue, failure_actions,
     )
 }
 
@@ -240,46 +201,12 @@ FROM f JOIN ({UNITS}) u ON u.fein = f.employer_fein GROUP BY consolidation_key,
     "product_titles": f"""
 WITH {_NUM}, g AS (SELECT {_categories()} AS category, job_title, count(*) AS lca_count, count(DISTINCT employer_fein) AS company_count FROM f GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY lca_count DESC, job_title) AS integer) AS place FROM g WHERE category IS NOT NULL QUALIFY place <= 2""",
-    "product_share": f"""
-WITH {_NUM}, g AS (SELECT employer_fein, count(*) AS n, count(*) FILTER ({_PRODUCT}) AS product, count(DISTINCT CASE WHEN {_PRODUCT} THEN lower(job_title) END) AS titles FROM f GROUP BY 1)
-SELECT CAST(least(product * 10 // n, 9) AS integer) AS tenth, count(*) AS companies, CAST(sum(product) AS BIGINT) AS product_filings, max(titles) AS most_product_titles FROM g GROUP BY 1""",
-    "below_salary": f"""
-WITH {_NUM} SELECT job_title, count(*) AS filings_below, CAST(min(salary) AS decimal(14,2)) AS lowest_salary, max(decision_date) AS last_decision_date
-FROM f WHERE salary < 90000 AND decision_date >= CAST((SELECT max(decision_date) FROM f) - INTERVAL 36 MONTH AS date) GROUP BY job_title""",
     "filings_by_year_and_place": f"SELECT CAST(year(received_date) AS integer) AS received_year, worksite_city, worksite_state, count(*) AS filings, count(*) FILTER (case_status = 'Certified') AS certified FROM ({WIDE}) GROUP BY ALL",
-    "evidence_without": f"""
-WITH {_NUM} SELECT employer_fein, received_date, count(*) AS executive_filings, count(*) FILTER ({_TITLE.format(HIGH_SENIORITY)}) AS high_seniority_filings FROM f
-WHERE {_TITLE.format(EXECUTIVE)} AND (employer_fein, received_date) NOT IN (SELECT (employer_fein, received_date) FROM f WHERE code IN {TARGET_SOC!r}) GROUP BY 1, 2""",
     "product_v1_filings": f"SELECT job_title, count(*) AS filings FROM ({WIDE}) WHERE {_TITLE.format(PRODUCT_V1)} AND NOT {_TITLE.format(NOT_PRODUCT_V1)} GROUP BY 1",
-    "score_histogram": f"""
-SELECT CASE WHEN priority_score = 0 THEN '0' WHEN priority_score <= 1 THEN '0-1' WHEN priority_score <= 2 THEN '1-2' WHEN priority_score <= 3 THEN '2-3' ELSE 'over 3' END AS band, count(*) AS companies, CAST(min(priority_score) AS double) AS lowest
-FROM ({_CATEGORY_SQL}) WHERE priority_score IS NOT NULL GROUP BY 1""",
-    "component_patterns": f"SELECT {', '.join(f'{c} > 0 AS {c}' for c in COMPONENTS)}, count(*) AS companies FROM ({_CATEGORY_SQL}) GROUP BY {', '.join(f'{c} > 0' for c in COMPONENTS)}",
-    "pool_breakdown": f"""
-SELECT CASE WHEN enabled IS NULL THEN 'no_target' WHEN NOT enabled THEN 'disabled' WHEN priority_tier IS NULL THEN 'no_tier' WHEN lca_count <= 1 THEN 'single_filing' ELSE 'in_pool' END AS pool, count(*) AS companies, CAST(coalesce(sum(lca_count), 0) AS BIGINT) AS filings
-FROM ({COMPANIES}) c LEFT JOIN ({TARGETS}) t ON c.fein = t.consolidation_key GROUP BY 1""",
-    "posting_mix": f"""
-WITH {_POST} SELECT coalesce(classification_status, 'review') AS role_status, count(*) AS jobs, count(*) FILTER (active) AS active_jobs, count(*) FILTER (NOT active) AS closed_jobs, count(DISTINCT normalized_title) AS titles, count(DISTINCT consolidation_key) AS companies
-FROM p LEFT JOIN ({LABELS}) l USING (normalized_title) GROUP BY 1""",
-    "calendar_counts": f"""
-WITH {_POST}, d AS (SELECT DISTINCT site_id, external_job_id, active, day FROM (SELECT site_id, external_job_id, active, unnest([{', '.join(_local.format(c) for c in ('first_seen_at', 'last_seen_at', 'closed_at'))}]) AS day FROM p))
-SELECT day, count(*) AS postings, count(*) FILTER (active) AS active_postings FROM d WHERE day IS NOT NULL GROUP BY 1""",
     "label_log": f"SELECT {_local.format('changed_at')} AS day, coalesce(source, 'unknown') AS source, classification_status, count(*) AS changes, avg(confidence) AS avg_confidence FROM ({CHANGES}) GROUP BY ALL",
     "repeat_runs": f"""
 WITH r AS (SELECT site_id, count(*) AS runs, count(*) FILTER (status = 'succeeded') AS successes, min(parsed_job_count) FILTER (status = 'succeeded') AS fewest_jobs, max(parsed_job_count) FILTER (status = 'succeeded') AS most_jobs, max(started_at) AS last_run_at FROM ({RUNS}) GROUP BY 1)
 SELECT site_id, source_type, coalesce(runs, 0) AS runs, coalesce(successes, 0) AS successes, fewest_jobs, most_jobs, last_run_at FROM ({SITE_ROWS}) s LEFT JOIN r USING (site_id)""",
-    "attempt_summary": f"""
-WITH g AS (SELECT run_id, cohort, count(*) AS attempts, count(*) FILTER (search_succeeded) AS succeeded, CAST(sum(candidate_count) AS BIGINT) AS candidates, count(*) FILTER (lower(error_message) LIKE 'http%') AS http_errors, count(*) FILTER (lower(error_message) LIKE 'timed out%') AS timeouts FROM ({ATTEMPTS}) GROUP BY ALL)
-SELECT *, CASE WHEN succeeded = attempts THEN 'clean' WHEN succeeded / attempts >= 0.8 THEN 'usable' ELSE 'poor' END AS run_quality FROM g""",
-    "credits_by_day": f"SELECT {_local.format('attempted_at')} AS day, cohort, count(*) AS credits, count(DISTINCT run_id) AS runs FROM ({ATTEMPTS}) GROUP BY ALL",
-    "crawl_funnel": f"""
-WITH {_POST} SELECT * FROM (SELECT count(*) AS targets, count(*) FILTER (enabled) AS enabled_targets, {', '.join(f"count(*) FILTER (enabled AND priority_tier = '{t}') AS {t.lower()}_targets" for t in reports.TIERS)} FROM ({TARGETS})),
-(SELECT count(*) AS sites, count(DISTINCT consolidation_key) AS companies_with_site, count(*) FILTER ({_V}) AS verified_sites, count(*) FILTER ({_V} AND crawl_enabled) AS crawlable_sites, count(DISTINCT consolidation_key) FILTER ({_V}) AS companies_verified FROM ({SITE_ROWS})),
-(SELECT count(*) AS postings, count(*) FILTER (active) AS active_postings, count(*) FILTER (active AND market_scope = 'US') AS active_us_postings FROM p)""",
-    "coverage_by_tier": f"""
-WITH r AS (SELECT consolidation_key, count(*) AS candidates, bool_or({_V} AND reviewed_at IS NOT NULL) AS human, bool_or({_V} AND reviewed_at IS NULL) AS auto, count(*) FILTER ({_DUE}) AS due FROM ({SITE_ROWS}) GROUP BY 1)
-SELECT priority_tier, count(*) AS companies, count(candidates) AS with_candidate, count(*) FILTER (human) AS verified_by_hand, count(*) FILTER (auto) AS verified_by_rule, CAST(coalesce(sum(due), 0) AS BIGINT) AS due_sites
-FROM ({TARGETS}) t LEFT JOIN r USING (consolidation_key) WHERE enabled GROUP BY 1""",
     "rank_in_tier": f"""
 SELECT consolidation_key, priority_tier, priority_score, CAST(row_number() OVER (PARTITION BY priority_tier ORDER BY priority_score DESC NULLS LAST, canonical_name, consolidation_key) AS integer) AS tier_rank, count(*) OVER (PARTITION BY priority_tier) AS tier_companies
 FROM ({TARGETS}) WHERE enabled QUALIFY tier_rank <= 25""",
@@ -294,9 +221,6 @@ SELECT source_type, count(*) AS sites, count(*) FILTER (ready) AS us_ready, coun
     "title_examples": f"""
 WITH d AS (SELECT DISTINCT normalized_title, consolidation_key FROM ({POSTINGS})), r AS (SELECT *, row_number() OVER (PARTITION BY normalized_title ORDER BY consolidation_key) AS k FROM d)
 SELECT normalized_title, string_agg(consolidation_key, ', ' ORDER BY consolidation_key) FILTER (k <= 3) AS example_companies, count(*) AS company_count FROM r GROUP BY 1""",
-    "today_progress": f"""
-SELECT priority_tier, count(*) AS runs, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(DISTINCT site_id) AS sites
-FROM ({RUNS}) r JOIN (SELECT site_id, consolidation_key FROM ({SITE_ROWS})) s USING (site_id) JOIN ({TARGETS}) t USING (consolidation_key) WHERE {_local.format('started_at')} = {_local.format(f"TIMESTAMP '{NOW}'")} GROUP BY 1""",
     "action_mix": f"SELECT action_status, count(*) AS jobs, CAST(round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS double) AS pct FROM ({ACTION_ROWS}) GROUP BY 1",
     "ranked_appearances": f"SELECT employer_name, min(rank) AS best_rank, count(*) AS appearances, string_agg(DISTINCT region, '|' ORDER BY region) AS regions FROM ({APPEARANCES}) GROUP BY 1",
     "employer_numbers": f"SELECT fein FROM ({COMPANIES}) WHERE name ILIKE '%{TEXT}%' UNION SELECT fein FROM ({ALIASES}) WHERE alias_name ILIKE '%{TEXT}%'",
