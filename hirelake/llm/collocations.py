@@ -167,10 +167,11 @@ def windows_of(words: Words, lang: str, frequent: Frequent) -> pa.RecordBatch:
 
 def bitmap(counted: DataFrame, least: int) -> np.ndarray:
     """The buckets that are met ``least`` times or more, as a bitmap of a fixed size; shuffle files are freed at once."""
-    sums = counted.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    maps = sums.groupBy(F.floor(F.col("bucket") / BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("bucket") % BITS).alias("bits"))
     found = np.zeros(BUCKETS // 8, np.uint8)
+    # The setting counts where a DataFrame is made.
     with freed_shuffles(counted.sparkSession):
+        sums = counted.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        maps = sums.groupBy(F.floor(F.col("bucket") / BITS).alias("part")).agg(F.bitmap_construct_agg(F.col("bucket") % BITS).alias("bits"))
         # At most BUCKETS / BITS rows of 4 KB.
         for row in maps.collect():
             found[row.part * (BITS // 8) : (row.part + 1) * (BITS // 8)] = np.frombuffer(bytes(row.bits), np.uint8)
