@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -44,44 +45,70 @@ def has_career_term(text: Column) -> Column:
     return reduce(or_, (low.contains(t) for t in CAREER_TERMS))
 
 
-def classify_url(u: Column) -> Column:
-    """(canonical_url, host, site_kind, source_type, source_key) of a url's parts (``url_parts``)."""
-    host, path, segments = u["host"], u["path"], u["segments"]
-    first, count = F.get(segments, F.lit(0)), F.size(segments)
-    ends = lambda *names: reduce(or_, (host.endswith(n) for n in names))
-    kinds: list[tuple[Column, str, Column, Column]] = []
-    plain = F.when(F.regexp_replace(path, "/+$", "") == "", "/").otherwise(F.regexp_replace(path, "/+$", ""))
-    asked = F.nullif(F.regexp_extract(u["query"], r"(?:^|&)for=([^&]*)", 1), F.lit(""))
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """A value made in a step of its own: later steps read it and don't make it again for each of its fields."""
+    return F.explode(F.array(value))
+
+
+def _rules(u: Column) -> list[tuple[Column, str, Column, Column]]:
+    """Condition, service, company's key and canonical path of each known kind of host, in order."""
+    host, path, segments, first, count, plain = (u[c] for c in ("host", "path", "segments", "first", "count", "plain"))
+    at = lambda k: F.get(segments, F.lit(k))
+    slash = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in ("/", *parts)))
+    rules: list[tuple[Column, str, Column, Column]] = []
     for name, (kind, tail) in KEYED_HOSTS.items():
-        key = F.when(first == "embed", asked).otherwise(first) if kind == "greenhouse" else F.when((first == "careers") & (count >= 2), F.get(segments, F.lit(1))).otherwise(first) if kind == "jobvite" else first
-        kinds.append(((host == name) & key.isNotNull(), kind, key, F.concat(F.lit("/"), key, F.lit(tail))))
-    third = F.get(segments, F.lit(2))
-    kinds.append(((host == "api.smartrecruiters.com") & (count >= 3) & (first == "v1") & (F.get(segments, F.lit(1)) == "companies"), "smartrecruiters", third, F.concat(F.lit("/"), third)))
+        key = F.when(first == "embed", u["asked"]).otherwise(first) if kind == "greenhouse" else F.when((first == "careers") & (count >= 2), at(1)).otherwise(first) if kind == "jobvite" else first
+        rules.append(((host == name) & key.isNotNull(), kind, key, slash(key, tail)))
+    rules.append(((host == "api.smartrecruiters.com") & (count >= 3) & (first == "v1") & (at(1) == "companies"), "smartrecruiters", at(2), slash(at(2))))
     for name, kind, size, whole in SEGMENT_HOSTS:
         key = F.array_join(F.slice(segments, 1, size), "/")
-        kinds.append((((host == name) if whole else host.endswith(name)) & (count >= size), kind, key, F.concat(F.lit("/"), key)))
-    kinds += [(host.endswith(name), kind, host, plain) for name, kind in SUFFIX_HOSTS]
-    kinds.append(((host == "sjobs.brassring.com") | host.endswith(".brassring.com"), "brassring", host, plain))
-    at = F.array_position(segments, "sites")
-    site = F.coalesce(F.when(at > 0, F.get(segments, at.cast("int"))), host)
-    locale = F.when(at > 1, F.array_join(F.slice(segments, F.lit(1), at.cast("int") - 1), "/")).otherwise("hcmUI/CandidateExperience/en")
-    kinds.append((host.endswith("oraclecloud.com") & path.contains("CandidateExperience") & path.contains("/sites/"), "oracle_cloud", site, F.concat(F.lit("/"), locale, F.lit("/sites/"), site, F.lit("/jobs"))))
-    kinds.append(((host == "amazon.jobs") & has_career_term(path), "amazon_jobs", host, plain))
-    kinds += [((host == name) & path.contains(part), kind, host, plain) for name, part, kind in OWN_HOSTS]
-    kinds.append((ends("eightfold.ai") | host.isin(*EIGHTFOLD_HOSTS), "eightfold", host, plain))
-
-    def pick(value: int, otherwise: Column) -> Column:
-        ladder = F.when(F.lit(False), F.lit(None).cast("string"))
-        for condition, *values in kinds:
-            ladder = ladder.when(condition, F.lit(values[value]) if isinstance(values[value], str) else values[value])
-        return ladder.otherwise(otherwise)
-
-    source_type = pick(0, F.lit("generic_html"))
-    moved = (host == "api.smartrecruiters.com") & (source_type == "smartrecruiters")
-    shown = F.when(moved, "careers.smartrecruiters.com").otherwise(host)
-    canonical = F.concat(F.coalesce(F.nullif(u["scheme"], F.lit("")), F.lit("https")), F.lit("://"), F.when(moved, shown).otherwise(u["netloc"]), pick(2, plain))
-    site_kind = F.when(source_type != "generic_html", "ats_feed").when(has_career_term(path), "careers").otherwise("corporate")
-    return F.struct(canonical.alias("canonical_url"), shown.alias("host"), site_kind.alias("site_kind"), source_type.alias("source_type"), pick(1, F.lit(None).cast("string")).alias("source_key"))
+        rules.append((((host == name) if whole else host.endswith(name)) & (count >= size), kind, key, slash(key)))
+    rules += [(host.endswith(name), kind, host, plain) for name, kind in SUFFIX_HOSTS]
+    rules.append(((host == "sjobs.brassring.com") | host.endswith(".brassring.com"), "brassring", host, plain))
+    place = F.array_position(segments, "sites").cast("int")
+    site = F.coalesce(F.when(place > 0, F.get(segments, place)), host)
+    locale = F.when(place > 1, F.array_join(F.slice(segments, F.lit(1), place - 1), "/")).otherwise("hcmUI/CandidateExperience/en")
+    rules.append((host.endswith("oraclecloud.com") & path.contains("CandidateExperience") & path.contains("/sites/"), "oracle_cloud", site, slash(locale, "/sites/", site, "/jobs")))
+    rules.append(((host == "amazon.jobs") & has_career_term(path), "amazon_jobs", host, plain))
+    rules += [((host == name) & path.contains(part), kind, host, plain) for name, part, kind in OWN_HOSTS]
+    rules.append((host.endswith("eightfold.ai") | host.isin(*EIGHTFOLD_HOSTS), "eightfold", host, plain))
+    return rules
+
+
+def classify_url(u: Column) -> Column:
+    """(canonical_url, host, site_kind, source_type, source_key) of a url's parts (``url_parts``).
+
+    The first rule that fits is found once, by its number; the fields follow from the number.
+    """
+    known = lambda u: F.struct(
+        *(u[c].alias(c) for c in ("scheme", "netloc", "host", "path", "segments")), F.get(u["segments"], F.lit(0)).alias("first"), F.size(u["segments"]).alias("count"),
+        F.when(F.regexp_replace(u["path"], "/+$", "") == "", "/").otherwise(F.regexp_replace(u["path"], "/+$", "")).alias("plain"), F.nullif(F.regexp_extract(u["query"], r"(?:^|&)for=([^&]*)", 1), F.lit("")).alias("asked"),
+    )
+    number = lambda u: F.coalesce(*(F.when(rule[0], F.lit(k)) for k, rule in enumerate(_rules(u))), F.lit(-1))
+    return bound(bound(u, known), lambda v: bound(F.struct(v.alias("u"), number(v).alias("rule")), _fields))
+
+
+def _fields(w: Column) -> Column:
+    u, rule = w["u"], w["rule"]
+    rules = _rules(u)
+    kinds = [kind for _, kind, _, _ in rules]
+
+    def by_rule(values: list[Column], otherwise: Column) -> Column:
+        return F.coalesce(*(F.when(rule == k, value) for k, value in enumerate(values)), F.when(rule < 0, otherwise))
+
+    moved = rule == next(k for k, (_, kind, _, _) in enumerate(rules) if kind == "smartrecruiters" and k >= len(KEYED_HOSTS))
+    shown = F.when(moved, "careers.smartrecruiters.com").otherwise(u["host"])
+    scheme = F.coalesce(F.nullif(u["scheme"], F.lit("")), F.lit("https"))
+    canonical = F.concat(scheme, F.lit("://"), F.when(moved, shown).otherwise(u["netloc"]), by_rule([path for _, _, _, path in rules], u["plain"]))
+    site_kind = F.when(rule >= 0, "ats_feed").when(has_career_term(u["path"]), "careers").otherwise("corporate")
+    source_type = F.when(rule < 0, "generic_html").otherwise(F.get(F.array(*map(F.lit, kinds)), rule))
+    key = by_rule([key for _, _, key, _ in rules], F.lit(None).cast("string"))
+    return F.struct(canonical.alias("canonical_url"), shown.alias("host"), site_kind.alias("site_kind"), source_type.alias("source_type"), key.alias("source_key"))
 
 
 def url_host(url: Column) -> Column:

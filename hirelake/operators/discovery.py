@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hirelake.functions.urls import classify_url, has_career_term, host_suffixes, url_parts
+from hirelake.functions.urls import bound, classify_url, has_career_term, host_suffixes, once, url_parts
 from hirelake.operators.pages import company_tokens
 from hirelake.operators.queues import TIERS
 from hirelake.operators.sites import INTERVALS
@@ -153,9 +153,8 @@ def rank_discovery_candidates(results: DataFrame, excluded: DataFrame, places: i
 
     results: consolidation_key, canonical_name, url, title, score (0 to 1).
     """
-    u = url_parts(F.col("url"))
     title = F.lower(F.coalesce("title", F.lit("")))
-    rows = results.where(F.col("url").rlike("^https?://")).withColumn("u", u).withColumn("c", classify_url(F.col("u"))).where("c.host <> ''")
+    rows = results.where(F.col("url").rlike("^https?://")).select("*", once(bound(url_parts(F.col("url")), lambda u: F.struct(u["path"].alias("path"), classify_url(u).alias("c")))).alias("u")).select("*", "u.c").where("c.host <> ''")
     hosts = rows.select(F.col("c.host").alias("host")).distinct()
     out = hosts.withColumn("domain", F.explode(host_suffixes(F.col("host")))).join(excluded.select("domain").distinct(), "domain", "left_semi").select("host").distinct()
     rows = rows.join(out, rows["c.host"] == out["host"], "left_anti")

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import html
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
-from hirelake.functions.market import ELSEWHERE, market_scope
+from hirelake.functions.market import ELSEWHERE, OUTSIDE, STATES, market_scope
 from hirelake.functions.text import clean_text, normalize_title, strip_html, unescape
-from hirelake.functions.urls import classify_url, has_career_term, host_suffixes, posting_id, url_parts
+from hirelake.functions.urls import classify_url, has_career_term, host_suffixes, once, posting_id, url_parts
 
 #: Fixed value: words of titles that are out of scope.
 OUT_OF_SCOPE = r"(?i)\b(about the role|europe|emea|apac|latam|canada|canadian|german|japanese|spanish|french|portuguese|italian|dutch|korean|hindi|mandarin)\b"
 #: Words that companies' names have in common.
 STOPWORDS = ("inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "company", "companies", "co", "group", "holdings", "the", "plc")
-SCRIPT = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-ANCHOR = r"""(?is)<a\b[^>]*?href=["']([^"']+)["'][^>]*>(.*?)</a>"""
-#: Levels of lists and graphs that a payload nests, at most.
-DEPTH = 4
-SNIPPET = 1000
+SCRIPT = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
+ANCHOR = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']?([^"'>]+)["']?[^>]*>(.*?)</a>"""
+EMBEDDED = r"""https?://[^\\"'<> )]+"""
+#: Texts of links that name no job, and words that a job's title has.
+BARE_LINK = r"(?i)^(apply|apply now|learn more|view job|view jobs|view openings|search jobs|all jobs|careers|career opportunities|join us|read more)$"
+JOB_WORDS = r"(?i)\b(engineer|developer|analyst|manager|consultant|architect|specialist|designer|scientist|intern|associate|administrator|lead|director|product|data|software|systems?)\b"
+SNIPPET, NEAR = 1000, 400
+OPENING, CLOSING = re.compile(r"<a\b([^>]*)>", re.I), re.compile("</a>", re.I)
+HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]+)"|'([^']+)'|([^\s"'>]+))""", re.I)
 
 
 def out_of_scope(title: Column) -> Column:
@@ -46,14 +57,6 @@ def absolute(base: Column, link: Column) -> Column:
     )
 
 
-def payload_items(payload: Column) -> Column:
-    """The objects of a payload: of lists, and of graphs within, DEPTH levels deep."""
-    items = F.coalesce(_listed(payload, "$"), F.array(payload))
-    for _ in range(DEPTH):
-        items = F.flatten(F.transform(items, lambda x: F.coalesce(_listed(x, "$"), _listed(x, "$['@graph']"), F.array(x))))
-    return items
-
-
 def extract_jobposting_jsonld(pages: DataFrame, default_market: str = "unknown") -> DataFrame:
     """The job postings that pages (site_id, url, html) declare, one row for each site and id.
 
@@ -61,10 +64,7 @@ def extract_jobposting_jsonld(pages: DataFrame, default_market: str = "unknown")
     are joined; the id is a hash of url, title and place.
     """
     scripts = pages.select("site_id", F.col("url").alias("page_url"), F.explode(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1))).alias("script"))
-    parsed = scripts.withColumn("payload", F.try_parse_json(F.trim(unescape(F.col("script"))))).where("payload IS NOT NULL")
-    jobs = parsed.select("site_id", "page_url", F.explode(payload_items(F.col("payload"))).alias("job"))
-    kinds = F.coalesce(F.try_variant_get("job", "$['@type']", "array<string>"), F.array(_text(F.col("job"), "$['@type']")))
-    jobs = jobs.where(F.array_contains(kinds, "JobPosting"))
+    jobs = scripts.select("site_id", "page_url", F.explode(_job_objects("script")).alias("text")).select("site_id", "page_url", F.try_parse_json("text").alias("job")).where("job IS NOT NULL")
     places = F.coalesce(_listed(F.col("job"), "$.jobLocation"), F.array(F.try_variant_get("job", "$.jobLocation", "variant")))
     piece = lambda x, name: F.nullif(_text(x, f"$.address.{name}"), F.lit(""))
     address = F.filter(F.transform(places, lambda x: F.concat_ws(", ", piece(x, "addressLocality"), piece(x, "addressRegion"), piece(x, "addressCountry"))), lambda x: x != "")
@@ -104,10 +104,13 @@ def company_tokens(name: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(site_id, consolidation_key, canonical_name, page_url, link, label) of each anchor of the pages."""
+    """(site_id, consolidation_key, canonical_name, page_url, link, label) of each anchor of the pages, and of each url in their source."""
+    named = ("site_id", "consolidation_key", "canonical_name", F.col("url").alias("page_url"))
     hrefs, labels = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2))
-    rows = pages.select("site_id", "consolidation_key", "canonical_name", F.col("url").alias("page_url"), F.explode(F.arrays_zip(hrefs.alias("href"), labels.alias("label"))).alias("a"))
-    return rows.select("site_id", "consolidation_key", "canonical_name", "page_url", absolute(F.col("page_url"), unescape(F.col("a.href"))).alias("link"), strip_html(F.col("a.label")).alias("label"))
+    rows = pages.select(*named, F.explode(F.arrays_zip(hrefs.alias("href"), labels.alias("label"))).alias("a"))
+    anchors = rows.select("site_id", "consolidation_key", "canonical_name", "page_url", absolute(F.col("page_url"), unescape(F.col("a.href"))).alias("link"), strip_html(F.col("a.label")).alias("label"))
+    raw = pages.select(*named, F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(EMBEDDED), F.lit(0)))).alias("raw"))
+    return anchors.unionByName(raw.select("site_id", "consolidation_key", "canonical_name", "page_url", unescape(F.col("raw")).alias("link"), F.lit("embedded URL").alias("label")))
 
 
 def resolve_ats_links(links: DataFrame, excluded: DataFrame, supported: tuple[str, ...], places: int = 3) -> DataFrame:
@@ -115,8 +118,7 @@ def resolve_ats_links(links: DataFrame, excluded: DataFrame, supported: tuple[st
 
     Excluded domains (domain) are found by equality with the host's parent domains.
     """
-    c = classify_url(url_parts(F.col("link")))
-    rows = links.where(F.col("link").rlike("^https?://") & ~F.lower("link").rlike(r"\.(css|js|png|jpe?g|gif|svg|ico|woff2?|ttf|pdf)(\?|#|$)")).withColumn("c", c).where("c.host <> '' AND c.source_type <> 'generic_html'")
+    rows = links.where(F.col("link").rlike("^https?://") & ~F.lower("link").rlike(r"\.(css|js|png|jpe?g|gif|svg|ico|woff2?|ttf|pdf)(\?|#|$)")).select("*", once(classify_url(url_parts(F.col("link")))).alias("c")).where("c.host <> '' AND c.source_type <> 'generic_html'")
     rows = rows.withColumn("suffix", host_suffixes(F.col("c.host")))
     hosts = rows.select(F.col("c.host").alias("host"), "suffix").distinct().withColumn("domain", F.explode("suffix"))
     out = hosts.join(excluded.select("domain").distinct(), "domain", "left_semi").select("host").distinct()
@@ -124,6 +126,80 @@ def resolve_ats_links(links: DataFrame, excluded: DataFrame, supported: tuple[st
     text = F.lower(F.concat_ws(" ", "link", "label"))
     score = 65 + F.when(has_career_term(text), 15).otherwise(0) + F.when(F.exists(F.slice(company_tokens(F.col("canonical_name")), 1, 4), lambda w: F.contains(text, w)), 10).otherwise(0) + F.when(F.col("c.source_type").isin(*supported), 10).otherwise(0)
     best = rows.withColumn("score", score).groupBy("consolidation_key", F.col("c.canonical_url").alias("site_url")).agg(F.max_by(F.struct("c.source_type", "c.source_key"), "score").alias("c"), F.max("score").alias("candidate_score"))
-    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("candidate_score")).alias("order"), "site_url", "c.source_type", "c.source_key"))), 1, places)
-    ranked = best.groupBy("consolidation_key").agg(first.alias("found")).select("consolidation_key", F.posexplode("found").alias("k", "f"))
-    return ranked.select("consolidation_key", (F.col("k") + 1).alias("candidate_rank"), (-F.col("f.order")).alias("candidate_score"), "f.site_url", "f.source_type", "f.source_key")
+    order = Window.partitionBy("consolidation_key").orderBy(F.desc("candidate_score"), "site_url")
+    # Each task keeps its first places before companies meet.
+    ranked = best.withColumn("candidate_rank", F.row_number().over(order)).where(F.col("candidate_rank") <= places)
+    return ranked.select("consolidation_key", "candidate_rank", "candidate_score", "site_url", "c.source_type", "c.source_key")
+
+
+def link_jobs(pages: DataFrame, default_market: str = "unknown") -> DataFrame:
+    """US jobs among the plain links of pages (site_id, url, html) that declare none: a row for each site and id.
+
+    A link counts if its text has 4 to 140 characters, a job's word and nothing that is out of scope, and
+    if the text within 400 characters of its tag names a US place and no other country. Pages are scanned
+    once, tag by tag; what isn't closed ends the scan.
+    """
+    links = pages.select("site_id", F.col("url").alias("page_url"), F.posexplode(_near_links(F.coalesce("html", F.lit("")))).alias("k", "a")).select("site_id", "page_url", "k", "a.*")
+    rows = links.select("site_id", "page_url", "k", "href", "near", once(strip_html(F.col("label"))).alias("title"))
+    rows = rows.where(F.length("title").between(4, 140) & ~F.col("title").rlike(BARE_LINK) & F.col("title").rlike(JOB_WORDS) & ~out_of_scope(F.col("title")))
+    rows = rows.select("site_id", "page_url", "k", "href", "title", once(strip_html(F.col("near"))).alias("near"))
+    rows = rows.select("*", once(us_location(F.col("near"))).alias("location")).where("location <> ''")
+    rows = rows.where(market_scope(F.col("location"), default_market) == "US").withColumn("job_url", absolute(F.col("page_url"), clean_text(F.col("href"))))
+    rows = rows.withColumn("external_job_id", posting_id(F.col("job_url"), F.col("title"), F.col("location")))
+    none = F.lit("")
+    job = F.struct("title", normalize_title(F.col("title")).alias("normalized_title"), "location", none.alias("category"), "job_url", F.substring("near", 1, SNIPPET).alias("description_snippet"), F.lit("US").alias("market_scope"), none.alias("posted_text"), none.alias("employment_type"))
+    return rows.groupBy("site_id", "external_job_id").agg(F.min_by(job, "k").alias("j")).select("site_id", "external_job_id", "j.*")
+
+
+def us_location(text: Column) -> Column:
+    """The US place that a text names: a city and its state, a remote or country-wide one, or a state; empty with a sign of another country."""
+    low = F.lower(text)
+    city = F.regexp_extract(text, rf"\b([A-Z][A-Za-z .'-]{{2,40}},\s*(?:{'|'.join(sorted(STATES.values()))}))\b", 1)
+    states = F.coalesce(*(F.when(low.rlike(rf"\b{s}\b"), s.title()) for s in STATES), F.lit(""))
+    return F.when(low.rlike(OUTSIDE), "").when(city != "", clean_text(city)).when(low.rlike(r"\b(remote|united states|u\.s\.|u\.s\.a\.|usa)\b"), "United States").otherwise(states)
+
+
+def near_links(page: str) -> list[dict[str, str]]:
+    """Target, inner html and surroundings of each closed anchor of a page."""
+    found, at = [], 0
+    while tag := OPENING.search(page, at):
+        target = HREF.search(tag[1])
+        if not target:
+            at = tag.end()
+            continue
+        end = CLOSING.search(page, tag.end())
+        if not end:
+            break
+        at = end.end()
+        found.append({"href": next(g for g in target.groups() if g is not None), "label": page[tag.end() : end.start()], "near": page[max(0, tag.start() - NEAR) : at + NEAR]})
+    return found
+
+
+def job_objects(script: str) -> list[str]:
+    """The JSON of each job posting in a script's lists and graphs, however deep; none if the script isn't JSON."""
+    try:
+        payload = json.loads(html.unescape(script).strip(), parse_constant=lambda _: None)
+    except (ValueError, RecursionError):
+        return []
+    found, open_ = [], [payload]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, list):
+            open_.extend(reversed(x))
+        elif isinstance(x, dict) and isinstance(x.get("@graph"), list):
+            open_.extend(reversed(x["@graph"]))
+        elif isinstance(x, dict):
+            kind = x.get("@type")
+            if "JobPosting" in (kind if isinstance(kind, list) else [kind]):
+                found.append(json.dumps(x))
+    return found
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("href", "label", "near")])))
+def _near_links(pages: pd.Series) -> pd.Series:
+    return pages.map(near_links)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _job_objects(scripts: pd.Series) -> pd.Series:
+    return scripts.map(job_objects)

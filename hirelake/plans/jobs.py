@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import roles, titles as T
-from hirelake.functions.market import market_scope
+from hirelake.functions.market import OUTSIDE, STATES, market_scope
 from hirelake.functions.money import annual_salary
 from hirelake.functions.urls import PATH_PATTERNS, classify_url, path_pattern, posting_id, url_host, url_parts, url_path
 from hirelake.operators import dashboard, discovery, labels, pages, postings, queues, repair, reports, title_model
@@ -41,10 +41,19 @@ PATHS = ("/acme", "/acme/jobs/12", "/careers/acme", "/", "/a/b/c/d", "/about", "
 LINKS = f"SELECT page_id, concat('https://', {pick(HOSTS, 'page_id')}, {pick(PATHS, 'page_id % 77')}, CASE WHEN page_id % 4 = 0 THEN '?x=1' ELSE '' END) AS url FROM pages"
 EXCLUDED = rows_sql("domain", ("linkedin.com",), ("indeed.com",))
 RESULTS = f"SELECT {FEIN.format('page_id % 60')} AS consolidation_key, 'Acme Holdings Inc' AS canonical_name, l.url, {pick(('Official Careers at Acme', 'Jobs', '', 'News'), 'page_id')} AS title, CAST(page_id % 120 AS double) / 100 AS score FROM ({LINKS}) l"
+#: What stands before and after a declared posting (lists, graphs in lists, a broken script) and how it names its type.
+BEFORE = ('{{"@graph":[', '[[{{"@graph":[[{{"@graph":[{{"@graph":[', "", "{{", "[", '[{{"@type":"Other"}},')
+AFTER = (',{{"@type":"Other"}}]}}', "]}}]}}]]}}]]", "", "", "]", "]")
+KINDS = ('"JobPosting"', '["Thing","JobPosting"]', '"JobPosting"', '"Event"', '["JobPosting"]')
 CARDS = f"""
 SELECT page_id AS site_id, concat('https://jobs.example.org/p/', CAST(page_id AS varchar(20))) AS url,
-       concat('<script type="application/ld+json">{{{{"@graph":[{{{{"@type":"JobPosting","title":"', {pick(TITLES, 'page_id')}, ' &amp; Co","url":"/jobs/', CAST(page_id AS varchar(20)),
-              '","jobLocation":{{{{"address":{{{{"addressLocality":"', {pick(('Chicago', 'London', 'Austin'), 'page_id')}, '","addressRegion":"', {pick(('IL', '', 'TX'), 'page_id')}, '"}}}}}}}},"description":"<p>Good   work</p>","datePosted":"2024-01-0', CAST(page_id % 9 + 1 AS varchar(9)), '"}}}},{{{{"@type":"Other"}}}}]}}}}</script>', coalesce(html, '')) AS html FROM pages"""
+       concat('<script id=x type="application/ld+json">', {pick(BEFORE, 'page_id')}, '{{{{"@type":', {pick(KINDS, 'page_id')}, ',"title":"', {pick(TITLES, 'page_id')}, ' &amp; Co","url":"/jobs/', CAST(page_id AS varchar(20)),
+              '","jobLocation":{{{{"address":{{{{"addressLocality":"', {pick(('Chicago', 'London', 'Austin'), 'page_id')}, '","addressRegion":"', {pick(('IL', '', 'TX'), 'page_id')}, '"}}}}}}}},"description":"<p>Good   work</p>","datePosted":"2024-01-0', CAST(page_id % 9 + 1 AS varchar(9)), '"}}}}', {pick(AFTER, 'page_id')}, '</script>', coalesce(html, '')) AS html FROM pages"""
+PLACES = ("Chicago, IL", "anywhere", "Remote", "Toronto, Canada", "in New Jersey", "Austin, TX")
+LABELS = ("<b>Software</b> Engineer", "Apply now", "Data Analyst &amp; more", "Gardener", "Senior   Product Manager", "Engineer, Canada", "QA")
+LINKED = f"""
+SELECT page_id AS site_id, url, concat(coalesce(html, ''), '<p>', {pick(PLACES, 'page_id')}, '</p><a id="k" href="/jobs/', CAST(page_id AS varchar(20)), '?a=1&amp;b=2">', {pick(LABELS, 'page_id')}, '</a>', CASE WHEN page_id % 4 = 0 THEN repeat('filler ', 70) ELSE '' END,
+       '<a href="/jobs/', CAST(page_id % 9 AS varchar(20)), '">', {pick(LABELS, 'page_id % 11')}, '</a> ', {pick(PLACES, 'page_id % 13')}, '<a href="/open">Data') AS html FROM pages"""
 ANCHORS = f"SELECT page_id AS site_id, {FEIN.format('page_id % 60')} AS consolidation_key, 'Acme Holdings Inc' AS canonical_name, 'https://example.org/about' AS url, concat('<a class=x href=\"', l.url, '\">Careers</a>', coalesce(html, '')) AS html FROM ({LINKS.replace('SELECT page_id,', 'SELECT page_id, html,')}) l"
 PAYLOADS = f"""
 SELECT page_id % 40 AS site_id, page_id AS fetched_at, concat('{{{{"jobs":[{{{{"id":', CAST(page_id % 7 AS varchar(9)), ',"title":"', {pick(TITLES, 'page_id')}, '","location":{{{{"name":"', {pick(('Chicago, IL', 'London', 'Remote'), 'page_id')},
@@ -245,6 +254,10 @@ def declared_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_jobposting_jsonld(view(spark, sf_dir, CARDS, "pages"))
 
 
+def linked_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.link_jobs(view(spark, sf_dir, LINKED, "pages"))
+
+
 def payload_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.normalize_payloads(view(spark, sf_dir, PAYLOADS, "pages"))
 
@@ -278,7 +291,7 @@ QUERIES = {
         current_postings, dashboard_jobs, dashboard_buckets, job_search, job_mix, hiring_summary, title_review_queue, local_day_postings, job_actions, snapshot_apply, snapshot_titles, snapshot_run_counts,
         manual_labels, manual_label_history, model_labels, soc_labels, wage_repair, wage_repair_backup, wage_repair_guards, wage_repair_rescore, staged_repairs, merged_targets, inserted_targets, synced_targets,
         auto_trusted, reviewed_sites, discovery_status, priority_overrides, site_hygiene, review_workbench, ranked_results, finalized_discovery, rekeyed_sites, classified_urls, url_templates,
-        declared_jobs, payload_jobs, resolved_links, title_folds, title_thresholds,
+        declared_jobs, linked_jobs, payload_jobs, resolved_links, title_folds, title_thresholds,
     )
 }
 
@@ -294,6 +307,21 @@ _D = f"""{_J}, d AS (SELECT j.site_id, j.external_job_id, consolidation_key, t.c
 _PATTERN = f"CASE {' '.join(f'WHEN regexp_matches(path, {p!r}) THEN {n!r}' for p, n in PATH_PATTERNS)} ELSE regexp_replace(path, '/[0-9]+', '/:id', 'g') END"
 
 
+_CITY_STATE = rf"\b([A-Z][A-Za-z .''-]{{2,40}},\s*(?:{'|'.join(sorted(STATES.values()))}))\b"
+
+
+def _unescape(x: str) -> str:
+    """The entities that the given pages hold."""
+    for entity, value in (("copy", "\u00a9"), ("middot", "\u00b7"), ("quot", '"'), ("amp", "&")):
+        x = f"replace(replace({x}, '&{entity};', '{value}'), '&{entity}', '{value}')"
+    return x
+
+
+def _strip(x: str) -> str:
+    spaced = lambda y: f"trim(regexp_replace({y}, '\\s+', ' ', 'g'))"
+    return spaced(_unescape(f"regexp_replace({spaced(_unescape(x))}, '<[^>]+>', ' ', 'g')"))
+
+
 def _any(column: str, patterns: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"{column} LIKE '%{p}%'" for p in patterns) + ")" if patterns else "false"
 
@@ -426,9 +454,20 @@ FROM ({QUEUED}) q JOIN ({OUTCOMES}) o USING (consolidation_key)""",
 WITH r AS (SELECT {_HOST} AS host, lower(regexp_extract(url, '^https://[^/?#]*([^?#]*)', 1)) AS path, left(sha1(concat(url, '|t|l')), 24) AS id FROM ({LINKS}))
 SELECT host, {_PATTERN} AS pattern, count(*) AS urls, min(id) AS first_id FROM r GROUP BY ALL""",
     "declared_jobs": f"""
-WITH c AS (SELECT page_id AS site_id, concat({pick(TITLES, 'page_id')}, ' & Co') AS title, {pick(('Chicago, IL', 'London', 'Austin, TX'), 'page_id')} AS location, concat('/jobs/', page_id) AS link, concat('2024-01-0', page_id % 9 + 1) AS posted_text FROM pages)
+WITH c AS (SELECT page_id AS site_id, concat({pick(TITLES, 'page_id')}, ' & Co') AS title, {pick(('Chicago, IL', 'London', 'Austin, TX'), 'page_id')} AS location, concat('/jobs/', page_id) AS link, concat('2024-01-0', page_id % 9 + 1) AS posted_text FROM pages WHERE page_id % 6 <> 3 AND page_id % 5 <> 3)
 SELECT site_id, left(sha1(concat(link, '|', title, '|', location)), 24) AS external_job_id, title, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9_+#./-]+', ' ', 'g'), ' +', ' ', 'g')) AS normalized_title, location, '' AS category, concat('https://jobs.example.org', link) AS job_url, 'Good work' AS description_snippet,
   {SCOPE} AS market_scope, posted_text, '' AS employment_type FROM c""",
+    "linked_jobs": rf"""
+WITH g AS (SELECT site_id, url, html, string_split(html, '</a>') AS parts FROM ({LINKED})), h AS (SELECT site_id, url, html, len(parts) AS n, unnest(parts) AS s, generate_subscripts(parts, 1) AS k FROM g),
+o AS (SELECT *, sum(length(s) + 4) OVER (PARTITION BY site_id ORDER BY k) AS stop, regexp_extract(s, '(?is)<a\b[^>]*\bhref\s*=\s*"([^"]+)"[^>]*>', 0) AS tag, regexp_extract(s, '(?is)<a\b[^>]*\bhref\s*=\s*"([^"]+)"[^>]*>', 1) AS href FROM h),
+a AS (SELECT *, CAST(greatest(stop - 4 - length(s) + strpos(s, tag) - 1 - 400, 0) AS BIGINT) AS lo FROM o WHERE k < n AND tag <> ''),
+l AS (SELECT site_id, url, k, href, {_strip("substr(s, strpos(s, tag) + length(tag))")} AS title, {_strip("substr(html, lo + 1, CAST(stop + 400 - lo AS BIGINT))")} AS near FROM a),
+w AS (SELECT *, CASE WHEN regexp_matches(lower(near), '{OUTSIDE}') THEN '' WHEN regexp_matches(near, '{_CITY_STATE}') THEN regexp_extract(near, '{_CITY_STATE}', 1) WHEN regexp_matches(lower(near), '\b(remote|united states|u\.s\.|u\.s\.a\.|usa)\b') THEN 'United States'
+  {' '.join(f"WHEN regexp_matches(lower(near), '{chr(92)}b{x}{chr(92)}b') THEN '{x.title()}'" for x in STATES)} ELSE '' END AS location
+  FROM l WHERE length(title) BETWEEN 4 AND 140 AND NOT regexp_matches(title, '{pages.BARE_LINK}') AND regexp_matches(title, '{pages.JOB_WORDS}') AND NOT regexp_matches(title, '{pages.OUT_OF_SCOPE}') AND NOT regexp_matches(lower(title), '{OUTSIDE}')),
+x AS (SELECT *, concat(regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0), {_unescape('href')}) AS job_url FROM w WHERE location <> ''),
+y AS (SELECT *, left(sha1(concat(job_url, '|', title, '|', location)), 24) AS external_job_id, {SCOPE} AS market_scope FROM x QUALIFY row_number() OVER (PARTITION BY site_id, left(sha1(concat(job_url, '|', title, '|', location)), 24) ORDER BY k) = 1)
+SELECT site_id, external_job_id, title, trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_+#./-]+', ' ', 'g'), ' +', ' ', 'g')) AS normalized_title, location, '' AS category, job_url, left(near, 1000) AS description_snippet, market_scope, '' AS posted_text, '' AS employment_type FROM y WHERE market_scope = 'US'""",
     "payload_jobs": f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY page_id % 40, page_id % 7 ORDER BY page_id DESC) AS k FROM pages), c AS (SELECT page_id % 40 AS site_id, CAST(page_id % 7 AS varchar) AS external_job_id, {pick(TITLES, 'page_id')} AS title, {pick(('Chicago, IL', 'London', 'Remote'), 'page_id')} AS location, concat('https://x/', page_id) AS job_url FROM r WHERE k = 1)
 SELECT *, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9_+#./-]+', ' ', 'g'), ' +', ' ', 'g')) AS normalized_title, 'Eng, Ops' AS category, 'Hi there' AS description_snippet, {SCOPE} AS market_scope, '2024-01-02' AS posted_text, '' AS employment_type FROM c""",
