@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from hirelake.llm.common import fold
 from hirelake.llm.tokenizer import WordCache
 
-#: Labelled documents of each class that train, on average, chosen by a hash of the id; and features.
-TRAIN_DOCS, MAX_FEATURES = 10_000, 4096
+#: Labelled documents of each class that train, on average, chosen by a hash of the id. Features have no limit of
+#: their own: each needs evidence from several documents of the sample, which bounds them.
+TRAIN_DOCS = 10_000
 #: The least log-likelihood ratio (G squared) and number of positive documents of a feature.
 LEAST_G2, LEAST_DOCS = 20.0, 3
 THRESHOLD = 0.7
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> S
     share_pos, share_neg = n.pos / (n.pos + n.neg), n.neg / (n.pos + n.neg)
     g2 = 2 * (term(pos, both * share_pos) + term(neg, both * share_neg) + term(n.pos - pos, (n.pos + n.neg - both) * share_pos) + term(n.neg - neg, (n.pos + n.neg - both) * share_neg))
     strong = counted.where((pos >= LEAST_DOCS) & (pos * n.neg > neg * n.pos)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-    chosen = strong.orderBy(F.desc("g2"), "feature").limit(MAX_FEATURES).collect()
+    chosen = strong.orderBy(F.desc("g2"), "feature").collect()
     number = {r.feature: k for k, r in enumerate(chosen)}
     start = np.array([np.clip(np.log((r.pos + 0.5) / (n.pos + 1)) - np.log((r.neg + 0.5) / (n.neg + 1)), 0, 6) / 2 for r in chosen])
     numbers = spark.sparkContext.broadcast(number)
