@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.money import annual_salary
 from hirelake.functions.titles import is_executive, is_product_manager, is_product_role, normalize_soc_code
+from hirelake.sources.shared import kept
 
 
 def employer_filing_stats(filings: DataFrame, target_soc: DataFrame) -> DataFrame:
     """One row for each employer number, from one scan: every aggregate combines before the shuffle.
 
-    target_soc (normalized_soc_code, active) is a dimension; Spark broadcasts it while it is small.
+    The grouped rows are written once to the shared folder; the data set's last date is theirs, so filings
+    without a number count for it, too. target_soc (normalized_soc_code, active) is a dimension; Spark broadcasts it while it is small.
     """
     soc = target_soc.where("active").select(F.col("normalized_soc_code").alias("target_code")).distinct()
     title, when = F.col("job_title"), F.col("decision_date")
-    rows = filings.where("employer_fein IS NOT NULL").select(
+    rows = filings.select(
         F.col("employer_fein").alias("fein"), when, is_executive(title).alias("executive"), is_product_role(title).alias("product"), is_product_manager(title).alias("manager"),
         annual_salary(F.col("wage_rate_of_pay_from"), F.col("wage_unit_of_pay")).alias("salary"), normalize_soc_code(F.col("soc_code")).alias("code"),
     )
@@ -28,12 +30,16 @@ def employer_filing_stats(filings: DataFrame, target_soc: DataFrame) -> DataFram
         F.count_if(target & ~paid).alias("target_role_invalid_salary_lca_count"), F.coalesce(F.bool_or("product"), F.lit(False)).alias("has_product_role_job"),
         F.coalesce(F.bool_or("manager"), F.lit(False)).alias("has_product_manager_job"), F.count_if("product").alias("product_role_lca_count"), F.max("decision_date").alias("last_decision_date"),
     )
-    return stats.crossJoin(F.broadcast(filings.agg(F.max("decision_date").alias("dataset_max_decision_date"))))
+    stats = kept(stats, "filing-stats")
+    newest = stats.agg(F.max("last_decision_date").alias("dataset_max_decision_date"))
+    return stats.where("fein IS NOT NULL").crossJoin(F.broadcast(newest))
 
 
 def salary_percentiles(filings: DataFrame, by: Column) -> DataFrame:
     """Exact interpolated quartiles of the yearly salary in each group."""
     salary = annual_salary(F.col("wage_rate_of_pay_from"), F.col("wage_unit_of_pay")).cast("double")
     rows = filings.select(by.alias("group_key"), salary.alias("salary")).where("salary IS NOT NULL")
-    q = rows.groupBy("group_key").agg(F.count("*").alias("n"), F.percentile("salary", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    # Equal salaries are counted before the shuffle: a group weighs as many rows as it has distinct salaries.
+    counted = rows.groupBy("group_key", "salary").agg(F.count("*").alias("times"))
+    q = counted.groupBy("group_key").agg(F.sum("times").alias("n"), F.expr("percentile(salary, array(0.25, 0.5, 0.75), times)").alias("q"))
     return q.select("group_key", "n", *(F.round(F.col("q")[k], 2).alias(f"p{p}") for k, p in enumerate((25, 50, 75))))

@@ -14,6 +14,7 @@ from hirelake.operators.sites import CRAWLED, INTERVALS, REVIEWED, STRUCTURED, T
 from hirelake.plans.catalog import ORACLES as BASE
 from hirelake.plans.catalog import SCOPE, filing_stats
 from hirelake.plans.fixtures import AS_OF, FILINGS, RUNS, SEEN_EVER, SOURCES, SPLIT, TITLES, pick, view
+from hirelake.sources.shared import kept
 
 BRANDS = (
     "Amazon.com Services LLC", "Amazonia Foods Inc", "Apple Inc.", "EY LLP", "Ernst & Young U.S. LLP", "Sage Software Inc.", "Sage Therapeutics", "AT&T Services",
@@ -79,12 +80,20 @@ def consolidation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(groups, "group_id")
 
 
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Companies and their matches, which scores read several times, written once."""
+    companies = kept(_companies(spark, sf_dir), "companies")
+    aliases, keys = view(spark, sf_dir, ALIASES, "customer"), view(spark, sf_dir, SEARCH_KEYS, "customer")
+    return companies, kept(match_top_employers(spark.sql(TERMS), companies, aliases, keys, spark.sql(POLICIES), spark.sql(EXCLUDES)), "matches")
+
+
 def company_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_companies(_companies(spark, sf_dir), filing_stats(spark, sf_dir), top_employer_matches(spark, sf_dir))
+    companies, matches = _matched(spark, sf_dir)
+    return score_companies(companies, filing_stats(spark, sf_dir), matches)
 
 
 def consolidated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    companies, matches = _companies(spark, sf_dir), top_employer_matches(spark, sf_dir)
+    companies, matches = _matched(spark, sf_dir)
     groups, members = build_consolidation(matches, companies, spark.sql(POLICIES), DENIES)
     overrides = spark.sql(OVERRIDES).withColumn("active", F.col("active") == 1)
     return score_consolidated(companies, filing_stats(spark, sf_dir), groups, members, matches, overrides)

@@ -15,7 +15,7 @@ from hirelake.operators.filings import employer_filing_stats
 from hirelake.operators.scoring import score_companies
 from hirelake.operators.sites import schedule_queue
 from hirelake.plans.catalog import _LOW, _PRODUCT, _SALARY, _SOC, SCOPE
-from hirelake.plans.companies import _QUEUE, FEIN, SITE_ROWS, STATUS, TARGETS, _companies, consolidated_scores, top_employer_matches
+from hirelake.plans.companies import _QUEUE, FEIN, SITE_ROWS, STATUS, TARGETS, _matched, consolidated_scores
 from hirelake.plans.companies import ORACLES as COMPANY_SQL
 from hirelake.plans.fixtures import AS_OF, FILINGS, RUNS, SOCS, SOURCES, SPLIT, TARGET_SOC, TITLES, pick, view
 from hirelake.plans.jobs import _CURRENT, _PATTERN, HOSTS, JOBS, LABEL_ROWS, PATHS
@@ -74,7 +74,8 @@ def _filings(spark: SparkSession, sf_dir: str, sql: str = FILINGS) -> DataFrame:
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_companies(_companies(spark, sf_dir), employer_filing_stats(_filings(spark, sf_dir, COHORTS), _soc(spark)), top_employer_matches(spark, sf_dir))
+    companies, matches = _matched(spark, sf_dir)
+    return score_companies(companies, employer_filing_stats(_filings(spark, sf_dir, COHORTS), _soc(spark)), matches)
 
 
 def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelake.functions.market import market_scope
 from hirelake.operators.activity import ZONE
-from hirelake.plans.fixtures import RUNS, SITES, view
+from hirelake.plans.catalog import SCOPE
+from hirelake.plans.fixtures import LOCATIONS, RUNS, SITES, pick, view
 from hirelake.streaming import jobs
 
 SEEN = "SELECT user_id % 20 AS site_id, concat(event_type, '-', regexp_extract(props, '([0-9]+)', 1)) AS external_job_id, ts FROM events"
@@ -42,7 +44,20 @@ def stream_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("site_id").agg(*(F.max_by(c, "batch").alias(c) for c in ("consecutive_failures", "last_run_at", "next_crawl_at")))
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_runs, stream_health, stream_unique_postings, stream_stale_runs, stream_backoff)}
+#: Snapshots of eight days; in each, a third of the sites isn't crawled.
+ARRIVED = f"""
+SELECT * FROM (SELECT user_id % 20 AS site_id, concat(event_type, '-', regexp_extract(props, '([0-9]+)', 1), '-', CAST(user_id % 7 AS varchar(9))) AS external_job_id, {pick(LOCATIONS, 'event_id')} AS location, ts, CAST(floor((day(ts) - 1) / 8.0) AS integer) AS k FROM events WHERE value < 60) e
+WHERE (site_id + k) % 3 <> 0"""
+
+
+def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, ARRIVED, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("market_scope", market_scope(F.col("location")))
+    none = spark.createDataFrame([], "site_id long, external_job_id string, market_scope string, active boolean, first_seen_at timestamp, last_seen_at timestamp, closed_at timestamp")
+    arrivals = [rows.where(F.col("k") == k).select("site_id", "external_job_id", "market_scope", "ts") for k in range(4)]
+    return jobs.apply_arrivals(arrivals, none)
+
+
+QUERIES = {f.__name__: f for f in (stream_daily_runs, stream_health, stream_unique_postings, stream_stale_runs, stream_backoff, stream_snapshots)}
 
 _SUMS = "count(*) AS runs, count(*) FILTER (status = 'succeeded') AS successes, count(*) FILTER (status = 'failed') AS failures"
 _LOCAL = f"timezone('{ZONE}', timezone('UTC', CAST(started_at AS timestamp)))"
@@ -54,6 +69,12 @@ SELECT * FROM g WHERE activity_date + INTERVAL 1 DAY <= (SELECT date_trunc('mill
 WITH runs AS ({RUNS}), rows AS (SELECT runs.*, source_type, CAST(CAST(started_at AS date) + CAST(k AS integer) AS date) AS day FROM runs JOIN ({SITES}) s USING (site_id), range(1, 8) r(k)),
 g AS (SELECT day, source_type, {_SUMS} FROM rows GROUP BY 1, 2)
 SELECT * FROM g WHERE day <= (SELECT date_trunc('millisecond', max(started_at)) - INTERVAL 1 DAY FROM rows)""",
+    "stream_snapshots": f"""
+WITH s AS (SELECT *, {SCOPE} AS scope FROM ({ARRIVED})), times AS (SELECT k, max(ts) AS as_of FROM s GROUP BY k), crawled AS (SELECT DISTINCT site_id, k FROM s),
+seen AS (SELECT site_id, external_job_id, min(k) AS a, max(k) AS b FROM s WHERE scope = 'US' GROUP BY 1, 2),
+x AS (SELECT seen.*, (SELECT min(c.k) FROM crawled c WHERE c.site_id = seen.site_id AND c.k > seen.b) AS gone FROM seen)
+SELECT site_id, external_job_id, 'US' AS market_scope, gone IS NULL AS active, f.as_of AS first_seen_at, l.as_of AS last_seen_at, c.as_of AS closed_at
+FROM x JOIN times f ON f.k = a JOIN times l ON l.k = b LEFT JOIN times c ON c.k = gone""",
     "stream_unique_postings": f"SELECT DISTINCT site_id, external_job_id FROM ({SEEN})",
     "stream_stale_runs": f"""
 WITH runs AS ({RUNS}) SELECT run_id, started_at, 'stale_timeout' AS error_code FROM runs

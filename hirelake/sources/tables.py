@@ -4,11 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+#: Where a row of a file that doesn't fit its schema is kept.
+MALFORMED = "_malformed"
+
+
+def read_table(spark: SparkSession, source: str, jdbc: dict[str, str] | None = None) -> DataFrame:
+    """A table by its name in the catalog, or Parquet files by their path, or a table of a database.
+
+    ``jdbc`` has the reader's options: url, and for a read in parts partitionColumn, lowerBound, upperBound, numPartitions.
+    """
+    if jdbc:
+        return spark.read.format("jdbc").options(dbtable=source, **jdbc).load()
+    return spark.read.parquet(source) if "/" in source else spark.read.table(source)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Typed rows of CSV files with a header; rows that don't fit are left out (``malformed_rows`` has them)."""
+    return _csv(spark, path, schema).where(F.col(MALFORMED).isNull()).drop(MALFORMED)
+
+
+def malformed_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The lines of CSV files that don't fit the schema."""
+    return _csv(spark, path, schema).where(F.col(MALFORMED).isNotNull()).select(F.col(MALFORMED).alias("line"))
+
+
+def _csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    wide = StructType([*schema.fields, StructField(MALFORMED, StringType())])
+    rows = spark.read.schema(wide).option("header", True).option("escape", '"').option("columnNameOfCorruptRecord", MALFORMED).csv(path)
+    # Spark refuses a scan of the malformed column alone; a condition that always holds names the others.
+    return rows.where(F.hash(*schema.names) % 1 == 0)
+
+
+def export_csv(df: DataFrame, path: str, order: list[str | Column]) -> None:
+    """CSV parts with a header, sorted over all parts: part names are in the order of their rows. Null and empty texts differ."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+
+
+def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Replaces the partitions of which ``df`` has rows; others stay as they are. Without partitions all is replaced."""
+    if by:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def delete_keys(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``base`` without the rows of the given keys."""
+    return base.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
 def cast_stage(df: DataFrame, schema: StructType) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hirelake.operators.activity import ZONE
 from hirelake.operators.postings import KEYS, apply_snapshot
+from hirelake.sources.shared import shared_root
 
 DELAY, STALE_MINUTES, MAX_BACKOFF_HOURS, INTERVAL_HOURS = "1 day", 60, 24, 168
 
@@ -40,34 +40,15 @@ def unique_postings(postings: DataFrame, at: str = "ts", delay: str = DELAY) ->
 
 
 def stale_runs(runs: DataFrame, minutes: int = STALE_MINUTES, delay: str = DELAY) -> DataFrame:
-    """Runs still without an end when the watermark is ``minutes`` past their start.
+    """Runs without an end when the watermark is ``minutes`` past their start.
 
-    State is one number for each open run; an end drops it. A start that comes in a later batch than its end
-    opens the run again. Rows without a start time are ignored unless they end the run.
+    A run's rows are one session of ``minutes``; when it closes, a run without an end is stale. An end that
+    comes later belongs to a session of its own, which says nothing. State is one row for each run of the
+    last ``delay`` and ``minutes``. Rows without a start time are ignored.
     """
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (began,) = state.get
-            state.remove()
-            yield pd.DataFrame({"run_id": [key[0]], "started_at": [pd.Timestamp(began, unit="us")], "error_code": ["stale_timeout"]})
-            return
-        began, ended = state.get[0] if state.exists else None, False
-        for rows in batches:
-            ended = ended or bool((rows["status"] != "running").any())
-            first = rows["started_at"].min()
-            if pd.notna(first):
-                us = first.value // 1000
-                began = us if began is None else min(began, us)
-        if ended or began is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((began,))
-        state.setTimeoutTimestamp(max(began // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-
-    keyed = runs.select("run_id", "status", "started_at").withWatermark("started_at", delay).groupBy("run_id")
-    return keyed.applyInPandasWithState(judge, "run_id long, started_at timestamp, error_code string", "began long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = runs.where("started_at IS NOT NULL").select("run_id", "status", "started_at").withWatermark("started_at", delay)
+    sessions = rows.groupBy(F.session_window("started_at", f"{minutes} minutes"), "run_id").agg(F.min("started_at").alias("started_at"), F.bool_or(~F.col("status").eqNullSafe("running")).alias("ended"))
+    return sessions.where("NOT ended").select("run_id", "started_at", F.lit("stale_timeout").alias("error_code"))
 
 
 def crawl_backoff(runs: DataFrame, interval_hours: int = INTERVAL_HOURS) -> DataFrame:
@@ -110,11 +91,27 @@ def snapshot_versions(root: str, at: str = "ts"):
     return run
 
 
+def apply_arrivals(arrivals: list[DataFrame], history: DataFrame, at: str = "ts") -> DataFrame:
+    """The history after snapshots that arrive one after another, each a micro-batch of one stream.
+
+    A batch that is delivered again gives the version that it gave before.
+    """
+    spark = history.sparkSession
+    root = f"{shared_root(spark)}/snapshots-{uuid.uuid4().hex}"
+    history.write.parquet(f"{root}/version=0")
+    run = snapshot_versions(root, at)
+    stream = spark.readStream.schema(arrivals[0].schema).parquet(f"{root}/in/*")
+    for k, stage in enumerate(arrivals):
+        stage.write.parquet(f"{root}/in/k{k}")
+        stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    run(spark.read.parquet(f"{root}/in/k{len(arrivals) - 1}"), len(arrivals) - 1)
+    return spark.read.parquet(f"{root}/version={len(arrivals)}")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives for all that is there now, with the number of its ``batch``; files in the shared folder."""
     spark: SparkSession = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     spark.createDataFrame([], stream.schema).write.parquet(f"{out}/rows/batch=-1")
     write = lambda rows, k: rows.write.mode("overwrite").parquet(f"{out}/rows/batch={k}")
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
