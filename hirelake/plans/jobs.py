@@ -18,6 +18,7 @@ from hirelake.plans.fixtures import AS_OF, ERRORS, SEEN_EVER, SPLIT, TITLES, UNI
 from hirelake.plans.reports import ACTION_ROWS, NOW, POSTINGS, UNITS as UNIT_ROWS
 from hirelake.plans.titles import ORACLES as TITLE_SQL
 from hirelake.plans.titles import _resolution
+from hirelake.sources.shared import kept
 from hirelake.sources.tables import cast_stage, insert_absent, merge_upsert
 
 KIND, POSTED = pick(("Full-time", "Contract", "", "Part time", None), "event_id"), pick(("2024-01-05", "Posted 2023", "", "30+ days ago", "1704067200", "1672531200000"), "event_id")
@@ -68,7 +69,7 @@ CHOICES = f"SELECT {FEIN.format('c_custkey')} AS consolidation_key, {pick(('P0',
 FULL_SITES = f"SELECT s.*, {pick(HOSTS, 'site_id')} AS normalized_domain, concat('https://', {pick(HOSTS, 'site_id')}, {pick(PATHS, 'site_id % 77')}) AS site_url, CAST(site_id % 50 AS double) AS candidate_score, {pick(ERRORS, 'site_id')} AS last_error FROM ({SITE_ROWS}) s"
 OUTCOMES = f"SELECT {FEIN.format('c_custkey')} AS consolidation_key, c_custkey % 5 <> 0 AS search_succeeded, c_custkey % 3 AS candidate_count FROM customer"
 QUEUED = f"SELECT consolidation_key, {pick(('pending', 'found'), 'CAST(consolidation_key AS bigint)')} AS discovery_status, TIMESTAMP '{AS_OF}' AS next_discovery_at, CAST(CAST(consolidation_key AS bigint) % 4 AS integer) AS consecutive_discovery_failures FROM ({TARGETS}) t"
-MERGES = f"SELECT {FEIN.format('c_custkey')} AS old_key, {FEIN.format('c_custkey - 1')} AS new_key FROM customer WHERE c_custkey % 10 = 3"
+MERGES = f"SELECT {FEIN.format('c_custkey')} AS old_key, {FEIN.format('c_custkey + 1000')} AS new_key FROM customer"
 QUERY = "manager chicago"
 
 
@@ -268,12 +269,26 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, marks = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    title = F.regexp_extract(F.lower("text"), r"^\s*((?:\S+\s+){0,7}\S+)", 1)
-    rows = docs.join(marks, "doc_id").select(title.alias("normalized_title"), F.when(F.col("quality") == 1, "target").otherwise("non_target").alias("classification_status"))
+    """The titles of all pages, labelled by their language."""
+    title = F.trim(F.lower(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(title.alias("normalized_title"), F.when(F.contains("html", F.lit('<html lang="en"')), "target").otherwise("non_target").alias("classification_status"))
     return rows.where("normalized_title <> ''").groupBy("normalized_title").agg(F.min("classification_status").alias("classification_status"))
 
 
+def title_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _titled(spark, sf_dir)
+    return title_model.exclusive_predict(rows, rows, held=True)
+
+
+def title_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _titled(spark, sf_dir)
+    return title_model.nb_evidence(rows, title_model.nb_predict(rows, rows).select("normalized_title", "predicted"))
+
+
+def title_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return title_model.compare_variants(kept(_titled(spark, sf_dir), "titles"))
+
+
 def title_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _titled(spark, sf_dir)
     held = title_model.nb_predict(rows, rows, held=True)
@@ -291,7 +306,7 @@ QUERIES = {
         current_postings, dashboard_jobs, dashboard_buckets, job_search, job_mix, hiring_summary, title_review_queue, local_day_postings, job_actions, snapshot_apply, snapshot_titles, snapshot_run_counts,
         manual_labels, manual_label_history, model_labels, soc_labels, wage_repair, wage_repair_backup, wage_repair_guards, wage_repair_rescore, staged_repairs, merged_targets, inserted_targets, synced_targets,
         auto_trusted, reviewed_sites, discovery_status, priority_overrides, site_hygiene, review_workbench, ranked_results, finalized_discovery, rekeyed_sites, classified_urls, url_templates,
-        declared_jobs, linked_jobs, payload_jobs, resolved_links, title_folds, title_thresholds,
+        declared_jobs, linked_jobs, payload_jobs, resolved_links, title_folds, title_thresholds, title_exclusive, title_evidence, title_variants,
     )
 }
 
@@ -364,18 +379,42 @@ def _classes(rows: str) -> str:
 
 
 _OUT = "(h = 'linkedin.com' OR h LIKE '%.linkedin.com' OR h = 'indeed.com' OR h LIKE '%.indeed.com')"
-_NB = f"""
-l AS (SELECT title AS normalized_title, min(CASE WHEN quality = 1 THEN 'target' ELSE 'non_target' END) AS y FROM (SELECT regexp_extract(lower(text), '^\\s*((?:\\S+\\s+){{0,7}}\\S+)', 1) AS title, quality FROM documents JOIN labels USING (doc_id)) WHERE title <> '' GROUP BY 1),
+def _titles_sql(variant: str = "baseline", prior: str = "observed") -> str:
+    """Counts, sizes and held-out predictions of a variant, as CTEs."""
+    stem = "CASE " + " ".join(f"WHEN ends_with(a, '{e}') AND length(a) >= {len(e) + 4} THEN left(a, length(a) - {len(e)})" for e in title_model.ENDINGS) + " ELSE a END"
+    more = f", [concat('s:', {stem}) FOR a IN w IF length(a) > 2]" if variant in ("stem", "stem_char", "exclusive") else ""
+    if variant in ("char", "stem_char"):
+        more += "".join(f", flatten([[concat('c{n}:', substr(concat('^', a, '$'), i, {n})) FOR i IN range(1, length(a) + {4 - n})] FOR a IN w IF length(a) > 3])" for n in (3, 4))
+    start = ("ln((dt + 1) / (dt + dn + 2))", "ln((dn + 1) / (dt + dn + 2))") if prior == "observed" else ("0", "0")
+    return f"""
+l AS (SELECT title AS normalized_title, min(y) AS y FROM (SELECT trim(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))) AS title, CASE WHEN contains(html, '<html lang="en"') THEN 'target' ELSE 'non_target' END AS y FROM pages) WHERE title <> '' GROUP BY 1),
 f AS (SELECT normalized_title, y, CAST('0x' || left(sha256(normalized_title), 8) AS BIGINT) % 5 AS fold, {_WORDS} AS w FROM l),
-x AS (SELECT normalized_title, y, fold, unnest(list_concat([concat('w:', a) FOR a IN w IF length(a) > 1], [concat('b:', w[i], '_', w[i + 1]) FOR i IN range(1, len(w))])) AS feature FROM f),
+x AS (SELECT normalized_title, y, fold, unnest(list_concat([concat('w:', a) FOR a IN w IF length(a) > 1], [concat('b:', w[i], '_', w[i + 1]) FOR i IN range(1, len(w))]{more})) AS feature FROM f),
 cnt AS (SELECT feature, fold, count(*) FILTER (y = 'target') AS t, count(*) FILTER (y = 'non_target') AS n FROM x GROUP BY ALL),
 tot AS (SELECT feature, sum(t) AS t, sum(n) AS n, count(DISTINCT fold) AS folds, any_value(fold) AS fold FROM cnt GROUP BY 1),
 sz AS (SELECT k AS fold, (SELECT count(*) FROM f WHERE fold <> k AND y = 'target') AS dt, (SELECT count(*) FROM f WHERE fold <> k AND y = 'non_target') AS dn, (SELECT sum(t) FROM cnt WHERE fold <> k) AS st, (SELECT sum(n) FROM cnt WHERE fold <> k) AS sn,
   (SELECT count(DISTINCT feature) FROM cnt WHERE fold <> k) AS v FROM range(5) r(k)),
 s AS (SELECT normalized_title, x.fold, sum(ln((tot.t - coalesce(own.t, 0) + 1) / (st + v))) AS lt, sum(ln((tot.n - coalesce(own.n, 0) + 1) / (sn + v))) AS ln_ FROM x JOIN tot USING (feature) LEFT JOIN cnt own ON own.feature = x.feature AND own.fold = x.fold JOIN sz ON sz.fold = x.fold GROUP BY 1, 2),
-p AS (SELECT f.normalized_title, f.y, 1 / (1 + exp(-greatest(-60, least(60, ln((dt + 1) / (dt + dn + 2)) + coalesce(lt, 0) - ln((dn + 1) / (dt + dn + 2)) - coalesce(ln_, 0))))) AS p FROM f JOIN sz USING (fold) LEFT JOIN s USING (normalized_title)),
+p AS (SELECT f.normalized_title, f.y, 1 / (1 + exp(-greatest(-60, least(60, {start[0]} + coalesce(lt, 0) - {start[1]} - coalesce(ln_, 0))))) AS p FROM f JOIN sz USING (fold) LEFT JOIN s USING (normalized_title)),
 q AS (SELECT normalized_title, y, CASE WHEN p >= 0.5 THEN 'target' ELSE 'non_target' END AS predicted, greatest(p, 1 - p) AS confidence FROM p)"""
 
+
+_NB = _titles_sql()
+_ALONE = f"""{_titles_sql('exclusive')},
+u AS (SELECT DISTINCT normalized_title, fold, feature FROM x), e AS (SELECT u.*, tot.t - coalesce(own.t, 0) AS t, tot.n - coalesce(own.n, 0) AS n FROM u JOIN tot USING (feature) LEFT JOIN cnt own ON own.feature = u.feature AND own.fold = u.fold),
+sig AS (SELECT normalized_title, feature, greatest(t, n) AS c, CASE WHEN t >= 2 AND n = 0 THEN 'target' WHEN t = 0 AND len(list_filter(string_split(substr(feature, 3), '_'), lambda p: p IN {title_model.GENERIC!r})) = 0 AND (left(feature, 2) = 'b:' AND n >= 4 OR left(feature, 2) IN ('w:', 's:') AND n >= 8 AND length(feature) >= 7) THEN 'non_target' END AS signal FROM e),
+one AS (SELECT normalized_title, max(signal) AS signal, max(c) AS c FROM sig WHERE signal IS NOT NULL GROUP BY 1 HAVING count(DISTINCT signal) = 1),
+ev AS (SELECT normalized_title, string_agg(feature, ', ' ORDER BY k) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY normalized_title ORDER BY c DESC, length(feature) DESC, feature) AS k FROM sig SEMI JOIN one USING (normalized_title) WHERE signal IS NOT NULL) WHERE k <= 5 GROUP BY 1),
+alone AS (SELECT f.normalized_title, f.y, coalesce(signal, 'non_target') AS predicted, CASE WHEN signal IS NULL THEN 0.5 WHEN c >= 5 THEN 0.995 ELSE 0.99 END AS confidence, coalesce(evidence, '') AS evidence FROM f LEFT JOIN one USING (normalized_title) LEFT JOIN ev USING (normalized_title))"""
+
+
+def _figures(ctes: str, source: str, variant: str, prior: str) -> str:
+    limits = ", ".join(map(str, title_model.THRESHOLDS))
+    return f"""SELECT * FROM (WITH {ctes}, grid AS (SELECT label, CAST(th AS double) AS th FROM (SELECT DISTINCT y AS label FROM {source}), (SELECT unnest([{limits}]) AS th))
+SELECT '{variant}' AS variant, '{prior}' AS class_prior, label, th AS threshold, count(*) FILTER (predicted = label AND confidence >= th) AS selected,
+  round(CAST(count(*) FILTER (predicted = label AND confidence >= th AND y = label) AS double) / nullif(count(*) FILTER (predicted = label AND confidence >= th), 0), 5) AS precision, round(CAST(count(*) FILTER (predicted = label AND confidence >= th AND y = label) AS double) / count(*) FILTER (y = label), 5) AS recall
+FROM grid, {source} GROUP BY ALL)"""
+
 ORACLES = {
     "current_postings": f"WITH {_J} SELECT posted_text, {_CURRENT} AS current, count(*) AS postings FROM j GROUP BY ALL",
     "dashboard_jobs": f"WITH {_D} SELECT * EXCLUDE (first_seen_at) FROM d",
@@ -479,6 +518,14 @@ SELECT consolidation_key, CAST(row_number() OVER (PARTITION BY consolidation_key
     "title_thresholds": f"""
 WITH {_NB}, g AS (SELECT predicted, th, count(*) AS n, count(*) FILTER (y = predicted) AS hits FROM q, (SELECT unnest([{', '.join(map(str, title_model.THRESHOLDS))}]) AS th) WHERE confidence >= th GROUP BY 1, 2), b AS (SELECT predicted, min((CAST(th AS double), n, hits)) AS x FROM g WHERE n >= 10 AND hits / n >= 0.98 GROUP BY 1)
 SELECT v.predicted, coalesce(x[1], 1.001) AS threshold, coalesce(round(x[3] / x[2], 5), 0.0) AS holdout_precision, coalesce(x[2], 0) AS holdout_count FROM (VALUES ('target'), ('non_target')) v(predicted) LEFT JOIN b USING (predicted)""",
+    "title_exclusive": f"WITH {_ALONE} SELECT normalized_title, predicted, CAST(confidence AS double) AS confidence, evidence FROM alone",
+    "title_evidence": f"""
+WITH {_NB}, a AS (SELECT count(*) FILTER (y = 'target') AS dt, count(*) FILTER (y = 'non_target') AS dn FROM f), st AS (SELECT sum(t) AS t, sum(n) AS n, count(*) AS v FROM tot),
+sc AS (SELECT normalized_title, sum(ln((tot.t + 1) / (st.t + st.v)) - ln((tot.n + 1) / (st.n + st.v))) AS d FROM x JOIN tot USING (feature), st GROUP BY 1),
+pr AS (SELECT f.normalized_title, CASE WHEN ln((dt + 1) / (dn + 1)) + coalesce(d, 0) >= 0 THEN 'target' ELSE 'non_target' END AS predicted FROM f LEFT JOIN sc USING (normalized_title), a),
+u AS (SELECT DISTINCT normalized_title, feature FROM x), k AS (SELECT u.*, row_number() OVER (PARTITION BY normalized_title ORDER BY CASE predicted WHEN 'target' THEN (t + 1) / (n + 1) ELSE (n + 1) / (t + 1) END DESC, feature) AS k FROM u JOIN tot USING (feature) JOIN pr USING (normalized_title))
+SELECT normalized_title, any_value(predicted) AS predicted, string_agg(feature, ', ' ORDER BY k) FILTER (k <= 5) AS evidence FROM pr LEFT JOIN k USING (normalized_title) GROUP BY 1""",
+    "title_variants": " UNION ALL ".join([*(_figures(_titles_sql(v, p), "q", v, p) for v in title_model.VARIANTS for p in ("observed", "balanced")), _figures(_ALONE, "alone", "exclusive", "observed")]),
     "title_review_queue": None,
     "soc_labels": None,
     "wage_repair_rescore": None,
