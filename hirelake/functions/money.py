@@ -28,3 +28,9 @@ def retry_after_failure(at: Column, failures: Column) -> Column:
     """2 to the failures before this one, in hours, from 1 to 24."""
     hours = F.least(F.lit(24.0), F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.coalesce(failures, F.lit(0))))).cast("int")
     return at + F.make_dt_interval(F.lit(0), hours)
+
+
+def next_crawl(at: Column, succeeded: Column, failures: Column, tier: Column, intervals: dict[str, int], default: int = 168) -> Column:
+    """After a success the interval of the tier, after a failure the wait of its failures in a row."""
+    hours = F.coalesce(*(F.when(tier == t, F.lit(h)) for t, h in intervals.items()), F.lit(default))
+    return F.when(succeeded, at + F.make_dt_interval(F.lit(0), hours)).otherwise(retry_after_failure(at, failures))

@@ -86,6 +86,13 @@ def apply_actions(actions: DataFrame, decisions: DataFrame, as_of: str) -> DataF
     return merge_upsert(actions, latest.select(*actions.columns), KEYS)
 
 
+def application_mix(jobs: DataFrame, tiers: tuple[str, ...] = ("P0", "P1", "P2", "P3")) -> DataFrame:
+    """Open target jobs of the tiers by what users did about them (``new`` for nothing), with shares of all."""
+    counted = jobs.where((F.col("role_status") == "target") & F.col("priority_tier").isin(*tiers)).groupBy("application_status").agg(F.count("*").alias("jobs"))
+    # A handful of states meets in the window.
+    return counted.withColumn("pct", F.round(100.0 * F.col("jobs").cast("double") / F.sum("jobs").over(Window.partitionBy()), 1))
+
+
 def local_day_window(at: Column, day: str, zone: str) -> Column:
     """Whether a UTC time lies in the zone's day, as a half-open range that a scan can use."""
     start = F.to_utc_timestamp(F.lit(day).cast("timestamp"), zone)

@@ -85,6 +85,12 @@ def discovery_status(sites: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select("consolidation_key").join(rollup, "consolidation_key", "left").select("consolidation_key", status.alias("discovery_status"))
 
 
+def discovery_dates(sites: DataFrame, targets: DataFrame, as_of: str) -> DataFrame:
+    """``discovery_status`` with the date of the next search: none with a site or a candidate, else after 30 days."""
+    later = F.lit(as_of).cast("timestamp") + F.expr("INTERVAL 30 DAYS")
+    return discovery_status(sites, targets).withColumn("next_discovery_at", F.when(F.col("discovery_status") == "not_found", later))
+
+
 def apply_priority_overrides(overrides: DataFrame, decisions: DataFrame) -> DataFrame:
     """(consolidation_key, override_tier, active) after decisions: a tier sets one, AUTO clears it; the latest counts."""
     latest = decisions.where(F.col("decision").isin(*TIERS, "AUTO")).groupBy("consolidation_key").agg(F.max_by("decision", F.struct("decided_at", "decision")).alias("decision"))

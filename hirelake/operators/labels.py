@@ -48,6 +48,18 @@ def apply_model_decisions(labels: DataFrame, decisions: DataFrame, limit: int, a
     return merge_upsert(labels, rows.select(*labels.columns), ["normalized_title"], {"canonical_role": "coalesce"}), _changed(labels, rows, version, as_of)
 
 
+def mark_applied(decisions: DataFrame, history: DataFrame) -> DataFrame:
+    """``decisions`` (with ``applied``) after a run: those of titles whose label the run has changed are applied."""
+    done = history.select("normalized_title").distinct().withColumn("done", F.lit(True))
+    return decisions.join(done, "normalized_title", "left").withColumn("applied", F.col("applied") | F.col("done").isNotNull()).select(*decisions.columns)
+
+
+def applied_counts(history: DataFrame) -> DataFrame:
+    """One row: how many titles a run has changed, and to what."""
+    state = F.col("classification_status")
+    return history.agg(F.count("*").alias("applied_count"), F.count_if(state == "target").alias("target_count"), F.count_if(state == "non_target").alias("non_target_count"))
+
+
 def apply_soc_labels(labels: DataFrame, candidates: DataFrame, version: str = "soc-exact-v1") -> DataFrame:
     """Labels still open and without a version take the state that their occupation codes suggest."""
     ready = candidates.where("suggested_status <> 'review'").select("normalized_title", F.col("suggested_status").alias("suggested"))

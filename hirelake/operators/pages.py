@@ -98,6 +98,48 @@ def normalize_payloads(payloads: DataFrame, default_market: str = "unknown") ->
     )
 
 
+def _posting(title: Column, place: Column, default_market: str, **texts: Column) -> list[Column]:
+    """The columns of a posting; those without a text are empty."""
+    text = lambda c: texts.get(c, F.lit("")).alias(c)
+    return [title.alias("title"), normalize_title(title).alias("normalized_title"), place.alias("location"), text("category"), text("job_url"), text("description_snippet"), market_scope(place, default_market).alias("market_scope"), text("posted_text"), text("employment_type")]
+
+
+def _some(*texts: Column) -> Column:
+    """The first text that isn't empty, clean; else an empty one."""
+    return clean_text(F.coalesce(*(F.nullif(t, F.lit("")) for t in texts), F.lit("")))
+
+
+def normalize_content_payloads(payloads: DataFrame, default_market: str = "unknown") -> DataFrame:
+    """Postings of payloads (site_id, fetched_at, token, body) whose ``content`` lists jobs; the last of a job counts.
+
+    A job's department is an object (label, name or id) or a text; names, ids and places have second names.
+    """
+    rows = payloads.select("site_id", "fetched_at", "token", F.posexplode(F.try_variant_get(F.try_parse_json("body"), "$.content", "array<variant>")).alias("k", "j"))
+    j = F.col("j")
+    key = _some(_text(j, "$.id"), _text(j, "$.refNumber"))
+    last = rows.withColumn("external_job_id", key).groupBy("site_id", "external_job_id").agg(F.max_by(F.struct("j", "token"), F.struct("fetched_at", "k")).alias("l")).select("site_id", "external_job_id", "l.*")
+    inside = F.try_variant_get("j", "$.department", "map<string,variant>").isNotNull()
+    category = F.when(inside, _some(*(_text(j, f"$.department.{c}") for c in ("label", "name", "id")))).otherwise(_some(_text(j, "$.department"), _text(j, "$.industry")))
+    title, place = _some(_text(j, "$.name"), _text(j, "$.title")), _some(*(_text(j, f"$.location.{c}") for c in ("fullLocation", "city", "region")))
+    url = _some(_text(j, "$.ref"), F.concat(F.lit("https://jobs.smartrecruiters.com/"), "token", F.lit("/"), "external_job_id"))
+    texts = {"category": category, "job_url": url, "description_snippet": F.substring(_some(_text(j, "$.description")), 1, SNIPPET), "posted_text": _some(_text(j, "$.releasedDate"), _text(j, "$.updatedDate")), "employment_type": _some(_text(j, "$.typeOfEmployment"), _text(j, "$.experienceLevel"))}
+    return last.select("site_id", "external_job_id", *_posting(title, place, default_market, **texts))
+
+
+def normalize_listing_payloads(payloads: DataFrame, default_market: str = "unknown") -> DataFrame:
+    """Postings of payloads (site_id, fetched_at, base_url, body) whose ``jobPostings`` are one page of a listing.
+
+    The id is the first bullet, else the path; jobs without an id or a title go; the last of a job counts.
+    """
+    job = "struct<title:string,externalPath:string,locationsText:string,postedOn:string,timeType:string,bulletFields:array<string>>"
+    rows = payloads.select("site_id", "fetched_at", "base_url", F.posexplode(F.from_json("body", f"struct<jobPostings:array<{job}>>")["jobPostings"]).alias("k", "j"))
+    path = _some(F.col("j.externalPath"))
+    rows = rows.withColumns({"external_job_id": F.when(F.size("j.bulletFields") > 0, _some(F.get("j.bulletFields", F.lit(0)))).otherwise(path), "title": _some(F.col("j.title"))}).where("external_job_id <> '' AND title <> ''")
+    last = rows.groupBy("site_id", "external_job_id").agg(F.max_by(F.struct("j", "base_url", "title"), F.struct("fetched_at", "k")).alias("l")).select("site_id", "external_job_id", "l.*")
+    texts = {"job_url": F.concat("base_url", path), "posted_text": _some(F.col("j.postedOn")), "employment_type": _some(F.col("j.timeType"))}
+    return last.select("site_id", "external_job_id", *_posting(F.col("title"), _some(F.col("j.locationsText")), default_market, **texts))
+
+
 def company_tokens(name: Column) -> Column:
     """The telling words of a company's name."""
     return F.filter(F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))

@@ -10,7 +10,7 @@ from hirelake.functions.titles import failure_reason
 
 
 def adapter_health(runs: DataFrame, sites: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """By source type, the runs of the days before ``as_of``; the last run counts at any age."""
+    """By source type, the runs of the days before ``as_of``; the last run counts at any age. Requests and mean latency if runs have them."""
     recent = F.col("started_at") >= F.expr(f"TIMESTAMP '{as_of}' - INTERVAL {days} DAYS")
     rows = runs.join(sites.select("site_id", "source_type"), "site_id")
     g = rows.groupBy("source_type").agg(
@@ -18,6 +18,9 @@ def adapter_health(runs: DataFrame, sites: DataFrame, as_of: str, days: int = 7)
         F.coalesce(F.sum(F.when(recent, F.col("parsed_job_count"))), F.lit(0)).cast("long").alias("parsed_jobs"), F.max("started_at").alias("last_run_at"),
     )
     rate = F.round(F.try_divide(F.col("successes").cast("double"), F.col("runs")), 4)
+    if {"requests_count", "latency_ms"} <= {*runs.columns}:
+        more = rows.where(recent).groupBy("source_type").agg(F.sum("requests_count").alias("requests"), F.round(F.avg("latency_ms")).alias("avg_latency_ms"))
+        g = g.join(more, "source_type", "left").na.fill(0, ["requests"])
     return g.withColumn("success_rate", rate)
 
 

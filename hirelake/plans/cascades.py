@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from hirelake.functions.money import next_crawl
+from hirelake.operators import dashboard, discovery, labels, pages
 from hirelake.operators.cascades import FOUND, STALE_SITE, fail_stale, finalize_runs
-from hirelake.plans.companies import FEIN, STATES, TARGETS, rows_sql
-from hirelake.plans.fixtures import AS_OF, ERRORS, RUNS, SOURCES, SPLIT, TITLES, pick, view
-from hirelake.plans.jobs import HOSTS, PATHS, QUEUED
+from hirelake.operators.runs import adapter_health
+from hirelake.operators.sites import INTERVALS
+from hirelake.plans.catalog import SCOPE
+from hirelake.plans.companies import FEIN, SITE_ROWS, STATES, TARGETS, rows_sql
+from hirelake.plans.fixtures import AS_OF, ERRORS, RUNS, SITES, SOURCES, SPLIT, TITLES, pick, view
+from hirelake.plans.jobs import _D, DECISIONS, FULL_SITES, HOSTS, LABEL_ROWS, PATHS, QUEUED, _surface
+from hirelake.plans.jobs import ORACLES as JOB_SQL
 from hirelake.sources.shared import shared_root
 from hirelake.sources.tables import delete_keys, export_csv, malformed_rows, overwrite_partitions, read_csv
 
@@ -101,10 +107,71 @@ def exported_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.crossJoin(bad).select("title", "postings", "note", (F.col("before") + F.col("line") - F.col("first") + 1).alias("place"), "malformed")
 
 
-QUERIES = {f.__name__: f for f in (discovery_runs, discovery_attempts, discovery_sites, discovery_targets, stale_batches, stale_batch_targets, stale_sites, refreshed_states, exported_titles)}
+HEALTH_RUNS = RUNS.replace(" FROM events", ", event_id % 9 AS requests_count, event_id % 800 AS latency_ms FROM events")
+#: Pages of two boards: a listing of three jobs, and a content list of two.
+LISTING = f"""
+SELECT page_id % 40 AS site_id, page_id AS fetched_at, 'https://acme.wd5.example.com/jobs' AS base_url, concat('{{{{"jobPostings":[{{{{"title":" ', {pick(TITLES, 'page_id')}, ' &amp; Co","externalPath":"/job/', CAST(page_id % 7 AS varchar(9)), '","locationsText":"', {pick(('Chicago, IL', 'London', '2 Locations'), 'page_id')},
+       '","postedOn":"Posted Today","bulletFields":[', CASE WHEN page_id % 3 = 0 THEN concat('"R-', CAST(page_id % 5 AS varchar(9)), '"') ELSE '' END, ']}}}},{{{{"title":"","externalPath":"/x"}}}},{{{{"title":"Analyst","externalPath":"/job/a","timeType":"Full time"}}}}]}}}}') AS body FROM pages"""
+CONTENT = f"""
+SELECT page_id % 40 AS site_id, page_id AS fetched_at, 'acme' AS token, concat('{{{{"content":[{{{{"id":', CASE WHEN page_id % 4 = 0 THEN '""' ELSE CAST(page_id % 6 AS varchar(9)) END, ',"refNumber":"REF', CAST(page_id % 3 AS varchar(9)), '","name":"', {pick(TITLES, 'page_id')}, '","location":{{{{"city":"', {pick(('Austin, TX', 'Berlin, Germany', ''), 'page_id')}, '","region":"TX"}}}},"department":',
+       {pick(('{{"label":"Eng"}}', '"Ops"', '{{"name":"Sales","id":"4"}}', 'null'), 'page_id')}, ',"industry":"IT","releasedDate":"2024-01-02","experienceLevel":"Senior"', CASE WHEN page_id % 2 = 0 THEN ',"ref":"https://r/1"' ELSE '' END, '}}}}]}}}}') AS body FROM pages"""
+MARKED = f"SELECT made.*, event_id % 7 = 0 AS applied FROM ({DECISIONS}) made"
+OUTCOME = f"SELECT c_custkey AS site_id, c_custkey % 3 <> 0 AS succeeded, CAST(c_custkey % 9 AS integer) AS failures, {pick(('P0', 'P1', 'P2', 'P3', None), 'c_custkey')} AS tier, TIMESTAMP '{AS_OF}' AS ended_at FROM customer"
+
+
+def application_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.application_mix(_surface(spark, sf_dir))
+
+
+def adapter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter_health(view(spark, sf_dir, HEALTH_RUNS, "events"), view(spark, sf_dir, SITES, "pages"), AS_OF)
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    decisions = view(spark, sf_dir, MARKED, "events")
+    _, history = labels.apply_model_decisions(spark.sql(LABEL_ROWS), decisions.where("NOT applied").select("normalized_title", "classification_status", "confidence", "created_at"), 5, AS_OF)
+    return decisions, history
+
+
+def model_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.mark_applied(*_applied(spark, sf_dir)).groupBy("normalized_title", "applied").agg(F.count("*").alias("decisions"))
+
+
+def model_applied_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.applied_counts(_applied(spark, sf_dir)[1])
+
+
+def discovery_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.discovery_dates(view(spark, sf_dir, SITE_ROWS, "pages"), view(spark, sf_dir, TARGETS, "customer"), AS_OF)
+
+
+def trusted_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = view(spark, sf_dir, FULL_SITES, "pages").withColumns({"verification_status": F.when(F.col("site_id") % 9 < 7, "unverified").otherwise(F.col("verification_status")), "reviewed_by": F.lit("ann")})
+    return discovery.auto_trust_sites(sites, view(spark, sf_dir, TARGETS, "customer")).select("site_id", "verification_status", "crawl_enabled", "crawl_status", "scope_method", "reviewed_by")
+
+
+def listing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.normalize_listing_payloads(view(spark, sf_dir, LISTING, "pages"))
+
+
+def content_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.normalize_content_payloads(view(spark, sf_dir, CONTENT, "pages"))
+
+
+def next_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, OUTCOME, "customer").select("site_id", next_crawl(F.col("ended_at"), F.col("succeeded"), F.col("failures"), F.col("tier"), INTERVALS).alias("next_crawl_at"))
+
+
+QUERIES = {f.__name__: f for f in (discovery_runs, discovery_attempts, discovery_sites, discovery_targets, stale_batches, stale_batch_targets, stale_sites, refreshed_states, exported_titles,
+        application_mix, adapter_report, model_applied, model_applied_counts, discovery_dates, trusted_sites, listing_jobs, content_jobs, next_crawls)}
 
 _S = f"s AS (SELECT * REPLACE (nullif(error_message, '') AS error_message) FROM ({RESULTS}))"
 _LATE = f"late AS (SELECT run_id, batch_id, site_id FROM ({BATCH_RUNS}) WHERE status = 'running' AND started_at < TIMESTAMP '{SPLIT}' - INTERVAL 60 MINUTE)"
+_NORMAL = "trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9_+#./-]+', ' ', 'g'), ' +', ' ', 'g'))"
+_APPLIED = f"""
+m AS (SELECT * FROM ({MARKED})), x AS (SELECT normalized_title, arg_max((classification_status, confidence), (created_at, classification_status)) AS x FROM m WHERE NOT applied GROUP BY 1), l AS ({LABEL_ROWS}),
+r AS (SELECT normalized_title, x[1] AS st FROM x WHERE (x[1] = 'target' AND x[2] >= 0.88 OR x[1] = 'non_target' AND x[2] >= 0.84) AND normalized_title IN (SELECT normalized_title FROM l WHERE classification_status = 'review' AND NOT coalesce(rule_version LIKE 'manual%', false)) ORDER BY x[2] DESC, normalized_title LIMIT 5)"""
+
 ORACLES = {
     "discovery_runs": f"""
 WITH {_S}, g AS (SELECT run_id, 'p1' AS cohort, count(*) AS target_count, count(*) AS search_count, CAST(sum(candidate_count) AS BIGINT) AS candidate_count, count(*) FILTER (NOT search_succeeded) AS error_count, count(*) AS estimated_credits FROM s GROUP BY 1),
@@ -130,6 +197,30 @@ SELECT batch_id, CASE WHEN fails THEN 'failed' ELSE status END AS status, CASE W
     "stale_sites": f"""
 WITH {_LATE}, x AS (SELECT *, site_id IN (SELECT site_id FROM late) AS hit FROM ({CRAWLED}))
 SELECT site_id, CASE WHEN hit THEN 'failed' ELSE crawl_status END AS crawl_status, consecutive_failures + CAST(hit AS integer) AS consecutive_failures, CASE WHEN hit THEN '{STALE_SITE}' ELSE last_error END AS last_error, CASE WHEN hit THEN TIMESTAMP '{SPLIT}' + INTERVAL 6 HOUR ELSE next_crawl_at END AS next_crawl_at FROM x""",
+    "application_mix": f"WITH {_D}, c AS (SELECT application_status, count(*) AS jobs FROM d WHERE role_status = 'target' AND priority_tier IN ('P0', 'P1', 'P2', 'P3') GROUP BY 1) SELECT application_status, jobs, round(100.0 * CAST(jobs AS double) / sum(jobs) OVER (), 1) AS pct FROM c",
+    "adapter_report": f"""
+WITH rows AS (SELECT *, started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS recent FROM ({HEALTH_RUNS}) r JOIN ({SITES}) s USING (site_id)),
+g AS (SELECT source_type, count(*) FILTER (recent) AS runs, count(*) FILTER (recent AND status = 'succeeded') AS successes, count(*) FILTER (recent AND status = 'failed') AS failures, CAST(coalesce(sum(parsed_job_count) FILTER (recent), 0) AS BIGINT) AS parsed_jobs, max(started_at) AS last_run_at,
+  CAST(coalesce(sum(requests_count) FILTER (recent), 0) AS BIGINT) AS requests, round(avg(latency_ms) FILTER (recent)) AS avg_latency_ms FROM rows GROUP BY source_type)
+SELECT *, round(CASE WHEN runs > 0 THEN CAST(successes AS double) / runs END, 4) AS success_rate FROM g""",
+    "model_applied": f"WITH {_APPLIED} SELECT normalized_title, applied OR normalized_title IN (SELECT normalized_title FROM r) AS applied, count(*) AS decisions FROM m GROUP BY 1, 2",
+    "model_applied_counts": f"WITH {_APPLIED} SELECT count(*) AS applied_count, count(*) FILTER (st = 'target') AS target_count, count(*) FILTER (st = 'non_target') AS non_target_count FROM r",
+    "discovery_dates": f"""
+WITH r AS (SELECT consolidation_key, bool_or(verification_status = 'verified') AS v, bool_or(verification_status = 'unverified') AS u FROM ({SITE_ROWS}) GROUP BY 1), x AS (SELECT consolidation_key, CASE WHEN v THEN 'found' WHEN u THEN 'review_pending' ELSE 'not_found' END AS discovery_status FROM ({TARGETS}) LEFT JOIN r USING (consolidation_key))
+SELECT *, CASE WHEN discovery_status = 'not_found' THEN TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY END AS next_discovery_at FROM x""",
+    "trusted_sites": f"""
+WITH s AS (SELECT * REPLACE (CASE WHEN site_id % 9 < 7 THEN 'unverified' ELSE verification_status END AS verification_status) FROM ({FULL_SITES})), h AS (SELECT site_id FROM ({JOB_SQL['auto_trusted']}))
+SELECT site_id, CASE WHEN hit THEN 'verified' ELSE verification_status END AS verification_status, hit OR crawl_enabled AS crawl_enabled, CASE WHEN hit THEN 'pending' ELSE crawl_status END AS crawl_status, CASE WHEN hit THEN 'local_filter' ELSE scope_method END AS scope_method, CASE WHEN hit THEN 'system:structured-ats-best' ELSE 'ann' END AS reviewed_by
+FROM (SELECT *, site_id IN (SELECT site_id FROM h) AS hit FROM s)""",
+    "listing_jobs": f"""
+WITH j AS (SELECT page_id % 40 AS site_id, page_id, 0 AS k, CASE WHEN page_id % 3 = 0 THEN concat('R-', page_id % 5) ELSE concat('/job/', page_id % 7) END AS external_job_id, concat({pick(TITLES, 'page_id')}, ' & Co') AS title, {pick(('Chicago, IL', 'London', '2 Locations'), 'page_id')} AS location, concat('/job/', page_id % 7) AS path, 'Posted Today' AS posted_text, '' AS employment_type FROM pages
+  UNION ALL SELECT page_id % 40, page_id, 2, '/job/a', 'Analyst', '', '/job/a', '', 'Full time' FROM pages), l AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY site_id, external_job_id ORDER BY page_id DESC, k DESC) = 1)
+SELECT site_id, external_job_id, title, {_NORMAL} AS normalized_title, location, '' AS category, concat('https://acme.wd5.example.com/jobs', path) AS job_url, '' AS description_snippet, {SCOPE} AS market_scope, posted_text, employment_type FROM l""",
+    "content_jobs": f"""
+WITH j AS (SELECT page_id, page_id % 40 AS site_id, CASE WHEN page_id % 4 = 0 THEN concat('REF', page_id % 3) ELSE CAST(page_id % 6 AS varchar) END AS external_job_id, {pick(TITLES, 'page_id')} AS title, {pick(('Austin, TX', 'Berlin, Germany', 'TX'), 'page_id')} AS location, {pick(('Eng', 'Ops', 'Sales', 'IT'), 'page_id')} AS category FROM pages),
+l AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY site_id, external_job_id ORDER BY page_id DESC) = 1)
+SELECT site_id, external_job_id, title, {_NORMAL} AS normalized_title, location, category, CASE WHEN page_id % 2 = 0 THEN 'https://r/1' ELSE concat('https://jobs.smartrecruiters.com/acme/', external_job_id) END AS job_url, '' AS description_snippet, {SCOPE} AS market_scope, '2024-01-02' AS posted_text, 'Senior' AS employment_type FROM l""",
+    "next_crawls": f"SELECT site_id, ended_at + to_hours(CAST(CASE WHEN succeeded THEN CASE tier {' '.join(f"WHEN '{t}' THEN {h}" for t, h in INTERVALS.items())} ELSE 168 END ELSE least(24, greatest(1, pow(2, failures))) END AS BIGINT)) AS next_crawl_at FROM ({OUTCOME})",
     "refreshed_states": f"SELECT * FROM (SELECT * FROM ({STORED}) WHERE state IS NULL OR state NOT IN (SELECT state FROM ({FRESH})) UNION ALL SELECT * FROM ({FRESH})) WHERE fein NOT IN (SELECT fein FROM ({GONE}))",
     "exported_titles": f"SELECT title, postings, note, row_number() OVER (ORDER BY postings DESC, title) AS place, CAST(0 AS BIGINT) AS malformed FROM ({EXPORTED})",
 }

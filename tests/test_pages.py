@@ -52,3 +52,13 @@ def test_every_kind_of_host(spark):
     }
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", classify_url(url_parts(F.col("u"))).alias("c")).collect()
     assert {r.u: (r.c.source_type, r.c.source_key, r.c.canonical_url) for r in rows} == urls
+
+
+def test_payloads_of_three_shapes(spark):
+    rows = [(1, 1, "t", "https://h/jobs", '{"content":[{"id":"","refNumber":"R1","title":"QA","location":{"city":"","region":"TX"},"department":"Ops"},{"id":7,"name":"A &amp; B","location":{},"department":{"id":3},"ref":"u"}]}'), (1, 2, "t", "b", "no json"), (2, 1, "t", "b", None)]
+    df = spark.createDataFrame(rows, "site_id int, fetched_at int, token string, base_url string, body string")
+    found = {r.external_job_id: (r.title, r.location, r.category, r.job_url, r.market_scope) for r in pages.normalize_content_payloads(df).collect()}
+    assert found == {"R1": ("QA", "TX", "Ops", "https://jobs.smartrecruiters.com/t/R1", "unknown"), "7": ("A & B", "", "3", "u", "unknown")}
+    listing = spark.createDataFrame([(1, 1, "https://h/s", '{"jobPostings":[{"title":"A","externalPath":"/p","bulletFields":["X"]},{"title":"B","externalPath":"/q","locationsText":"Austin, TX"},{"title":" ","externalPath":"/r"}]}'), (1, 2, "https://h/s", '{"jobPostings":[{"title":"A2","externalPath":"/p2","bulletFields":["X"]}]}')], "site_id int, fetched_at int, base_url string, body string")
+    found = {r.external_job_id: (r.title, r.job_url, r.market_scope) for r in pages.normalize_listing_payloads(listing).collect()}
+    assert found == {"X": ("A2", "https://h/s/p2", "unknown"), "/q": ("B", "https://h/s/q", "US")}

@@ -32,3 +32,15 @@ def test_snapshots_become_versions(spark, tmp_path):
     stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     active = lambda v: {r.external_job_id: r.active for r in spark.read.parquet(f"{root}/version={v}").collect()}
     assert active(1) == {"a": False, "b": True} and active(2) == {"a": True, "b": False}
+
+
+def test_a_repeated_arrival_changes_nothing(spark):
+    from hirelake.streaming.jobs import apply_arrivals
+
+    kinds = "site_id long, external_job_id string, market_scope string, ts timestamp"
+    rows = lambda *r: spark.sql("SELECT * FROM VALUES " + ", ".join(f"({s}L, '{j}', '{m}', TIMESTAMP '{t}')" for s, j, m, t in r) + " AS t(site_id, external_job_id, market_scope, ts)")
+    none = spark.createDataFrame([], "site_id long, external_job_id string, market_scope string, active boolean, first_seen_at timestamp, last_seen_at timestamp, closed_at timestamp")
+    first, second, third = rows((1, "a", "US", "2024-01-01"), (1, "b", "US", "2024-01-01"), (2, "c", "US", "2024-01-01")), rows((1, "b", "US", "2024-01-02"), (1, "d", "non-US", "2024-01-02")), rows((1, "a", "US", "2024-01-03"))
+    found = {r.external_job_id: (r.active, str(r.first_seen_at)[:10], str(r.last_seen_at)[:10], r.closed_at and str(r.closed_at)[:10]) for r in apply_arrivals([first, second, third], none).collect()}
+    assert first.schema.simpleString() == spark.createDataFrame([], kinds).schema.simpleString()
+    assert found == {"a": (True, "2024-01-01", "2024-01-03", None), "b": (False, "2024-01-01", "2024-01-02", "2024-01-03"), "c": (True, "2024-01-01", "2024-01-01", None)}
