@@ -24,7 +24,7 @@ from hirelake.llm.tokenizer import WordCache
 #: their own: each needs evidence from several documents of the sample, which bounds them.
 TRAIN_DOCS = 10_000
 #: The least log-likelihood ratio (G squared) and number of positive documents of a feature.
-LEAST_G2, LEAST_DOCS = 20.0, 3
+LEAST_G2, LEAST_DOCS = 12.0, 3
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n。！？]+")
@@ -35,10 +35,11 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in (4, 5) if len(word) > k)]
 
 
-def fit_bags(bags: list[list[list[int]]], labels: np.ndarray, start: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_bags(bags: list[list[list[int]]], labels: np.ndarray, start: np.ndarray, centre: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentence score whose noisy-or fits the labels; full-batch Adam.
 
-    A bag lists the features of each sentence that has any; bags without such sentences teach nothing.
+    Weights are drawn to ``centre`` (zeros): where other sentences explain a document, a word keeps what its
+    own counts say. A bag lists the features of each sentence that has any; bags without such sentences teach nothing.
     """
     sentence_of, feature, doc_of = [], [], []
     for d, bag in enumerate(bags):
@@ -53,12 +54,13 @@ def fit_bags(bags: list[list[list[int]]], labels: np.ndarray, start: np.ndarray,
     used[doc_of] = True
     params = np.append(start, -2.0)
     m, v = np.zeros_like(params), np.zeros_like(params)
+    centre = np.zeros(len(start)) if centre is None else centre
     for t in range(1, steps + 1):
         z = params[-1] + np.bincount(sentence_of, params[feature], len(doc_of))
         total = np.bincount(doc_of, np.logaddexp(0, z), len(bags))
         pull = np.where(labels == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) * used / used.sum()
         dz = pull[doc_of] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feature, dz[sentence_of], len(start)) + ridge * params[:-1], dz.sum())
+        grad = np.append(np.bincount(feature, dz[sentence_of], len(start)) + ridge * (params[:-1] - centre), dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return params[:-1], float(params[-1])
@@ -126,7 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> S
     strong = counted.where((pos >= LEAST_DOCS) & (pos * n.neg > neg * n.pos)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
     chosen = strong.orderBy(F.desc("g2"), "feature").collect()
     number = {r.feature: k for k, r in enumerate(chosen)}
-    start = np.array([np.clip(np.log((r.pos + 0.5) / (n.pos + 1)) - np.log((r.neg + 0.5) / (n.neg + 1)), 0, 6) / 2 for r in chosen])
+    ratio = np.array([np.clip(np.log((r.pos + 0.5) / (n.pos + 1)) - np.log((r.neg + 0.5) / (n.neg + 1)), 0, 6) for r in chosen])
+    # A beginning counts half: its words carry the rest.
+    centre = ratio * np.where([r.feature.endswith("*") for r in chosen], 0.5, 1.0)
     numbers = spark.sparkContext.broadcast(number)
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> S
     # The rows of the bounded sample, each with the numbers of its few evidence features.
     rows = joined.mapInArrow(bag, "y int, bag array<array<int>>").collect()
     y = np.array([r.y for r in rows])
-    weights, bias = fit_bags([r.bag for r in rows], y, start)
+    weights, bias = fit_bags([r.bag for r in rows], y, ratio / 2, centre)
     without = [r.y for r in rows if not r.bag]
     rest = (sum(without) + 0.5) / (len(without) + 50)
     return Scorer(dict(zip(number, weights.tolist(), strict=True)), bias, rest)
