@@ -21,6 +21,7 @@ ELSEWHERE = (
     "china", "japan", "singapore", "australia", "mexico", "brazil", "colombia", "argentina", "israel", "sweden", "norway", "denmark", "finland",
     "switzerland", "austria", "belgium", "portugal", "czech", "hungary", "philippines", "vietnam", "indonesia", "malaysia",
 )
+#: Names of the country, and what stands before a state's code.
 COUNTRY = r"\b(united states|u\.s\.|u\.s\.a\.|usa)\b"
 NAMED = rf"\b({'|'.join(STATES)})\b"
 CODED = rf"(?i)(,|/| -)\s*({'|'.join(STATES.values())})(\b|$)"

@@ -13,6 +13,8 @@ LABELS = ("target", "non_target")
 ENDINGS = ("ization", "ational", "iveness", "fulness", "ments", "ment", "tion", "ing", "ics", "ers", "ies", "ed", "er", "or", "s")
 THRESHOLDS = (0.995, 0.99, 0.98, 0.95, 0.90, 0.85)
 FOLDS, EVIDENCE = 5, 5
+#: Fixed value: what counts as a word of a title.
+WORD = "[a-z0-9+#.]+"
 VARIANTS = ("baseline", "stem", "char", "stem_char")
 #: Words that say too little to stand alone as evidence.
 GENERIC = (
@@ -32,7 +34,7 @@ def stem(word: Column) -> Column:
 
 def features(title: Column, variant: str = "baseline") -> Column:
     """The features of a title, repeats included: words and pairs, with stems or parts of words by variant."""
-    words = F.regexp_extract_all(F.lower(title), F.lit("[a-z0-9+#.]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(title), F.lit(WORD), F.lit(0))
     single = F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: F.concat(F.lit("w:"), w))
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(F.lit("b:"), a, F.lit("_"), b)))
     found = [single, F.filter(pairs, lambda p: p.isNotNull())]
