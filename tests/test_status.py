@@ -61,3 +61,21 @@ def test_evidence_of_one_occupation(spark):
     soc = spark.createDataFrame([("15125200", True), ("11101100", True)], "normalized_soc_code string, active boolean")
     targets = spark.createDataFrame([(k, k, "P1", 1, True, "") for k in "abcd"], TARGETS)
     assert status.evidence_only(filings, members, soc, targets).first().companies == 2
+
+
+def test_bands_and_patterns_of_scores(spark):
+    rows = [(0.0, 0), (0.5, 1), (1.0, 1), (2.0, 1), (2.0, 1), (2.0, 0), (3.5, 1), (5.25, 1)]
+    other = ", ".join(f"CAST(0 AS decimal(4,2)) AS {c}" for c in status.SCORES[1:])
+    df = spark.createDataFrame(rows, "s double, t int").selectExpr("CAST(s AS decimal(4,2)) AS priority_score", "CAST(t AS decimal(4,2)) AS target_role_score").selectExpr("*", *other.split(", C")[:1], *("C" + x for x in other.split(", C")[1:]))
+    assert [(r.bucket, r.companies) for r in status.score_histogram(df).collect()] == [("0", 1), ("0-1", 2), ("1-2", 3), ("3-4", 1), ("5+", 1)]
+    assert [(int(r.target_role_score), r.companies) for r in status.component_patterns(df, "2.0").collect()] == [(1, 2), (0, 1)]
+
+
+def test_pools_and_reasons(spark):
+    kinds = "consolidation_key string, executive_only_excluded boolean, target_role_lca_count long, target_role_score int, priority_score double, recent_lca boolean, lca_count long, salary_score int"
+    rows = [("in", False, 3, 1, 3.5, True, 9, 1), ("boss", True, 0, 0, 0.0, True, 1, 0), ("none", False, 0, 0, 0.0, False, 5, 0), ("low", False, 1, 1, 1.0, True, 2, 0), ("p3", False, 2, 1, 2.5, None, 6, 1), ("off", False, 2, 1, 3.5, True, 6, 1)]
+    targets = spark.createDataFrame([("in", "n", "P1", 1, True, ""), ("p3", "n", "P3", 1, True, ""), ("off", "n", "P1", 1, False, "")], TARGETS)
+    scores = spark.createDataFrame(rows, kinds)
+    found = {r.outside_reason: (r.companies, r.lca_ge_5) for r in status.outside_reasons(scores, targets).collect()}
+    assert found == {"executive_only_excluded": (1, 0), "no_target_soc_role_signal": (1, 1), "has_target_signal_but_score_below_p2": (1, 0), "other_not_in_enabled_pool": (2, 2)}
+    assert {r.pool: (r.companies, r.recent_lca, r.has_salary_score) for r in status.pool_breakdown(scores, targets).collect()} == {"in_enabled_p_pool": (1, 1, 1), "outside_enabled_p_pool": (5, 3, 2)}
