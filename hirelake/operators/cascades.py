@@ -79,3 +79,49 @@ def fail_stale(runs: DataFrame, batch_targets: DataFrame, batches: DataFrame, si
         "next_crawl_at": F.when(hit, now + F.expr(f"INTERVAL {RETRY_HOURS} HOURS")).otherwise(F.col("next_crawl_at")),
     })
     return {"runs": runs_.select(*runs.columns), "batch_targets": targets_.select(*batch_targets.columns), "batches": batches_.select(*batches.columns), "sites": sites_.select(*sites.columns)}
+
+
+def refresh_run_counts(runs: DataFrame, batches: DataFrame, postings: DataFrame, labels: DataFrame, as_of: str, hours: int = 12) -> dict[str, DataFrame]:
+    """``runs`` and ``batches`` after the target and review jobs of recent runs are counted anew.
+
+    Counted are the active US postings with a label that a run saw last, of runs that have succeeded within
+    the hours. A batch with such a run takes the counts of its last run.
+    """
+    recent = (F.col("status") == "succeeded") & (F.col("finished_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS"))
+    seen = postings.where("active AND market_scope = 'US'").select(F.col("last_run_id").alias("run_id"), "normalized_title").join(labels.select("normalized_title", F.col("classification_status").alias("state")), "normalized_title")
+    counts = seen.groupBy("run_id").agg(F.count_if(F.col("state") == "target").alias("targets"), F.count_if(F.col("state") == "review").alias("reviews"))
+    counted = kept(counts.join(runs.where(recent).select("run_id", "batch_id"), "run_id"), "run-counts")
+    hit = F.col("targets").isNotNull()
+    fresh = runs.join(counted.drop("batch_id"), "run_id", "left").withColumns({"target_job_count": F.when(hit, F.col("targets")).otherwise(F.col("target_job_count")), "review_job_count": F.when(hit, F.col("reviews")).otherwise(F.col("review_job_count"))}).select(*runs.columns)
+    last = fresh.join(counted.select("batch_id").distinct(), "batch_id", "left_semi").groupBy("batch_id").agg(F.max_by(F.struct("target_job_count", "review_job_count"), "run_id").alias("last"))
+    rows = batches.join(last, "batch_id", "left")
+    found = F.col("last").isNotNull()
+    return {"runs": fresh, "batches": rows.withColumns({c: F.when(found, F.col(f"last.{c}")).otherwise(F.col(c)) for c in ("target_job_count", "review_job_count")}).select(*batches.columns)}
+
+
+def resolve_failed_sites(sites: DataFrame, targets: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """``sites`` and ``targets`` after failed crawls: verified, enabled sites of enabled, tiered companies whose last crawl failed.
+
+    A 404 that persists rejects a site of the first tier's companies, another 404 sends it back to review,
+    and what may pass is tried again at once. A company of a rejected site without another open one is
+    for review.
+    """
+    now, error = F.lit(as_of).cast("timestamp"), F.lower(F.coalesce("last_error", F.lit("")))
+    wanted = targets.where(F.col("enabled") & F.col("priority_tier").isin("P0", "P1", "P2", "P3")).select("consolidation_key", F.col("priority_tier").alias("tier"))
+    failed = sites.where((F.col("verification_status") == "verified") & F.col("crawl_enabled") & (F.col("crawl_status") == "failed")).join(wanted, "consolidation_key")
+    missing, passing = error.contains("404"), error.rlike("timeout|timed out|403|forbidden")
+    action = F.when(missing & (F.col("tier") == "P1") & (F.col("consecutive_failures") >= 2), "reject").when(missing, "demote").when(passing, "retry")
+    decided = kept(failed.select("site_id", "consolidation_key", action.alias("action")).where("action IS NOT NULL"), "failed-sites")
+    rows = sites.join(decided.select("site_id", "action"), "site_id", "left")
+    by = lambda **changes: F.coalesce(*(F.when(F.col("action") == a, v) for a, v in changes.items()))
+    out = F.coalesce(F.col("action").isin("reject", "demote"), F.lit(False))
+    sites_ = rows.withColumns({
+        "verification_status": F.coalesce(by(reject="rejected", demote="unverified"), "verification_status"), "crawl_status": F.coalesce(by(reject="paused", demote="pending", retry="pending"), "crawl_status"),
+        "crawl_enabled": F.col("crawl_enabled") & ~out, "next_crawl_at": F.when(out, F.lit(None)).when(F.col("action") == "retry", now).otherwise(F.col("next_crawl_at")),
+        "reviewed_by": F.when(F.col("action") == "demote", "system:failed-site-cleanup").otherwise(F.col("reviewed_by")),
+    }).select(*sites.columns)
+    open_ = sites_.where((F.col("verification_status") == "verified") & F.col("crawl_enabled")).select("consolidation_key").distinct()
+    again = decided.where("action = 'reject'").select("consolidation_key").distinct().join(open_, "consolidation_key", "left_anti").withColumn("again", F.lit(True))
+    hit = F.col("again").isNotNull()
+    targets_ = targets.join(again, "consolidation_key", "left").withColumns({"discovery_status": F.when(hit, "review_pending").otherwise(F.col("discovery_status")), "next_discovery_at": F.when(~hit, F.col("next_discovery_at"))})
+    return {"sites": sites_, "targets": targets_.select(*targets.columns)}

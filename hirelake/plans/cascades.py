@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from hirelake.functions.market import market_scope
 from hirelake.functions.money import next_crawl
 from hirelake.operators import dashboard, discovery, labels, pages
-from hirelake.operators.cascades import FOUND, STALE_SITE, fail_stale, finalize_runs
+from hirelake.operators.cascades import FOUND, STALE_SITE, fail_stale, finalize_runs, refresh_run_counts, resolve_failed_sites
 from hirelake.operators.runs import adapter_health
 from hirelake.operators.sites import INTERVALS
 from hirelake.plans.catalog import SCOPE
 from hirelake.plans.companies import FEIN, SITE_ROWS, STATES, TARGETS, rows_sql
-from hirelake.plans.fixtures import AS_OF, ERRORS, RUNS, SITES, SOURCES, SPLIT, TITLES, pick, view
+from hirelake.plans.fixtures import AS_OF, ERRORS, RUNS, SEEN_EVER, SITES, SOURCES, SPLIT, TITLES, pick, view
 from hirelake.plans.jobs import _D, DECISIONS, FULL_SITES, HOSTS, LABEL_ROWS, PATHS, QUEUED, _surface
 from hirelake.plans.jobs import ORACLES as JOB_SQL
+from hirelake.plans.status import SITES as STATUS_SITES
+from hirelake.plans.status import WIDE_TARGETS
 from hirelake.sources.shared import shared_root
 from hirelake.sources.tables import delete_keys, export_csv, malformed_rows, overwrite_partitions, read_csv
 
@@ -119,6 +122,43 @@ MARKED = f"SELECT made.*, event_id % 7 = 0 AS applied FROM ({DECISIONS}) made"
 OUTCOME = f"SELECT c_custkey AS site_id, c_custkey % 3 <> 0 AS succeeded, CAST(c_custkey % 9 AS integer) AS failures, {pick(('P0', 'P1', 'P2', 'P3', None), 'c_custkey')} AS tier, TIMESTAMP '{AS_OF}' AS ended_at FROM customer"
 
 
+FINISHED = f"""
+SELECT r.*, run_id % 30 AS batch_id, started_at + INTERVAL '1' HOUR AS finished_at, CAST(run_id % 4 AS bigint) AS target_job_count, CAST(run_id % 3 AS bigint) AS review_job_count FROM ({RUNS}) r"""
+COUNTED = "SELECT DISTINCT event_id % 30 AS batch_id, CAST(-1 AS bigint) AS target_job_count, CAST(-1 AS bigint) AS review_job_count FROM events"
+SEEN_LAST = f"SELECT site_id, external_job_id, title, lower(title) AS normalized_title, location, active, event_id AS last_run_id FROM ({SEEN_EVER}) s WHERE latest = 1"
+LATE = "2024-01-29 06:00:00"
+FAILED_SITES = f"SELECT s.*, {pick(('HTTP Error 404', 'x 404 y', 'Timed out', '403', 'boom', None), 'site_id % 23')} AS last_error FROM ({STATUS_SITES}) s"
+FAILED_TARGETS = f"SELECT t.*, TIMESTAMP '{SPLIT}' AS next_discovery_at FROM ({WIDE_TARGETS}) t"
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    events = lambda sql: view(spark, sf_dir, sql, "events")
+    seen = events(SEEN_LAST).withColumn("market_scope", market_scope(F.col("location")))
+    return refresh_run_counts(events(FINISHED), events(COUNTED), seen, spark.sql(LABEL_ROWS), LATE, 96)
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    failed = F.when(F.col("site_id") % 4 != 0, "failed").otherwise(F.col("crawl_status"))
+    sites = view(spark, sf_dir, FAILED_SITES, "pages").withColumns({"crawl_status": failed, "crawl_enabled": F.col("crawl_enabled") | (F.col("site_id") % 7 == 2)})
+    return resolve_failed_sites(sites, view(spark, sf_dir, FAILED_TARGETS, "customer"), AS_OF)
+
+
+def refreshed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refreshed(spark, sf_dir)["runs"].select("run_id", "batch_id", "target_job_count", "review_job_count")
+
+
+def refreshed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refreshed(spark, sf_dir)["batches"]
+
+
+def resolved_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)["sites"].select("site_id", "verification_status", "crawl_status", "crawl_enabled", "next_crawl_at", "reviewed_by")
+
+
+def resolved_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)["targets"].select("consolidation_key", "discovery_status", "next_discovery_at")
+
+
 def application_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.application_mix(_surface(spark, sf_dir))
 
@@ -163,11 +203,23 @@ def next_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (discovery_runs, discovery_attempts, discovery_sites, discovery_targets, stale_batches, stale_batch_targets, stale_sites, refreshed_states, exported_titles,
-        application_mix, adapter_report, model_applied, model_applied_counts, discovery_dates, trusted_sites, listing_jobs, content_jobs, next_crawls)}
+        application_mix, adapter_report, model_applied, model_applied_counts, discovery_dates, trusted_sites, listing_jobs, content_jobs, next_crawls,
+        refreshed_runs, refreshed_batches, resolved_sites, resolved_targets)}
 
 _S = f"s AS (SELECT * REPLACE (nullif(error_message, '') AS error_message) FROM ({RESULTS}))"
 _LATE = f"late AS (SELECT run_id, batch_id, site_id FROM ({BATCH_RUNS}) WHERE status = 'running' AND started_at < TIMESTAMP '{SPLIT}' - INTERVAL 60 MINUTE)"
 _NORMAL = "trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9_+#./-]+', ' ', 'g'), ' +', ' ', 'g'))"
+_COUNTS = f"""
+p AS (SELECT last_run_id, classification_status AS st FROM (SELECT *, {SCOPE} AS scope FROM ({SEEN_LAST})) JOIN ({LABEL_ROWS}) l USING (normalized_title) WHERE active AND scope = 'US'),
+k AS (SELECT last_run_id AS run_id, count(*) FILTER (st = 'target') AS t, count(*) FILTER (st = 'review') AS v FROM p GROUP BY 1),
+n AS (SELECT run_id, batch_id, hit, CASE WHEN hit THEN t ELSE target_job_count END AS target_job_count, CASE WHEN hit THEN v ELSE review_job_count END AS review_job_count FROM (SELECT *, t IS NOT NULL AND status = 'succeeded' AND finished_at >= TIMESTAMP '{LATE}' - INTERVAL 96 HOUR AS hit FROM ({FINISHED}) f LEFT JOIN k USING (run_id)))"""
+_RESOLVED = f"""
+s AS (SELECT * REPLACE (CASE WHEN site_id % 4 <> 0 THEN 'failed' ELSE crawl_status END AS crawl_status, crawl_enabled OR site_id % 7 = 2 AS crawl_enabled) FROM ({FAILED_SITES})),
+d AS (SELECT site_id, s.consolidation_key, CASE WHEN contains(e, '404') AND priority_tier = 'P1' AND consecutive_failures >= 2 THEN 'reject' WHEN contains(e, '404') THEN 'demote' WHEN regexp_matches(e, 'timeout|timed out|403|forbidden') THEN 'retry' END AS action
+  FROM (SELECT *, lower(coalesce(last_error, '')) AS e FROM s) s JOIN ({FAILED_TARGETS}) t USING (consolidation_key) WHERE enabled AND verification_status = 'verified' AND crawl_enabled AND crawl_status = 'failed'),
+z AS (SELECT site_id, consolidation_key, CASE action WHEN 'reject' THEN 'rejected' WHEN 'demote' THEN 'unverified' ELSE verification_status END AS verification_status, CASE action WHEN 'reject' THEN 'paused' WHEN 'demote' THEN 'pending' WHEN 'retry' THEN 'pending' ELSE crawl_status END AS crawl_status,
+  crawl_enabled AND coalesce(action, '') NOT IN ('reject', 'demote') AS crawl_enabled, CASE WHEN action IN ('reject', 'demote') THEN NULL WHEN action = 'retry' THEN TIMESTAMP '{AS_OF}' ELSE next_crawl_at END AS next_crawl_at, CASE WHEN action = 'demote' THEN 'system:failed-site-cleanup' ELSE reviewed_by END AS reviewed_by
+  FROM s LEFT JOIN (SELECT site_id, action FROM d) USING (site_id))"""
 _APPLIED = f"""
 m AS (SELECT * FROM ({MARKED})), x AS (SELECT normalized_title, arg_max((classification_status, confidence), (created_at, classification_status)) AS x FROM m WHERE NOT applied GROUP BY 1), l AS ({LABEL_ROWS}),
 r AS (SELECT normalized_title, x[1] AS st FROM x WHERE (x[1] = 'target' AND x[2] >= 0.88 OR x[1] = 'non_target' AND x[2] >= 0.84) AND normalized_title IN (SELECT normalized_title FROM l WHERE classification_status = 'review' AND NOT coalesce(rule_version LIKE 'manual%', false)) ORDER BY x[2] DESC, normalized_title LIMIT 5)"""
@@ -221,6 +273,14 @@ WITH j AS (SELECT page_id, page_id % 40 AS site_id, CASE WHEN page_id % 4 = 0 TH
 l AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY site_id, external_job_id ORDER BY page_id DESC) = 1)
 SELECT site_id, external_job_id, title, {_NORMAL} AS normalized_title, location, category, CASE WHEN page_id % 2 = 0 THEN 'https://r/1' ELSE concat('https://jobs.smartrecruiters.com/acme/', external_job_id) END AS job_url, '' AS description_snippet, {SCOPE} AS market_scope, '2024-01-02' AS posted_text, 'Senior' AS employment_type FROM l""",
     "next_crawls": f"SELECT site_id, ended_at + to_hours(CAST(CASE WHEN succeeded THEN CASE tier {' '.join(f"WHEN '{t}' THEN {h}" for t, h in INTERVALS.items())} ELSE 168 END ELSE least(24, greatest(1, pow(2, failures))) END AS BIGINT)) AS next_crawl_at FROM ({OUTCOME})",
+    "refreshed_runs": f"WITH {_COUNTS} SELECT run_id, batch_id, target_job_count, review_job_count FROM n",
+    "refreshed_batches": f"""
+WITH {_COUNTS}, l AS (SELECT batch_id, arg_max(target_job_count, run_id) AS t, arg_max(review_job_count, run_id) AS v FROM n WHERE batch_id IN (SELECT batch_id FROM n WHERE hit) GROUP BY 1)
+SELECT batch_id, coalesce(t, target_job_count) AS target_job_count, coalesce(v, review_job_count) AS review_job_count FROM ({COUNTED}) b LEFT JOIN l USING (batch_id)""",
+    "resolved_sites": f"WITH {_RESOLVED} SELECT site_id, verification_status, crawl_status, crawl_enabled, next_crawl_at, reviewed_by FROM z",
+    "resolved_targets": f"""
+WITH {_RESOLVED}, g AS (SELECT DISTINCT consolidation_key FROM d WHERE action = 'reject' AND consolidation_key NOT IN (SELECT consolidation_key FROM z WHERE verification_status = 'verified' AND crawl_enabled))
+SELECT consolidation_key, CASE WHEN consolidation_key IN (SELECT consolidation_key FROM g) THEN 'review_pending' ELSE discovery_status END AS discovery_status, CASE WHEN consolidation_key IN (SELECT consolidation_key FROM g) THEN NULL ELSE next_discovery_at END AS next_discovery_at FROM ({FAILED_TARGETS})""",
     "refreshed_states": f"SELECT * FROM (SELECT * FROM ({STORED}) WHERE state IS NULL OR state NOT IN (SELECT state FROM ({FRESH})) UNION ALL SELECT * FROM ({FRESH})) WHERE fein NOT IN (SELECT fein FROM ({GONE}))",
     "exported_titles": f"SELECT title, postings, note, row_number() OVER (ORDER BY postings DESC, title) AS place, CAST(0 AS BIGINT) AS malformed FROM ({EXPORTED})",
 }
