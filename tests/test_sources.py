@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from hirelake.operators.cascades import fail_stale
+from hirelake.operators.cascades import fail_stale, refresh_run_counts, resolve_failed_sites
 from hirelake.sources.shared import Scope
 from hirelake.sources.tables import delete_keys, export_csv, malformed_rows, overwrite_partitions, read_csv, read_table
 
@@ -61,3 +61,25 @@ def test_a_stale_run_fails_its_batch_and_site_once(spark):
     assert sorted((r.batch_id, r.status, r.failed_target_count) for r in out["batches"].collect()) == [(1, "failed", 1), (2, "running", 0), (3, "running", 0)]
     assert sorted((r.site_id, r.consecutive_failures, str(r.next_crawl_at)) for r in out["sites"].collect()) == [(1, 1, "2024-01-01 08:30:00"), (2, 0, "None"), (3, 0, "None")]
     assert sorted((r.site_id, r.status) for r in out["batch_targets"].collect()) == [(1, "failed"), (2, "open"), (3, "open")]
+
+
+def test_failed_sites_are_resolved_with_their_company(spark):
+    site = lambda k, key, error, fails=0, state="verified", crawl="failed": (k, key, state, True, crawl, fails, error, None, "ann")
+    rows = [site(1, "a", "HTTP 404", 2), site(2, "b", "HTTP 404", 2), site(3, "b", "x", crawl="succeeded"), site(4, "c", "HTTP 404", 9), site(5, "a2", "HTTP 404", 1), site(6, "a2", "Timed OUT"), site(7, "off", "HTTP 404", 2), site(8, "a2", None), site(9, "a", "403", state="unverified")]
+    sites = spark.createDataFrame(rows, "site_id int, consolidation_key string, verification_status string, crawl_enabled boolean, crawl_status string, consecutive_failures int, last_error string, next_crawl_at timestamp, reviewed_by string")
+    targets = spark.createDataFrame([("a", "P1", True), ("b", "P1", True), ("c", "P2", True), ("a2", "P1", True), ("off", "P1", False)], "consolidation_key string, priority_tier string, enabled boolean").selectExpr("*", "'found' AS discovery_status", "TIMESTAMP '2024-01-01' AS next_discovery_at")
+    out = resolve_failed_sites(sites, targets, "2024-02-01")
+    found = {r.site_id: (r.verification_status, r.crawl_enabled, r.crawl_status, str(r.next_crawl_at)[:10]) for r in out["sites"].collect()}
+    assert found[1] == found[2] == ("rejected", False, "paused", "None") and found[4] == found[5] == ("unverified", False, "pending", "None")
+    assert found[6] == ("verified", True, "pending", "2024-02-01") and found[7][0] == "verified" and found[8][2] == "failed" and found[9][2] == "failed"
+    assert {r.consolidation_key: (r.discovery_status, r.next_discovery_at is None) for r in out["targets"].collect()} == {"a": ("review_pending", True), "b": ("found", False), "c": ("found", False), "a2": ("found", False), "off": ("found", False)}
+
+
+def test_recent_runs_are_counted_anew(spark):
+    runs = spark.sql("SELECT * FROM VALUES (1, 1, 'succeeded', TIMESTAMP '2024-01-01 10:00:00'), (2, 1, 'succeeded', TIMESTAMP '2024-01-01 11:00:00'), (3, 2, 'failed', TIMESTAMP '2024-01-01 11:00:00'), (4, 3, 'succeeded', TIMESTAMP '2023-12-01') AS t(run_id, batch_id, status, finished_at)").selectExpr("*", "9L AS target_job_count", "8L AS review_job_count")
+    batches = spark.sql("SELECT id AS batch_id, 0L AS target_job_count, 0L AS review_job_count FROM range(1, 4)")
+    seen = spark.createDataFrame([(1, "a", True, "US"), (1, "b", True, "US"), (1, "b", False, "US"), (1, "b", True, "UK"), (3, "a", True, "US"), (4, "a", True, "US"), (1, "none", True, "US")], "last_run_id int, normalized_title string, active boolean, market_scope string")
+    labels = spark.createDataFrame([("a", "target"), ("b", "review")], "normalized_title string, classification_status string")
+    out = refresh_run_counts(runs, batches, seen, labels, "2024-01-01 12:00:00")
+    assert {r.run_id: (r.target_job_count, r.review_job_count) for r in out["runs"].collect()} == {1: (1, 1), 2: (9, 8), 3: (9, 8), 4: (9, 8)}
+    assert {r.batch_id: (r.target_job_count, r.review_job_count) for r in out["batches"].collect()} == {1: (9, 8), 2: (0, 0), 3: (0, 0)}
