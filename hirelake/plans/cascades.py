@@ -22,7 +22,7 @@ from hirelake.plans.jobs import ORACLES as JOB_SQL
 from hirelake.plans.status import SITES as STATUS_SITES
 from hirelake.plans.status import WIDE_TARGETS
 from hirelake.sources.shared import shared_root
-from hirelake.sources.tables import delete_keys, export_csv, malformed_rows, overwrite_partitions, read_csv
+from hirelake.sources.tables import delete_keys, export_csv, fitting_rows, malformed_rows, overwrite_partitions
 
 RESULTS = f"""
 SELECT {pick(('r1', 'r2', 'r3'), 'c_custkey')} AS run_id, {FEIN.format('c_custkey')} AS consolidation_key, c_name AS canonical_name, concat(c_name, ' careers') AS search_query, c_custkey % 5 <> 0 AS search_succeeded, c_custkey % 4 AS candidate_count,
@@ -100,7 +100,7 @@ def exported_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/titles-{uuid.uuid4().hex}"
     export_csv(view(spark, sf_dir, EXPORTED, "lineitem"), path, [F.desc("postings"), "title"])
     schema = StructType([StructField("title", StringType()), StructField("postings", LongType()), StructField("note", StringType())])
-    rows = read_csv(spark, path, schema).select("*", F.input_file_name().alias("part"), F.monotonically_increasing_id().alias("line"))
+    rows = fitting_rows(spark, path, schema).select("*", F.input_file_name().alias("part"), F.monotonically_increasing_id().alias("line"))
     # The places of a part start after the rows of all parts before it; parts are few.
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))

@@ -22,7 +22,12 @@ def read_table(spark: SparkSession, source: str, jdbc: dict[str, str] | None = N
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Typed rows of CSV files with a header; rows that don't fit are left out (``malformed_rows`` has them)."""
+    """Typed rows of CSV files with a header; what doesn't fit is null."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+def fitting_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of CSV files that fit the schema; ``malformed_rows`` has the others."""
     return _csv(spark, path, schema).where(F.col(MALFORMED).isNull()).drop(MALFORMED)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from hirelake.operators.cascades import fail_stale, refresh_run_counts, resolve_failed_sites
 from hirelake.sources.shared import Scope
-from hirelake.sources.tables import delete_keys, export_csv, malformed_rows, overwrite_partitions, read_csv, read_table
+from hirelake.sources.tables import delete_keys, export_csv, fitting_rows, malformed_rows, overwrite_partitions, read_csv, read_table
 
 SCHEMA = StructType([StructField("k", IntegerType()), StructField("name", StringType()), StructField("x", DoubleType())])
 
@@ -23,7 +23,7 @@ def test_csv_comes_back_in_order(spark, tmp_path):
 
 def test_malformed_rows_are_set_apart(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,name,x\n1,a,0.5\nbad,b,1\n2,c\n3,,2.5\n")
-    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "a.csv"), SCHEMA).collect())) == [(1, "a", 0.5), (3, None, 2.5)]
+    assert sorted(map(tuple, fitting_rows(spark, str(tmp_path / "a.csv"), SCHEMA).collect())) == [(1, "a", 0.5), (3, None, 2.5)]
     assert sorted(r.line for r in malformed_rows(spark, str(tmp_path / "a.csv"), SCHEMA).collect()) == ["2,c", "bad,b,1"]
 
 
