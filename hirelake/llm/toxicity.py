@@ -24,7 +24,7 @@ from hirelake.llm.tokenizer import WordCache
 #: their own: each needs evidence from several documents of the sample, which bounds them.
 TRAIN_DOCS = 10_000
 #: The least log-likelihood ratio (G squared) and number of positive documents of a feature.
-LEAST_G2, LEAST_DOCS = 12.0, 3
+LEAST_G2, LEAST_DOCS = 16.0, 3
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n。！？]+")
