@@ -42,4 +42,5 @@ def salary_percentiles(filings: DataFrame, by: Column) -> DataFrame:
     # Equal salaries are counted before the shuffle: a group weighs as many rows as it has distinct salaries.
     counted = rows.groupBy("group_key", "salary").agg(F.count("*").alias("times"))
     q = counted.groupBy("group_key").agg(F.sum("times").alias("n"), F.expr("percentile(salary, array(0.25, 0.5, 0.75), times)").alias("q"))
-    return q.select("group_key", "n", *(F.round(F.col("q")[k], 2).alias(f"p{p}") for k, p in enumerate((25, 50, 75))))
+    # Half a cent goes up, whatever the last bit of the double.
+    return q.select("group_key", "n", *(F.round(F.col("q")[k] + 1e-7, 2).alias(f"p{p}") for k, p in enumerate((25, 50, 75))))

@@ -60,7 +60,7 @@ SELECT fein, count(*) AS lca_case_count, count(*) FILTER (executive) AS executiv
 FROM rows GROUP BY fein""",
     "salary_quartiles": f"""
 WITH filings AS ({FILINGS}), rows AS (SELECT job_title AS group_key, CAST({_SALARY} AS double) AS salary FROM filings)
-SELECT group_key, count(*) AS n, round(quantile_cont(salary, 0.25), 2) AS p25, round(quantile_cont(salary, 0.5), 2) AS p50, round(quantile_cont(salary, 0.75), 2) AS p75
+SELECT group_key, count(*) AS n, round(quantile_cont(salary, 0.25) + 1e-7, 2) AS p25, round(quantile_cont(salary, 0.5) + 1e-7, 2) AS p50, round(quantile_cont(salary, 0.75) + 1e-7, 2) AS p75
 FROM rows WHERE salary IS NOT NULL GROUP BY group_key""",
     "crawl_health": f"""
 WITH runs AS ({RUNS}), sites AS ({SITES}), rows AS (SELECT *, started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AS recent FROM runs JOIN sites USING (site_id)),
