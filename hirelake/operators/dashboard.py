@@ -16,9 +16,13 @@ from hirelake.sources.tables import merge_upsert
 ACTIONS = ("saved", "apply_next", "referred", "applied", "dismissed")
 
 
+def is_posting_us(ref_date: str) -> Column:
+    """Of an active US posting whose text names no other year than the date's."""
+    return F.col("active") & (F.col("market_scope") == "US") & posting_is_current_year(F.col("posted_text"), F.lit(ref_date).cast("date"))
+
+
 def postings_us(postings: DataFrame, ref_date: str) -> DataFrame:
-    """Active US postings whose text names no other year than the date's."""
-    return postings.where(F.col("active") & (F.col("market_scope") == "US") & posting_is_current_year(F.col("posted_text"), F.lit(ref_date).cast("date")))
+    return postings.where(is_posting_us(ref_date))
 
 
 def dashboard_jobs(jobs: DataFrame, targets: DataFrame, labels: DataFrame, actions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from hirelake.functions.money import annual_salary
 from hirelake.functions.titles import is_product_role, normalize_soc_code, product_role_category
 from hirelake.functions.urls import path_pattern, template_family
 from hirelake.operators.activity import ZONE, local_date
+from hirelake.operators.dashboard import is_posting_us
 
 #: Tiers, errors that pass by themselves, services with an adapter, and the code of chief executives.
 TIERS = ("P0", "P1", "P2", "P3")
@@ -319,9 +320,18 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return postings.join(known, "normalized_title", "left").withColumn("role_status", F.coalesce("status", F.lit("review"))).drop("status")
 
 
-def posting_mix(surface: DataFrame, labels: DataFrame) -> DataFrame:
-    """Active US postings of the year by their title's decision: jobs, distinct titles and companies."""
-    return _labelled(surface, labels).groupBy("role_status").agg(F.count("*").alias("active_jobs"), F.count_distinct("normalized_title").alias("distinct_titles"), F.count_distinct("consolidation_key").alias("companies"))
+def posting_mix(postings: DataFrame, labels: DataFrame, ref_date: str) -> DataFrame:
+    """All postings by their title's decision: jobs, active and closed ones, distinct titles and companies; and of the active US ones of the year the same.
+
+    Titles' companies are grouped first, so that distinct ones are counted over few rows.
+    """
+    rows = _labelled(postings, labels).withColumn("us", is_posting_us(ref_date))
+    pairs = rows.groupBy("role_status", "normalized_title", "consolidation_key").agg(F.count("*").alias("n"), F.count_if("active").alias("a"), F.count_if(~F.col("active")).alias("c"), F.count_if("us").alias("u"))
+    us = lambda c: F.when(F.col("u") > 0, F.col(c))
+    return pairs.groupBy("role_status").agg(
+        F.sum("n").alias("jobs"), F.sum("a").alias("active_jobs"), F.sum("c").alias("closed_jobs"), F.count_distinct("normalized_title").alias("titles"), F.count_distinct("consolidation_key").alias("companies"),
+        F.sum("u").alias("us_active_jobs"), F.count_distinct(us("normalized_title")).alias("us_titles"), F.count_distinct(us("consolidation_key")).alias("us_companies"),
+    )
 
 
 def calendar_counts(surface: DataFrame, labels: DataFrame, now: str, days: int = 14) -> DataFrame:

@@ -78,9 +78,12 @@ def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_companies(companies, employer_filing_stats(_filings(spark, sf_dir, COHORTS), _soc(spark)), matches)
 
 
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, JOBS, "events").withColumn("market_scope", market_scope(F.col("location")))
+
+
 def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = view(spark, sf_dir, JOBS, "events").withColumn("market_scope", market_scope(F.col("location")))
-    return postings_us(jobs, SPLIT[:10])
+    return postings_us(_jobs(spark, sf_dir), SPLIT[:10])
 
 
 def attempt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +179,7 @@ def posting_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posting_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.posting_mix(_surface(spark, sf_dir), spark.sql(LABEL_ROWS))
+    return status.posting_mix(_jobs(spark, sf_dir), spark.sql(LABEL_ROWS), SPLIT[:10])
 
 
 def calendar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +326,10 @@ SELECT *, CAST(row_number() OVER (PARTITION BY cohort ORDER BY companies DESC, f
 WITH {_PAID}, g AS (SELECT consolidation_key, job_title, soc_title, count(*) AS filings_under, min(annual_salary) AS min_salary, max(annual_salary) AS max_salary FROM f WHERE annual_salary < 90000 AND {_LATE} GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY consolidation_key ORDER BY filings_under DESC, min_salary, job_title, soc_title) AS integer) AS place FROM g QUALIFY place <= 20""",
     "posting_totals": f"SELECT count(*) AS total_posting_rows, count(*) FILTER (active) AS active_rows, count(*) FILTER (NOT active) AS closed_rows, count(DISTINCT normalized_title) AS distinct_titles, count(DISTINCT normalized_title) FILTER (active) AS active_distinct_titles FROM ({JOBS})",
-    "posting_mix": f"WITH {_SURFACE} SELECT role AS role_status, count(*) AS active_jobs, count(DISTINCT normalized_title) AS distinct_titles, count(DISTINCT consolidation_key) AS companies FROM p GROUP BY 1",
+    "posting_mix": f"""
+WITH j AS (SELECT *, {SCOPE} AS market_scope FROM ({JOBS})), p AS (SELECT j.*, coalesce(classification_status, 'review') AS role, active AND market_scope = 'US' AND {_CURRENT} AS us FROM j LEFT JOIN ({LABEL_ROWS}) l USING (normalized_title))
+SELECT role AS role_status, count(*) AS jobs, count(*) FILTER (active) AS active_jobs, count(*) FILTER (NOT active) AS closed_jobs, count(DISTINCT normalized_title) AS titles, count(DISTINCT consolidation_key) AS companies,
+  count(*) FILTER (us) AS us_active_jobs, count(DISTINCT normalized_title) FILTER (us) AS us_titles, count(DISTINCT consolidation_key) FILTER (us) AS us_companies FROM p GROUP BY 1""",
     "calendar_counts": f"""
 WITH {_SURFACE}, x AS (SELECT role, {', '.join(f'{_day.format(c)} AS {c}' for c in ('first_seen_at', 'closed_at', 'last_seen_at'))} FROM p),
 days AS (SELECT CAST(d AS date) AS day FROM generate_series({_day.format(f"TIMESTAMP '{NOW}'")} - INTERVAL 13 DAY, CAST({_day.format(f"TIMESTAMP '{NOW}'")} AS timestamp), INTERVAL 1 DAY) AS g(d))

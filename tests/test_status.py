@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from hirelake.functions.urls import path_pattern, template_family
 from hirelake.operators import status
 from hirelake.operators.sites import schedule_queue
+from hirelake.plans import status as plans
+from tests.conftest import SMALL
 
 AT = datetime.datetime(2024, 1, 25, 18)
 TARGETS = "consolidation_key string, canonical_name string, priority_tier string, priority_score int, enabled boolean, discovery_status string"
@@ -79,3 +81,16 @@ def test_pools_and_reasons(spark):
     found = {r.outside_reason: (r.companies, r.lca_ge_5) for r in status.outside_reasons(scores, targets).collect()}
     assert found == {"executive_only_excluded": (1, 0), "no_target_soc_role_signal": (1, 1), "has_target_signal_but_score_below_p2": (1, 0), "other_not_in_enabled_pool": (2, 2)}
     assert {r.pool: (r.companies, r.recent_lca, r.has_salary_score) for r in status.pool_breakdown(scores, targets).collect()} == {"in_enabled_p_pool": (1, 1, 1), "outside_enabled_p_pool": (5, 3, 2)}
+
+
+def test_mix_counts_closed_and_foreign_postings_too(spark):
+    kinds = "normalized_title string, consolidation_key string, active boolean, market_scope string, posted_text string"
+    rows = [("dev", "x", True, "US", "2024-01-05"), ("dev", "x", True, "US", None), ("dev", "y", False, "US", ""), ("eng", "z", True, "CA", ""), ("eng", "x", True, "US", "Posted 2023"), ("new", "y", True, "US", ""), ("old", "y", False, None, ""), (None, None, None, "US", "")]
+    labels = spark.createDataFrame([("dev", "target"), ("eng", "target")], "normalized_title string, classification_status string")
+    found = {r[0]: tuple(r[1:]) for r in status.posting_mix(spark.createDataFrame(rows, kinds), labels, "2024-01-20").collect()}
+    assert found == {"target": (5, 4, 1, 2, 3, 2, 1, 1), "review": (3, 1, 1, 2, 1, 1, 1, 1)}
+
+
+def test_mix_of_the_query_leaves_no_posting_out(spark):
+    mix = plans.posting_mix(spark, SMALL).agg(F.sum("jobs"), F.sum("active_jobs"), F.sum("closed_jobs"), F.sum("titles")).first()
+    assert tuple(mix) == tuple(plans.posting_totals(spark, SMALL).select("total_posting_rows", "active_rows", "closed_rows", "distinct_titles").first())
